@@ -7,7 +7,10 @@ their bigrams are made, and templates before they are compared.
 
 from __future__ import annotations
 
+import functools
+import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,8 +47,18 @@ def bigrams(words: list[str]) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
-def _words(c: Column) -> Column:
-    return F.regexp_extract_all(F.lower(c), F.lit(r"([a-z0-9]+(?:\.[0-9]+)*)"), F.lit(1))
+def anchors(sized: list[tuple[str, list[str]]], low: float) -> list[str]:
+    """Words of which every match contains one.
+
+    A match shares at least low * m of a template's m bigrams, so of any m - ceil(low * m) + 1 of them it has one. Words are
+    chosen, long ones first, until the bigrams that hold a chosen word are as many in each template.
+    """
+    chosen: list[str] = []
+    short = lambda grams: len(grams) - math.ceil(low * len(grams)) + 1 - sum(any(w in g.split() for w in chosen) for g in grams)
+    while open_ := [grams for _, grams in sized if short(grams) > 0]:
+        gain = Counter(w for grams in open_ for g in grams if not any(c in g.split() for c in chosen) for w in set(g.split()))
+        chosen.append(max(gain, key=lambda w: (min(len(w), 6), gain[w], w)))
+    return chosen
 
 
 def _bigrams(words: Column) -> Column:
@@ -57,32 +70,51 @@ def scan_licenses(df: DataFrame, text: str = "text", key: str = "doc_id", templa
     """One row per key and licence: license, n_units (units that match it), first_unit (the first line, from 0; -1: the whole text), dice (the best, rounded to 6).
 
     Null and empty texts and texts without a match give no row. Of several templates of a licence the best counts for a unit. Rows
-    that repeat a key are reported once, with their units added up. A null key is a key. Extra columns are ignored. The whole
-    text is scanned, however long. Templates are an argument held by the driver; they become literals of the plan.
+    that repeat a key are reported once, each unit number counted once. A null key is a key. Extra columns are ignored. The whole
+    text is scanned, however long. Templates are an argument held by the driver; they become literals of the plan. The one
+    shuffle carries matches.
     """
     sized = [(name, bigrams(normalised(t))) for name, t in templates]
     sized = [(name, grams) for name, grams in sized if grams]
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     least, most = min(len(g) for _, g in sized) * low, max(len(g) for _, g in sized) * high
-    any_gram = F.array(*(F.lit(g) for g in sorted({g for _, grams in sized for g in grams})))
     listed = F.array(*(F.struct(F.lit(name).alias("license"), F.lit(len(g)).alias("m"), F.array(*(F.lit(x) for x in g)).alias("t_grams")) for name, g in sized))
-    lines = F.split(F.col(text), "\n")
-    parts = F.concat(F.transform(lines, lambda line, i: F.struct(i.alias("unit"), line.alias("line"))), F.when(F.size(lines) > 1, F.array(F.struct(F.lit(-1).alias("unit"), F.col(text).alias("line")))).otherwise(F.expr("array()")))
-    # a unit of n bigrams has at least 2n + 1 characters; longer units than the largest template allows are pruned after the word count
-    units = df.select(F.col(key).alias("_key"), F.explode(parts).alias("u")).select("_key", "u.*").where(F.length("line") > 2 * least)
-    worded = units.select("_key", "unit", _words(F.col("line")).alias("words")).where((F.size("words") > F.lit(least)))
-    grams = worded.select("_key", "unit", _bigrams(F.col("words")).alias("grams")).where(F.size("grams").between(F.lit(least), F.lit(most)) & F.arrays_overlap("grams", any_gram))
+    lowered = F.lower(F.col(text))
+    numbered = lambda c, first: F.transform(c, lambda line, i: F.struct((i + first).alias("unit"), line.alias("line")))
+    parts = F.concat(numbered(F.split(lowered, "\n"), 0), F.when(F.contains(F.col(text), F.lit("\n")), numbered(F.array(lowered), -1)).otherwise(F.expr("array()")))
+    units = df.select(F.col(key).alias("_key"), F.inline(parts))
+    # each generator below keeps the filters that follow from being merged into the expressions before it, which would repeat those
+    likely = units.where(functools.reduce(lambda a, b: a | b, (F.contains("line", F.lit(w)) for w in anchors(sized, low))))
+    worded = likely.select("_key", "unit", F.explode(F.array(F.regexp_extract_all("line", F.lit(r"([a-z0-9]+(?:\.[0-9]+)*)"), F.lit(1)))).alias("words")).where(F.size("words") > least)
+    grams = worded.select("_key", "unit", F.explode(F.array(_bigrams(F.col("words")))).alias("grams")).where(F.size("grams").between(F.lit(least), F.lit(most)))
     near = F.filter(listed, lambda t: F.size("grams").between(t["m"] * low, t["m"] * high))
-    scored = grams.select("_key", "unit", F.explode(near).alias("t"), "grams").select(
+    scored = grams.select("_key", "unit", "grams", F.explode(near).alias("t")).select(
         "_key", "unit", "t.license", (2.0 * F.size(F.array_intersect("grams", "t.t_grams")) / (F.size("grams") + F.col("t.m"))).alias("dice")
     )
-    best = scored.where(F.col("dice") >= threshold)
-    # one row for each unit and licence: the units are counted by distinct unit numbers within the key
     return (
-        best.groupBy(F.col("_key").alias(key), "license")
+        scored.where(F.col("dice") >= threshold)
+        .groupBy(F.col("_key").alias(key), "license")
         .agg(F.count_distinct("unit").cast("long").alias("n_units"), F.min("unit").alias("first_unit"), F.round(F.max("dice"), 6).alias("dice"))
     )
 
 
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+_ROWS = ", ".join(f"({i}, '{name}', '{gram}')" for i, (name, t) in enumerate(TEMPLATES) for gram in bigrams(normalised(t)))
+ORACLE = f"""
+WITH t(tid, license, gram) AS (VALUES {_ROWS}),
+sizes AS (SELECT tid, count(*) AS m FROM t GROUP BY tid),
+lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, text, -1 FROM documents WHERE contains(text, chr(10))),
+worded AS (SELECT doc_id, unit, regexp_extract_all(lower(line), '[a-z0-9]+(?:\\.[0-9]+)*') AS w, row_number() OVER () AS u FROM lines),
+grams AS (SELECT DISTINCT u, doc_id, unit, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT u, doc_id, unit, w, unnest(range(1, len(w))) AS i FROM worded WHERE len(w) > 1)),
+n AS (SELECT u, count(*) AS n FROM grams GROUP BY u),
+score AS (
+  SELECT g.u, g.doc_id, g.unit, t.license, 2.0::DOUBLE * count(*) / (any_value(n.n) + any_value(sizes.m)) AS dice
+  FROM grams g JOIN t USING (gram) JOIN sizes USING (tid) JOIN n USING (u) GROUP BY g.u, g.doc_id, g.unit, t.tid, t.license)
+SELECT doc_id, license, count(DISTINCT unit) AS n_units, min(unit)::INT AS first_unit, round(max(dice), 6) AS dice
+FROM score WHERE dice >= {THRESHOLD} GROUP BY doc_id, license
+"""

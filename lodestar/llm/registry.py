@@ -11,4 +11,5 @@ QUERIES = {
 
 ORACLES = {
     "op6_url_filters": url_filters.ORACLE,
+    "op10_license_scans": license_scan.ORACLE,
 }
