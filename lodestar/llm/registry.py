@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lodestar.llm import license_scan, url_filters
+from lodestar.llm import license_scan, near_dedup, url_filters
 
 QUERIES = {
     "op6_url_filters": url_filters.op6_url_filters,
+    "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
     "op10_license_scans": license_scan.op10_license_scans,
 }
 
