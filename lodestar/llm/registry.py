@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from lodestar.llm import decontaminate, license_scan, media, mixing, near_dedup, url_filters, warc
+from lodestar.llm import decontaminate, language_id, license_scan, media, mixing, near_dedup, quality, url_filters, warc
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_warc_records": warc.op3_warc_records,
+    "op5_language_id": language_id.op5_language_id,
     "op6_url_filters": url_filters.op6_url_filters,
     "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
     "op8_media_columns": media.op8_media_columns,
+    "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_license_scans": license_scan.op10_license_scans,
 }
 
