@@ -5,8 +5,10 @@ make bands, in which similar sets collide; and all of them, folded into a bitmap
 two sets differ in, by the population count of the bitmaps' XOR. Pairs that collide and whose sketches are near enough are confirmed
 on the full sets of words. Equal sets are put together first, so that copies cost nothing after the first pass.
 
-A bucket may hold a third of all rows. Pairs are not made within it: members are compared with a few leaders that the
-bucket's keys elect, and only members that leaders leave in different components are compared with others, by their sketches.
+A bucket may hold a third of all rows. Pairs are not made within it. Its members are first compared with a hub, the one among their
+neighbours that collides with most others, as the least edited copy does. Members whom the hub leaves outside the largest component
+are compared with that component in blocks of bounded size, which report one link at most for each. What is then left apart is
+compared among itself by sketches.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from lodestar.llm.wordhash import WordHasher
 BANDS, ROWS, SKETCH_BITS = 32, 5, 512
 #: Buckets up to this many members are paired in full.
 SMALL = 8
-LEADERS = 3
+#: Members and outsiders that meet in one block.
+BLOCK = 512
 
 
 def word_list(text: bytes) -> list[bytes]:
@@ -118,24 +121,35 @@ def differing_bits(x: Column, y: Column, words: int) -> Column:
     return sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(words)), F.lit(0))
 
 
-def most_bits(k: int, bits: int, similarity: float) -> int:
-    """The largest XOR count that a pair of this similarity makes in all but about a millionth of cases: five deviations of the
-    MinHash estimate, and five of the bitmap."""
-    j = similarity - 5 * (similarity * (1 - similarity) / k) ** 0.5
-    share = (1 - (1 - 2 / bits) ** (2 * k * (1 - j))) / 2
-    return int(bits * share + 5 * (bits * share * (1 - share)) ** 0.5) if j > 0 else bits
+def most_bits(k: int, bits: int, similarity: float, deviations: float = 4.75) -> int:
+    """The largest XOR count that a pair of at least this similarity makes in all but about a millionth of cases. It varies with the
+    number of samples that differ, and with how many of those fall on one bit."""
+    differing = 2 * k * (1 - similarity)
+    kept = (1 - 2 / bits) ** differing
+    of_samples = 2 * (k * similarity * (1 - similarity)) ** 0.5 * kept
+    of_bits = 2 * (differing**2 / (2 * bits)) ** 0.5
+    return min(bits, int(bits * (1 - kept) / 2 + deviations * (of_samples**2 + of_bits**2) ** 0.5) + 1)
 
 
 def may_match(n1: Column, n2: Column, percent: int) -> Column:
     return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
 
 
-def confirmed(pairs: DataFrame, df: DataFrame, text: str, key: str, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Texts travel once for each member and once for each leader b."""
+def texts_of(ids: DataFrame, df: DataFrame, text: str, key: str) -> DataFrame:
+    """id and text, a row for each of the ids."""
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = written(texts.join(ids, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "texts")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    return texts.join(ids.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+
+
+def linked(x: set, y: set, percent: int) -> bool:
+    both = len(x & y)
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def confirmed(pairs: DataFrame, df: DataFrame, text: str, key: str, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough. Texts travel once for each pair as a, and once for each b."""
+    texts = written(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), df, text, key), "texts")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b").select("a", "b", "ta", "tb")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, set()
@@ -146,16 +160,54 @@ def confirmed(pairs: DataFrame, df: DataFrame, text: str, key: str, size: int, p
             for i, leader in enumerate(leaders):
                 if leader != last:
                     last, own = leader, shingle_set(tb[i] or b"", size)
-                other = shingle_set(ta[i] or b"", size)
-                both_n = len(own & other)
-                keep.append(both_n > 0 and 100 * both_n >= percent * (len(own) + len(other) - both_n))
-            yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep)), b.filter(pa.array(keep))], ["a", "b"])
+                keep.append(linked(shingle_set(ta[i] or b"", size), own, percent))
+            yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep, pa.bool_())), b.filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
     links = written(both.mapInArrow(compared, "a long, b long"), "links")
     drop_written(texts)
     return links
 
 
+def joined_in_blocks(outside: DataFrame, inside: DataFrame, df: DataFrame, text: str, key: str, size: int, percent: int) -> DataFrame:
+    """A link (a, b) for each a of outside(id, component) that is linked with a b of inside(id, component), one for each block of insiders.
+
+    Insiders of a component and those who want in are cut into blocks of about BLOCK; every pair of blocks is one group. Overlaps
+    with all insiders of a block come from one look-up of the outsider's shingles among theirs; a hit is confirmed on the sets.
+    """
+    texts = written(texts_of(outside.select("id").union(inside.select("id")), df, text, key), "texts")
+    blocks = lambda x, n: x.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(n))
+    grid = blocks(inside, "columns").join(blocks(outside, "rows"), "component")
+    block = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = outside.join(grid, "component").select("component", block("rows", 1).alias("r"), each("columns").alias("c"), F.lit(True).alias("outside"), "id")
+    right = inside.join(grid, "component").select("component", each("rows").alias("r"), block("columns", 2).alias("c"), F.lit(False).alias("outside"), "id")
+    rows = left.unionByName(right).join(texts.hint("merge"), "id")
+
+    def compared(group: pa.Table) -> pa.Table:
+        ids, out = group.column("id").to_pylist(), group.column("outside").to_pylist()
+        texts_ = [t or b"" for t in group.column("text").cast(pa.large_binary()).to_pylist()]
+        hasher, found = WordHasher(), []
+        hashed, bounds = hasher.hashes([t.lower() for t in texts_])
+        sets = [shingle_hashes(hashed[bounds[i] : bounds[i + 1]], size) for i in range(len(ids))]
+        members = [i for i, o in enumerate(out) if not o and len(sets[i])]
+        if members:
+            flat = np.concatenate([sets[i] for i in members])
+            sizes = np.array([len(sets[i]) for i in members])
+            starts = np.r_[0, np.cumsum(sizes)[:-1]]
+            for i in (i for i, o in enumerate(out) if o and len(sets[i])):
+                at = np.minimum(np.searchsorted(sets[i], flat), len(sets[i]) - 1)
+                both = np.add.reduceat((sets[i][at] == flat).astype(np.int64), starts)
+                for k in np.flatnonzero(100 * both >= percent * (sizes + len(sets[i]) - both)):
+                    if linked(shingle_set(texts_[i], size), shingle_set(texts_[members[k]], size), percent):
+                        found.append((ids[i], ids[members[k]]))
+                        break
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    links = written(rows.groupBy("component", "r", "c").applyInArrow(compared, "a long, b long"), "links")
+    drop_written(texts)
+    return links
+
+
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id and kept.
 
@@ -172,40 +224,45 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", size
     reps = written(usable.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "sets")
     small = reps.select("id", "n", "sketch")
 
-    # buckets that hold more than one set, with leaders: the smallest members by independent hashes of the id
-    members = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
-    order = [F.col("id")] + [F.xxhash64("id", F.lit(i)) for i in range(1, LEADERS)]
-    buckets = members.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("size"), *(F.min(F.struct(o.alias("o"), F.col("id"))).alias(f"l{i}") for i, o in enumerate(order))).where("size > 1")
-    elected = buckets.select("band", "bucket", "size", F.array(*(F.col(f"l{i}.id") for i in range(LEADERS))).alias("leaders"))
-    crowded = written(members.join(elected, ["band", "bucket"]), "buckets")
+    # buckets that hold more than one set; the hash of a band depends on its number, so it alone is the key
+    members = reps.select("id", F.explode("bands").alias("bucket"))
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    crowded = written(members.join(sizes.hint("merge"), "bucket"), "buckets")
 
     near = (differing_bits(F.col("s1"), F.col("s2"), words) <= most_bits(k, bits, percent / 100)) & may_match(F.col("n1"), F.col("n2"), percent)
 
     def sketched(pairs: DataFrame) -> DataFrame:
-        first, second = (small.select(F.col("id").alias(x), F.col("n").alias(f"n{i}"), F.col("sketch").alias(f"s{i}")) for i, x in ((1, "a"), (2, "b")))
-        return pairs.join(first, "a").join(second, "b").where(near).select("a", "b")
+        first, second = (small.select(F.col("id").alias(x), F.col("n").alias(f"n{i}"), F.col("sketch").alias(f"s{i}")).hint("merge") for i, x in ((1, "a"), (2, "b")))
+        return written(pairs.join(first, "a").join(second, "b").where(near).select("a", "b"), "pairs")
 
-    # small buckets in full, bounded by SMALL; of large ones each member with the leaders
-    full = crowded.where(F.col("size") <= SMALL).groupBy("band", "bucket").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids", F.explode("ids").alias("b"))
+    # small buckets in full, bounded by SMALL; of large ones each member with its most central neighbour
+    full = crowded.where(F.col("size") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids", F.explode("ids").alias("b"))
     full = full.select("b", F.explode(F.filter("ids", lambda x: x > F.col("b"))).alias("a"))
-    star = crowded.where(F.col("size") > SMALL).select("id", F.explode("leaders").alias("l")).where("id <> l")
-    pairs = full.select("a", "b").union(star.select(F.col("id").alias("a"), F.col("l").alias("b"))).distinct()
-    links = confirmed(written(sketched(pairs), "pairs"), df, text, key, size, percent)
+    large = crowded.where(F.col("size") > SMALL)
+    central = large.groupBy("id").agg(F.sum("size").alias("weight"))
+    hubs = large.join(central, "id").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("hub"))
+    star = large.join(hubs, "bucket").groupBy("id").agg(F.max("hub").alias("hub")).select(F.col("id").alias("a"), (-F.col("hub.minus")).alias("b")).where("a <> b")
+    links = confirmed(sketched(full.select("a", "b").union(star).distinct()), df, text, key, size, percent)
     found = connected_components(links, "a", "b")
 
-    # large buckets that still hold several components: members of all but the largest against all others, by sketches
-    placed = crowded.where(F.col("size") > SMALL).select("band", "bucket", "id").join(found, "id", "left").select("band", "bucket", "id", F.coalesce("component", "id").alias("component"))
-    by_component = placed.groupBy("band", "bucket", "component").agg(F.count(F.lit(1)).alias("members"))
-    split = by_component.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("components"), F.max(F.struct("members", "component")).alias("m")).where("components > 1").select("band", "bucket", F.col("m.component").alias("largest"))
-    left = written(placed.join(split, ["band", "bucket"]).join(small, "id"), "left")
-    if left.limit(1).count():
-        one = left.where("component <> largest").select("band", "bucket", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("n1"), F.col("sketch").alias("s1"))
-        two = left.select("band", "bucket", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("n2"), F.col("sketch").alias("s2"))
-        rest = one.join(two, ["band", "bucket"]).where((F.col("ca") != F.col("cb")) & near).select("a", "b").distinct()
-        more = confirmed(written(rest, "rest"), df, text, key, size, percent)
-        found = connected_components(links.union(more), "a", "b")
-    drop_written(left)
-    drop_written(crowded)
+    # large buckets that still hold several components: the members of all but the largest with the largest
+    placed = written(large.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")), "placed")
+    by_component = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("members"))
+    split = by_component.groupBy("bucket").agg(F.count(F.lit(1)).alias("components"), F.max(F.struct("members", "component")).alias("m")).where("components > 1").select("bucket", F.col("m.component").alias("largest"))
+    apart = written(placed.join(split, "bucket").where("component <> largest"), "apart")
+    if not apart.isEmpty():
+        outside = apart.select("id", F.col("largest").alias("component")).distinct()
+        inside = placed.select("id", "component").distinct().join(apart.select(F.col("largest").alias("component")).distinct(), "component", "left_semi")
+        links = written(links.union(joined_in_blocks(outside, inside, df, text, key, size, percent)), "links")
+        found = connected_components(links, "a", "b")
+        # what neither joined the largest nor each other
+        still = apart.join(found, "id", "left").select("bucket", "id", F.coalesce(found["component"], "id").alias("component")).join(small, "id")
+        one, two = (still.select("bucket", F.col("id").alias(x), F.col("component").alias(f"c{i}"), F.col("n").alias(f"n{i}"), F.col("sketch").alias(f"s{i}")) for i, x in ((1, "a"), (2, "b")))
+        rest = written(one.join(two, "bucket").where(near & (F.col("c1") > F.col("c2"))).select("a", "b").distinct(), "rest")
+        if not rest.isEmpty():
+            found = connected_components(links.union(confirmed(rest, df, text, key, size, percent)), "a", "b")
+    for table in (placed, apart, crowded):
+        drop_written(table)
 
     of_set = reps.join(found, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component"))
     return signed.join(of_set, "set_hash", "left").select(
