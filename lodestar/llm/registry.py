@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lodestar.llm import decontaminate, language_id, license_scan, media, mixing, near_dedup, quality, url_filters, warc
+from lodestar.llm import decontaminate, html_extract, language_id, license_scan, media, mixing, near_dedup, quality, url_filters, warc
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_warc_records": warc.op3_warc_records,
+    "op4_html_extraction": html_extract.op4_html_extraction,
     "op5_language_id": language_id.op5_language_id,
     "op6_url_filters": url_filters.op6_url_filters,
     "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
