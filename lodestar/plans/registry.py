@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "dense_topk"
-QUERIES = {}
-ORACLES = {}
+from lodestar.plans.oracles import ORACLES as ORACLES
+from lodestar.plans.queries import QUERIES as QUERIES
+
+FLAGSHIP = "hybrid_search"
