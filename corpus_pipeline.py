@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import id_remainder, written
+from lodestar.llm.common import by_ids, id_remainder, written
 from lodestar.llm.decontaminate import find_leaks
 from lodestar.llm.language_id import fit_language_model, identify_languages
 from lodestar.llm.mixing import mix
@@ -32,15 +32,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest doc_id of each group of near copies, by the default of five words and 0.8. Rows that repeat a doc_id and text stay or go together."""
     docs = docs.select(*COLUMNS)
-    dropped = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    dropped = written(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "copies")
+    return by_ids(docs, dropped, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which a benchmark passage leaks."""
     docs = docs.select(*COLUMNS)
     leaks = written(find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    return by_ids(docs, leaks, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

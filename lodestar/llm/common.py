@@ -78,3 +78,12 @@ def small_enough(spark: SparkSession, df: DataFrame, most_rows: int, most_bytes:
     length = sum((F.sum(F.coalesce(F.octet_length(t), F.lit(0))) for t in texts), F.lit(0))
     n, size = df.agg(F.count(F.lit(1)), length).first()
     return n <= most_rows and (size or 0) <= most_bytes
+
+
+#: Ids are broadcast up to this many, 16 MB of longs; beyond, the join shuffles.
+BROADCAST_IDS = 2_000_000
+
+
+def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """df semi- or anti-joined with distinct ids of a written table. Rows with texts stay where they are as long as the counted ids are few."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge"), key, how)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import byte_values, drop_written, in_blocks, written
+from lodestar.llm.common import by_ids, byte_values, drop_written, in_blocks, written
 from lodestar.llm.components import connected_components
 from lodestar.llm.wordhash import WordHasher
 
@@ -138,7 +138,8 @@ def may_match(n1: Column, n2: Column, percent: int) -> Column:
 def texts_of(ids: DataFrame, df: DataFrame, text: str, key: str) -> DataFrame:
     """id and text, a row for each of the ids."""
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return texts.join(ids.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    wanted = written(ids.select("id").distinct(), "ids")
+    return by_ids(texts, wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
 
 
 def linked(x: set, y: set, percent: int) -> bool:
