@@ -133,7 +133,7 @@ def is_object_id(c: Column) -> Column:
 
 def storage_preferences(c: Column) -> Column:
     """The known stores of a comma list, in order, each once."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.lower(F.coalesce(c, F.lit(""))), ","), F.trim), lambda x: x.isin("db", "s3", "disk")))
+    return F.array_distinct(F.filter(F.transform(F.split(F.lower(F.coalesce(c, F.lit(""))), ","), lambda x: F.trim(x)), lambda x: x.isin("db", "s3", "disk")))
 
 
 def string_id(c: Column) -> Column:

@@ -23,7 +23,7 @@ def publish_version(df: DataFrame, root: str, version: str, partition_by: tuple[
     out = fs.create(temporary, True)
     out.write(bytearray(version.encode()))
     out.close()
-    pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_pointer")
+    pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
     if fs.exists(pointer):
         fs.delete(pointer, False)
     if not fs.rename(temporary, pointer):
@@ -32,7 +32,7 @@ def publish_version(df: DataFrame, root: str, version: str, partition_by: tuple[
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
-    fs, pointer = _fs(spark, f"{root}/_pointer")
+    fs, pointer = _fs(spark, f"{root}/CURRENT")
     if not fs.exists(pointer):
         return None
     return spark.read.text(str(pointer)).first()[0]
