@@ -274,7 +274,8 @@ def make_pages(n: int, seed: int = 17) -> list[tuple[str, set[str]]]:
         return words(low, high).capitalize() + f" x{next(unique)}" + rng.choice("....!?")
 
     def paragraph() -> str:
-        return " ".join(sentence() for _ in range(rng.choice((1, 1, 2, 4, 9))))
+        text = " ".join(sentence(rng.choice((1, 4))) for _ in range(rng.choice((1, 1, 2, 4, 9))))
+        return text + rng.choice(("", "", "", "%%%", "###", " |", "$$$", "***")) if rng.random() < 0.5 else text
 
     def label(low: int = 1, high: int = 4) -> str:
         return words(low, high).capitalize() + f" x{next(unique)}"
@@ -353,7 +354,7 @@ def make_pages(n: int, seed: int = 17) -> list[tuple[str, set[str]]]:
             body.append(comments())
         if rng.random() < 0.1:
             body.insert(0, header() if rng.random() < 0.3 else menu())
-        shell = rng.choice(["article", "article", "article", 'article class="post"', "main", 'main id="content"', 'div class="content"', 'div id="main"', 'div class="post-body"', 'div class="entry-content"', 'div class="article-body"', 'section class="story"', ""])
+        shell = rng.choice(["article", "article", "article", 'article class="post"', "main", 'main id="content"', 'div class="content"', 'div id="main"', 'div class="post-body"', 'div class="entry-content"', 'div class="article-body"', 'section class="story"', 'section id="article"', 'div id="article"', 'div class="article"', 'div class="text"', 'div class="story-body"', 'div class="blog-post"', 'div role="main"', 'div class="page-content"', 'div itemprop="articleBody"', ""])
         article = f"<{shell}>{''.join(body)}</{shell.split()[0]}>" if shell else "".join(body)
         if rng.random() < 0.2:
             article = f"<main>{article}{rng.choice(others)() if rng.random() < 0.4 else ''}</main>"
@@ -369,7 +370,7 @@ def make_pages(n: int, seed: int = 17) -> list[tuple[str, set[str]]]:
 
 @functools.lru_cache(1)
 def default_field() -> BlockField:
-    return train_field(make_pages(600))
+    return train_field(make_pages(700))
 
 
 def extract_text(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url"), field: BlockField | None = None) -> DataFrame:
