@@ -73,11 +73,17 @@ def in_blocks(values: Iterable, most: int, size=len) -> Iterator[tuple[int, int]
         yield start, i
 
 
-def small_enough(spark: SparkSession, df: DataFrame, most_rows: int, most_bytes: int, *texts: str) -> bool:
-    """Whether df is proven small enough to be held by the driver and each executor."""
-    length = sum((F.sum(F.coalesce(F.octet_length(t), F.lit(0))) for t in texts), F.lit(0))
-    n, size = df.agg(F.count(F.lit(1)), length).first()
-    return n <= most_rows and (size or 0) <= most_bytes
+#: Arrow batches for Python are cut at so many rows and bytes where the session says nothing else: the JVM and a worker both hold a batch.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose batches are bounded."""
+    conf = df.sparkSession.conf
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        if key not in conf.getAll:
+            conf.set(key, str(value))
+    return df
 
 
 #: Ids are broadcast up to this many, 16 MB of longs; beyond, the join shuffles.

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import byte_values, in_blocks
+from lodestar.llm.common import byte_values, in_blocks, small_batches
 from lodestar.llm.wordhash import SPACES, WordHasher
 
 #: Shorter passages do not identify a leak.
@@ -177,7 +177,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: s
     items = benchmark.select(F.col(item_key).cast("long").alias("item"), F.lower(item_text).alias("passage")).where("passage is not null")
     n, size = items.agg(F.count(F.lit(1)), F.sum(F.octet_length("passage"))).first()
     blocks = max(1, -(-n // block_rows), -(-(size or 0) // block_bytes))
-    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.lower(text).alias("text"))
+    source = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.lower(text).alias("text"))
     out = None
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item", "passage"), F.lit(blocks)) == block) if blocks > 1 else items

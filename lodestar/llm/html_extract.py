@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import in_blocks
+from lodestar.llm.common import in_blocks, small_batches
 
 # HTML elements by how they are laid out, from the HTML standard.
 BLOCK_TAGS = frozenset(
@@ -380,7 +380,7 @@ def extract_text(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("pa
     whole. Extra columns are dropped; an empty table gives an empty result. No shuffle.
     """
     model = df.sparkSession.sparkContext.broadcast(field or default_field())
-    source = df.select(*keep, F.col(html).alias("_html"))
+    source = small_batches(df).select(*keep, F.col(html).alias("_html"))
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import byte_values, id_remainder, in_blocks
+from lodestar.llm.common import id_remainder, in_blocks, small_batches
 from lodestar.llm.sampling import bounded_sample
 
 DIMENSIONS = 4096
@@ -129,7 +129,7 @@ class LanguageModel:
 
 def fit_language_model(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows_per_language: int = ROWS_PER_LANGUAGE) -> LanguageModel | None:
     """Fitted on a sample of df's rows with text and lang; the driver gets their trigram distributions, not their texts. None without rows."""
-    labelled = df.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("text").rlike(r"\p{L}"))
+    labelled = small_batches(df).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("text").rlike(r"\p{L}"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +150,7 @@ def identify_languages(df: DataFrame, model: LanguageModel | None, text: str = "
     `und` with score 0: null texts, texts without a letter, and all texts where there is no model. Whole texts are used.
     Repeated rows and null ids are rows like others; an empty table gives an empty result. No shuffle.
     """
-    source = df.drop("lang_pred", "score")
+    source = small_batches(df).drop("lang_pred", "score")
     model = df.sparkSession.sparkContext.broadcast(model)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

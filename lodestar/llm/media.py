@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import byte_values, in_blocks
+from lodestar.llm.common import byte_values, in_blocks, small_batches
 
 WIDTH, HEIGHT, FPS = 64, 16, 25
 FRAME = WIDTH * HEIGHT
@@ -277,7 +277,7 @@ def encode_media(df: DataFrame, text: str = "text", key: str = "doc_id") -> Data
                     [batch.column("doc_id").slice(start, end - start), pa.array(map(len, own), pa.int64()), pa.array(encode_block([pad64(t) for t in own]), pa.binary())], ["doc_id", "n_bytes", "media"]
                 )
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(encoded, "doc_id long, n_bytes long, media binary")
+    return small_batches(df).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(encoded, "doc_id long, n_bytes long, media binary")
 
 
 def _over_files(df: DataFrame, row: Callable, kinds: str, names: tuple[str, ...]) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import by_ids, byte_values, drop_written, in_blocks, written
+from lodestar.llm.common import by_ids, byte_values, drop_written, in_blocks, small_batches, written
 from lodestar.llm.components import connected_components
 from lodestar.llm.wordhash import WordHasher
 
@@ -114,7 +114,7 @@ def signatures(df: DataFrame, text: str, key: str, size: int, bands: int, rows:
                     ["doc_id", "n", "set_hash", "bands", "sketch"],
                 )
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(signed, "doc_id long, n long, set_hash binary, bands array<long>, sketch array<long>")
+    return small_batches(df).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(signed, "doc_id long, n long, set_hash binary, bands array<long>, sketch array<long>")
 
 
 def differing_bits(x: Column, y: Column, words: int) -> Column:

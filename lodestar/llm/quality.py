@@ -1,8 +1,9 @@
 """Quality by compression: zstandard dictionaries trained on good and on bad text.
 
 Text like what a dictionary was trained on takes fewer bytes with it. Texts are compressed in pieces of PIECE bytes, so that a dictionary
-counts all along a long text. The difference of the two sizes, by the text's own size and by the sum of both, and the size without a
-dictionary go into a logistic function that is calibrated on rows the dictionaries have not seen.
+counts all along a long text. The difference of the two sizes, by the text's own size and by the sum of both, and the sizes with the good
+dictionary and without one go into a logistic function, each also weighted by how short the text is. The function is calibrated on rows
+that the dictionaries have not seen.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import byte_values, id_remainder, written
+from lodestar.llm.common import byte_values, id_remainder, small_batches, written
 from lodestar.llm.sampling import bounded_sample
 
 PIECE = 2048
@@ -32,11 +33,12 @@ class Compressors:
         plain = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.all = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), **plain) for d in (bad, good)] + [zstandard.ZstdCompressor(**plain)]
 
-    def features(self, text: bytes) -> tuple[float, float, float, float]:
+    def features(self, text: bytes) -> tuple[float, ...]:
         pieces = [text[i : i + PIECE] for i in range(0, len(text), PIECE)] or [b""]
         bad, good, plain = (sum(len(c.compress(p)) for p in pieces) for c in self.all)
         n = max(1, len(text))
-        return (bad - good) / n, (bad - good) / (bad + good), plain / n, 1 / (1 + n / 100)
+        short, difference = 1 / (1 + n / 100), (bad - good) / (bad + good)
+        return (bad - good) / n, difference, good / n, plain / n, short, short * difference, short * good / n, short * plain / n
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -74,7 +76,7 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, text: str = "text", ke
     """
     usable = labels.select(F.col(label_key).alias("key"), F.col(label).cast("int").alias("label")).where("key is not null and label in (0, 1)")
     sampled = bounded_sample(usable, "label", "key", rows_per_label, seed=3)
-    known = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text <> ''")
+    known = small_batches(docs).select(F.col(key).alias("key"), F.col(text).alias("text")).where("text <> ''")
     rows = written(known.join(F.broadcast(sampled.select("key", "label")), "key").withColumn("part", F.pmod(F.xxhash64(F.lit(5), "key"), F.lit(3))), "labelled")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,15 +96,15 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, text: str = "text", ke
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Compressors(bad, good)
         for batch in batches:
-            found = [own.features(t) for t in byte_values(batch, "text")]
+            found = [list(own.features(t)) for t in byte_values(batch, "text")]
             if found:
-                yield pa.RecordBatch.from_arrays([batch.column("label"), *map(pa.array, zip(*found, strict=True))], ["label", "a", "b", "c", "d"])
+                yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.list_(pa.float64()))], ["label", "x"])
 
-    held = rows.where("part = 0").select("label", "text").mapInArrow(measured, "label int, a double, b double, c double, d double").orderBy("label", "a", "b", "c", "d").collect()
+    held = rows.where("part = 0").select("label", "text").mapInArrow(measured, "label int, x array<double>").orderBy("label", "x").collect()
     y = np.array([r.label for r in held], float)
     if len(set(y)) < 2:
         return None
-    return QualityModel(bad, good, fit_logistic(np.array([[r.a, r.b, r.c, r.d] for r in held]), y))
+    return QualityModel(bad, good, fit_logistic(np.array([r.x for r in held]), y))
 
 
 def score_quality(df: DataFrame, model: QualityModel | None, text: str = "text") -> DataFrame:
@@ -111,7 +113,7 @@ def score_quality(df: DataFrame, model: QualityModel | None, text: str = "text")
     Null texts count as empty ones, which get the calibrated score of no text at all. Without a model every score is 0.5. Whole texts are used;
     repeated rows and null ids are rows like others; an empty table gives an empty result. No shuffle.
     """
-    source = df.drop("score", "predicted")
+    source = small_batches(df).drop("score", "predicted")
     model = df.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

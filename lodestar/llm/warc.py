@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import byte_values, shared_folder, written
+from lodestar.llm.common import byte_values, shared_folder, small_batches, written
 
 CHUNK = 1 << 20
 #: A writer begins another archive after so many compressed bytes.
@@ -123,7 +123,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
         if writer.done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*writer.done, strict=True)], ["path", "records", "bytes"])
 
-    rows = records.select("record_id", "url", "payload", "digest", "refers_to")
+    rows = small_batches(records).select("record_id", "url", "payload", "digest", "refers_to")
     return written(rows.mapInArrow(archived, "path string, records long, bytes long"), "manifest")
 
 
