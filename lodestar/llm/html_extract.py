@@ -340,12 +340,12 @@ def make_pages(n: int, seed: int = 17) -> list[tuple[str, set[str]]]:
                 body.append("<ul>" + "".join(f"<li>{keep(sentence())}</li>" for _ in range(rng.randint(1, 4))) + "</ul>")
             elif kind < 0.85:
                 body.append(f"<blockquote><p>{keep(sentence())}</p></blockquote>")
-            elif kind < 0.89:
+            elif kind < 0.875:
                 body.append(f"<table><tr><td>{keep(label(1, 5))}</td><td>{keep(label(1, 5))}</td></tr></table>")
-            elif kind < 0.905:
+            elif kind < 0.89:
                 body.append(f"<pre>{keep(label(3, 12))}</pre>")
-            elif kind < 0.92:
-                a, b, c = sentence(), label(), sentence()
+            elif kind < 0.94:
+                a, b, c = rng.choice((sentence, label))(), label(), rng.choice((sentence, sentence, lambda: "."))()
                 keep(f"{a} {b} {c}")
                 body.append(f'<p>{a} <a href="/x">{b}</a> {c}</p>')
             else:
