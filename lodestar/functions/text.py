@@ -159,6 +159,19 @@ def company_path(base: str, c: Column) -> Column:
     return F.when(s != "", F.concat(F.lit(f"{base}/company_id="), s)).otherwise(F.lit(f"{base}/company_id=__HIVE_DEFAULT_PARTITION__"))
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with the value evaluated once however often `use` names it, also within lambdas."""
+    return F.transform(F.array(value), lambda v: use(v))[0]
+
+
+def distinct_lines(lines: Column) -> Column:
+    """The first of lines that differ in case alone, in order, by two sorts."""
+    keyed = F.array_sort(F.transform(lines, lambda x, i: F.struct(F.lower(x).alias("key"), i.alias("i"), x.alias("line"))))
+    first = once(keyed, lambda ks: F.filter(ks, lambda k, i: (i == 0) | (F.get(ks, i - 1)["key"] != k["key"])))
+    back = F.array_sort(F.transform(first, lambda k: F.struct(k["i"].alias("i"), k["line"].alias("line"))))
+    return F.transform(back, lambda k: k["line"])
+
+
 def clean_markdown(c: Column, ascii_footers: bool = False, one_per_line: bool = True, drop_footers: bool = True, compat: bool = False) -> Column:
     """Markdown as plain lines: links as their text, no images, no bare URLs, no page furniture, and each line once whatever its case.
 
@@ -185,6 +198,4 @@ def clean_markdown(c: Column, ascii_footers: bool = False, one_per_line: bool =
         starts = [] if ascii_footers else FOOTER_STARTS
         furniture = "|".join([rf"^(?:{'|'.join(map(re.escape, whole))})$", *(f"^{re.escape(s)}" for s in starts), f"(?:{'|'.join(FOOTER_PARTS)})", "^copyright", "^c" if compat and ascii_footers else r"^\(c\)" if ascii_footers else "^©"])
         lines = F.filter(lines, lambda x: (F.length(x) > 2) & ~x.rlike(f"(?iu){furniture}"))
-    lowered = F.transform(lines, F.lower)
-    first = F.filter(lines, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
-    return F.array_join(first, "\n")
+    return F.array_join(distinct_lines(lines), "\n")
