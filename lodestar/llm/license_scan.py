@@ -3,6 +3,10 @@
 A text is scanned in units: each of its lines, and the whole text where that has several lines. A unit of n distinct bigrams can
 reach a Dice coefficient t with a template of m bigrams only if t / (2 - t) * m <= n <= (2 - t) / t * m: those bounds prune units before
 their bigrams are made, and templates before they are compared.
+
+Notices that are wrapped, or lie inside a longer line, are found as passages: runs of words of any length up to (2 - t) / t times the
+template's, anywhere in the text. A best run starts and ends with a bigram of the template, so only those are scored. Texts are
+cut into blocks that overlap by the longest run, so that no row holds more than a block.
 """
 
 from __future__ import annotations
@@ -37,6 +41,10 @@ TEMPLATES = [
 
 THRESHOLD = 0.8
 
+#: Bigrams in which the runs of one block of a text start.
+BLOCK = 1024
+WORD = r"([a-z0-9]+(?:\.[0-9]+)*)"
+
 
 def normalised(text: str) -> list[str]:
     """The words of a template, by the rule that the columns follow: a-z and 0-9 runs, dots inside a number kept."""
@@ -66,33 +74,89 @@ def _bigrams(words: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)))
 
 
+def _listed(sized: list[tuple[str, list[str]]], longest: list[int]) -> Column:
+    grams = lambda own: F.array(*(F.lit(x) for x in own))
+    return F.array(*(F.struct(F.lit(name).alias("license"), F.lit(len(g)).alias("m"), F.lit(n).alias("longest"), grams(g).alias("t_grams")) for (name, g), n in zip(sized, longest, strict=True)))
+
+
+def _passages(texts: DataFrame, listed: Column, longest: int, low: float, threshold: float) -> DataFrame:
+    """For each bigram of a text at which a run begins that matches a template: the best run (of equal ones the shortest), by its first and last bigram and line."""
+    inside = lambda a: F.transform(a, lambda p: p["gram"])
+    words = F.transform(F.split("lowered", "\n"), lambda line, i: F.transform(F.regexp_extract_all(line, F.lit(WORD), F.lit(1)), lambda w: F.struct(w.alias("word"), i.alias("line"))))
+    worded = texts.select("_key", "_text", F.explode(F.array(F.flatten(words))).alias("words")).where(F.size("words") > 1)
+    n = F.size("words") - 1
+    pairs = F.zip_with(F.slice("words", F.lit(1), n), F.slice("words", F.lit(2), n), lambda a, b: F.struct(F.concat_ws(" ", a["word"], b["word"]).alias("gram"), a["line"].alias("first"), b["line"].alias("last")))
+    paired = worded.select("_key", "_text", F.explode(F.array(pairs)).alias("all"))
+    cut = F.transform(F.sequence(F.lit(0), F.size("all") - 1, F.lit(BLOCK)), lambda at: F.struct(at.alias("at"), F.slice("all", at + 1, F.lit(BLOCK + longest)).alias("pairs")))
+    blocks = paired.select("_key", "_text", F.inline(cut)).select("_key", "_text", "at", "pairs", F.explode(F.array(inside(F.col("pairs")))).alias("grams"))
+    near = blocks.select("_key", "_text", "at", "pairs", F.explode(F.filter(listed, lambda t: F.size(F.array_intersect(t["t_grams"], F.col("grams"))) >= t["m"] * low)).alias("t"))
+    starts = F.filter(F.sequence(F.lit(1), F.least(F.lit(BLOCK), F.size("pairs"))), lambda i: F.array_contains(F.col("t.t_grams"), F.get("pairs", i - 1)["gram"]))
+    runs = near.select("_key", "_text", "t", F.inline(F.transform(starts, lambda i: F.struct((F.col("at") + i).alias("start"), F.slice("pairs", i, F.col("t.longest")).alias("run")))))
+    runs = runs.select("_key", "_text", "t", "start", "run", F.explode(F.array(inside(F.col("run")))).alias("grams")).where(F.size(F.array_intersect("grams", "t.t_grams")) >= F.col("t.m") * low)
+    ends = F.filter(F.sequence(F.ceil(F.col("t.m") * low).cast("int"), F.size("run")), lambda e: F.array_contains(F.col("t.t_grams"), F.get("grams", e - 1)))
+
+    def scored(e: Column) -> Column:
+        own = F.slice("grams", F.lit(1), e)
+        dice = 2.0 * F.size(F.array_intersect(own, F.col("t.t_grams"))) / (F.size(F.array_distinct(own)) + F.col("t.m"))
+        return F.struct(dice.alias("dice"), (-e).alias("minus"), F.get("run", e - 1)["last"].alias("last"))
+
+    best = runs.select("_key", "_text", "t.license", "start", F.get("run", F.lit(0))["first"].alias("first"), F.explode(F.array(F.array_max(F.transform(ends, scored)))).alias("best"))
+    return best.where(F.col("best.dice") >= threshold).select("_key", "_text", "license", F.struct("start", (F.col("start") - F.col("best.minus") - 1).alias("end"), "best.dice", "first", "best.last").alias("passage"))
+
+
+def _apart(runs: str) -> Column:
+    """Of runs in the order of their starts, one of each set that overlaps: the best, of equal ones the first."""
+    c = F.col(runs)
+    first = F.struct(F.get(c, F.lit(0)).alias("now"), F.slice(c, F.lit(1), F.lit(0)).alias("done"))
+
+    def step(a: Column, x: Column) -> Column:
+        new = F.struct(x.alias("now"), F.concat(a["done"], F.array(a["now"])).alias("done"))
+        same = F.struct(F.when(x["dice"] > a["now"]["dice"], x).otherwise(a["now"]).alias("now"), a["done"].alias("done"))
+        return F.when(x["start"] > a["now"]["end"], new).otherwise(same)
+
+    return F.when(F.size(c) > 0, F.aggregate(c, first, step, lambda a: F.concat(a["done"], F.array(a["now"])))).otherwise(c)
+
+
 def scan_licenses(df: DataFrame, text: str = "text", key: str = "doc_id", templates=tuple(TEMPLATES), threshold: float = THRESHOLD) -> DataFrame:
     """One row per key and licence: license, n_units (units that match it), first_unit (the first line, from 0; -1: the whole text), dice (the best, rounded to 6).
 
+    Units are lines, whole texts of several lines, and passages: a notice over several lines or inside a line counts for the line in
+    which it begins, unless it touches a line that matches the licence itself or the whole text does. Of passages that overlap the best counts.
     Null and empty texts and texts without a match give no row. Of several templates of a licence the best counts for a unit. Rows
     that repeat a key are reported once, each unit number counted once. A null key is a key. Extra columns are ignored. The whole
-    text is scanned, however long. Templates are an argument held by the driver; they become literals of the plan. The one
-    shuffle carries matches.
+    text is scanned, however long. Templates are an argument held by the driver; they become literals of the plan. The
+    shuffles carry matches.
     """
-    sized = [(name, bigrams(normalised(t))) for name, t in templates]
-    sized = [(name, grams) for name, grams in sized if grams]
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    sized = [(name, bigrams(normalised(t)), len(normalised(t)) - 1) for name, t in templates]
+    sized = [(name, grams, n) for name, grams, n in sized if grams]
+    sized, lengths = [x[:2] for x in sized], [x[2] for x in sized]
+    # a little wide: rounding must not prune what reaches the threshold exactly
+    low, high = threshold / (2 - threshold) - 1e-9, (2 - threshold) / threshold + 1e-9
     least, most = min(len(g) for _, g in sized) * low, max(len(g) for _, g in sized) * high
-    listed = F.array(*(F.struct(F.lit(name).alias("license"), F.lit(len(g)).alias("m"), F.array(*(F.lit(x) for x in g)).alias("t_grams")) for name, g in sized))
+    longest = [math.floor(n * high) for n in lengths]
+    listed = _listed(sized, longest)
     lowered = F.lower(F.col(text))
     numbered = lambda c, first: F.transform(c, lambda line, i: F.struct((i + first).alias("unit"), line.alias("line")))
     parts = F.concat(numbered(F.split(lowered, "\n"), 0), F.when(F.contains(F.col(text), F.lit("\n")), numbered(F.array(lowered), -1)).otherwise(F.expr("array()")))
-    units = df.select(F.col(key).alias("_key"), F.inline(parts))
+    anchored = lambda c: functools.reduce(lambda a, b: a | b, (F.contains(c, F.lit(w)) for w in anchors(sized, low)))
     # each generator below keeps the filters that follow from being merged into the expressions before it, which would repeat those
-    likely = units.where(functools.reduce(lambda a, b: a | b, (F.contains("line", F.lit(w)) for w in anchors(sized, low))))
-    worded = likely.select("_key", "unit", F.explode(F.array(F.regexp_extract_all("line", F.lit(r"([a-z0-9]+(?:\.[0-9]+)*)"), F.lit(1)))).alias("words")).where(F.size("words") > least)
-    grams = worded.select("_key", "unit", F.explode(F.array(_bigrams(F.col("words")))).alias("grams")).where(F.size("grams").between(F.lit(least), F.lit(most)))
+    texts = df.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_text"), F.col(text), F.explode(F.array(lowered)).alias("lowered")).where(anchored("lowered"))
+    units = texts.select("_key", "_text", F.inline(parts))
+    likely = units.where(anchored("line"))
+    worded = likely.select("_key", "_text", "unit", F.explode(F.array(F.regexp_extract_all("line", F.lit(WORD), F.lit(1)))).alias("words")).where(F.size("words") > least)
+    grams = worded.select("_key", "_text", "unit", F.explode(F.array(_bigrams(F.col("words")))).alias("grams")).where(F.size("grams").between(F.lit(least), F.lit(most)))
     near = F.filter(listed, lambda t: F.size("grams").between(t["m"] * low, t["m"] * high))
-    scored = grams.select("_key", "unit", "grams", F.explode(near).alias("t")).select(
-        "_key", "unit", "t.license", (2.0 * F.size(F.array_intersect("grams", "t.t_grams")) / (F.size("grams") + F.col("t.m"))).alias("dice")
+    scored = grams.select("_key", "_text", "unit", "grams", F.explode(near).alias("t")).select(
+        "_key", "_text", "unit", "t.license", (2.0 * F.size(F.array_intersect("grams", "t.t_grams")) / (F.size("grams") + F.col("t.m"))).alias("dice")
     )
+    whole = scored.where(F.col("dice") >= threshold).select("_key", "_text", "license", F.struct("unit", "dice").alias("whole"))
+    both = whole.unionByName(_passages(texts.select("_key", "_text", "lowered"), listed, max(longest), low, threshold), allowMissingColumns=True)
+    # sets, not lists: copies of a row add nothing
+    found = both.groupBy("_key", "_text", "license").agg(F.collect_set("whole").alias("wholes"), F.sort_array(F.collect_set("passage")).alias("runs"))
+    touched = lambda p: F.exists("wholes", lambda w: (w["unit"] == -1) | w["unit"].between(p["first"], p["last"]))
+    passages = F.transform(F.filter(_apart("runs"), lambda p: ~touched(p)), lambda p: F.struct(p["first"].alias("unit"), p["dice"].alias("dice")))
     return (
-        scored.where(F.col("dice") >= threshold)
+        found.select("_key", "license", F.inline(F.concat("wholes", passages)))
         .groupBy(F.col("_key").alias(key), "license")
         .agg(F.count_distinct("unit").cast("long").alias("n_units"), F.min("unit").alias("first_unit"), F.round(F.max("dice"), 6).alias("dice"))
     )

@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import random
+import textwrap
 import zlib
 
 import pytest
@@ -269,6 +270,55 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(odd_docs(spark)).collect() == [] and license_scan.scan_licenses(empty_docs(spark)).collect() == []
 
 
+def best_runs(text):
+    """Brute force: the best Dice coefficient of each licence, of lines and the whole text, and of all runs of words up to 1.5 times a template's."""
+    units, runs = collections.Counter(), collections.Counter()
+    words = license_scan.normalised(text)
+    pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+    for name, notice in license_scan.TEMPLATES:
+        own = license_scan.normalised(notice)
+        grams, longest = set(license_scan.bigrams(own)), (len(own) - 1) * 3 // 2
+        dice = lambda x: 2 * len(x & grams) / (len(x) + len(grams))  # noqa: B023, E731
+        for unit in {*text.split("\n"), text}:
+            units[name] = max(units[name], dice(set(license_scan.bigrams(license_scan.normalised(unit)))))
+        for i in range(len(pairs)):
+            seen = set()
+            for p in pairs[i : i + longest]:
+                seen.add(p)
+                runs[name] = max(runs[name], dice(seen))
+    return {name: round(units[name] if units[name] >= 0.8 else runs[name], 6) for name in runs if runs[name] >= 0.8}
+
+
+def test_licenses_in_passages(spark):
+    """Every notice in a document of 200 other words, wrapped or inside a line, whole or edited, against brute force."""
+    rng = random.Random(4)
+    prose = lambda n: " ".join(f"{rng.choice('bdfgk')}{rng.choice('aeiou')}{rng.randrange(99)}x" for _ in range(n))
+    rows, whole = [], set()
+    for name, notice in license_scan.TEMPLATES:
+        for wrapped in (textwrap.fill(notice, 70), textwrap.fill(notice, 78, initial_indent=" * ", subsequent_indent=" * "), f"{prose(40)} {notice} {prose(40)}"):
+            whole.add((len(rows), name))
+            rows.append((len(rows), f"{prose(100)}\n{wrapped}\n{prose(100)}"))
+        for _ in range(3):
+            words = notice.split()
+            for _ in range(rng.randint(1, 1 + len(words) // 6)):
+                at = rng.randrange(len(words))
+                words[at : at + rng.randint(0, 1)] = [prose(1)] * rng.randint(0, 2)
+            rows.append((len(rows), f"{prose(30)}\n{prose(9)} {' '.join(words)} {prose(60)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = license_scan.scan_licenses(docs.union(docs.limit(1))).collect()
+    assert {(r.doc_id, r.license): r.dice for r in got} == {(i, name): d for i, text in rows for name, d in best_runs(text).items()}
+    assert whole <= {(r.doc_id, r.license) for r in got}
+    assert all((r.n_units, r.first_unit) == (1, 1) for r in got if (r.doc_id, r.license) in whole)
+
+
+def test_licenses_where_passages_lie(spark):
+    """Passages count by the line in which they begin, across the blocks of long texts, and not again where a line matches."""
+    mit, far = "Released under the MIT License.", " ".join(["far"] * (license_scan.BLOCK - 3))
+    rows = [(1, f"This project is {mit}"), (2, f"x\nwell, {mit} {far} {mit}\n" + f"so it is {mit}\n{far}\n" * 3), (3, f"{far} Released under\nthe MIT License\nx"), (4, f"{mit}\nand {far}"), (5, f"x {far}\n{mit}")]
+    got = license_scan.scan_licenses(spark.createDataFrame([*rows, (None, rows[0][1]), (None, rows[0][1])], "doc_id long, text string")).collect()
+    assert {tuple(r) for r in got} == {(None, "MIT", 1, 0, 1.0), (1, "MIT", 1, 0, 1.0), (2, "MIT", 4, 1, 1.0), (3, "MIT", 1, 0, 1.0), (4, "MIT", 1, 0, 1.0), (5, "MIT", 1, 1, 1.0)}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
