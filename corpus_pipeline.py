@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import by_ids, id_remainder, written
+from lodestar.llm.common import WORD, by_ids, id_remainder, written
 from lodestar.llm.decontaminate import find_leaks
 from lodestar.llm.language_id import fit_language_model, identify_languages
 from lodestar.llm.mixing import mix
@@ -15,6 +15,11 @@ from lodestar.llm.quality import fit_quality_model, score_quality
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def with_row(docs: DataFrame) -> DataFrame:
+    """docs as a written table with a key of its own for each row, _row: doc_id may be null or repeated."""
+    return written(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "keyed")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a recognisable language (`und`). lang and all else stay as they are."""
     docs = docs.select(*COLUMNS)
@@ -30,17 +35,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each group of near copies, by the default of five words and 0.8. Rows that repeat a doc_id and text stay or go together."""
-    docs = docs.select(*COLUMNS)
-    dropped = written(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "copies")
-    return by_ids(docs, dropped, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps the document of the smallest doc_id of each group of near copies, by the default of five words and 0.8. Null ids come last; of rows that are equal in all, one is kept."""
+    docs = with_row(docs)
+    groups = near_duplicates(docs, key="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("component"))
+    # texts without a word are linked with nothing: among them only equal rows are copies
+    blank = F.when(~F.coalesce(F.col("text").rlike(WORD), F.lit(False)), F.sha2(F.to_json(F.struct(*COLUMNS)), 256)).alias("blank")
+    ids = docs.select("_row", F.col("doc_id").isNull().alias("no_id"), "doc_id", blank)
+    members = written(groups.join(ids, "_row").select("_row", "no_id", "doc_id", "blank", F.when(F.col("blank").isNull(), F.col("component")).alias("component")), "groups")
+    first = members.groupBy("component", "blank").agg(F.min(F.struct("no_id", "doc_id", "_row")).alias("first")).select("first._row")
+    dropped = written(members.select("_row").join(first, "_row", "left_anti"), "copies")
+    return by_ids(docs, dropped, "_row", "left_anti").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which a benchmark passage leaks."""
-    docs = docs.select(*COLUMNS)
-    leaks = written(find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct(), "leaks")
-    return by_ids(docs, leaks, "doc_id", "left_anti").select(*COLUMNS)
+    """Drops documents in which a benchmark passage leaks, each row by its own text."""
+    docs = with_row(docs)
+    leaks = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_row").select(F.col("doc_id").alias("_row")).distinct()
+    return by_ids(docs, written(leaks, "leaks"), "_row", "left_anti").select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

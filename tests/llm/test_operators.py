@@ -333,3 +333,18 @@ def test_pipeline(spark, tmp_path):
     ids = {r.doc_id for r in rows}
     assert ids <= {i for i, _, q in good if q} and len(ids) >= 0.95 * sum(q for *_, q in good)
     assert not ids & {1000, 1001, 1002, 1003}
+
+
+def test_pipeline_stages_with_odd_ids(spark, tmp_path):
+    """Null ids, equal rows, and texts that share an id: each row goes or stays by its own text."""
+    import corpus_pipeline
+
+    text = lambda w: " ".join(f"{w}{i}" for i in range(30))
+    passage = text("leak")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"x {passage} y"), (None, text("a")), (None, text("a")), (7, f"z {passage}"), (7, text("b")), (8, text("c")), (8, text("c")), (9, text("c")), (5, text("d")), (6, text("a")), (4, text("d")), (4, text("e")), (3, ""), (3, ""), (3, None), (2, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = lambda df: collections.Counter((r.doc_id, r.text) for r in df.collect())
+    assert kept(corpus_pipeline.decontaminate(spark, docs, str(tmp_path))) == collections.Counter(r for r in rows if passage not in (r[1] or ""))
+    want = [(7, f"z {passage}"), (7, text("b")), (8, text("c")), (6, text("a")), (4, text("d")), (4, text("e")), (3, ""), (3, None), (2, "")]
+    assert kept(corpus_pipeline.near_dedup(spark, docs, str(tmp_path))) == collections.Counter(want)
