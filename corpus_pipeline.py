@@ -21,7 +21,7 @@ def with_row(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a recognisable language (`und`). lang and all else stay as they are."""
+    """Rejects `und` only: null texts and texts without a letter. The predicted language and its score reject nothing; lang and all else stay as they are."""
     docs = docs.select(*COLUMNS)
     model = fit_language_model(docs.where(id_remainder(F.col("doc_id"), 4) != 2))
     return identify_languages(docs, model).where("lang_pred <> 'und'").select(*COLUMNS)
