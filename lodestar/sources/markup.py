@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import clean_markdown
 
-SKIPPED = frozenset(("script", "style", "noscript", "nav", "footer", "header", "form"))
+# Elements that are left out of the markdown of a page.
+SKIPPED = frozenset(("script", "style", "noscript", "nav", "footer", "header", "iframe"))
 BLOCKS = frozenset("p div section article main ul ol table tr blockquote pre figure dl dt dd hr body".split())
 VOID = frozenset("br hr img input link meta wbr source area base col embed param track".split())
 
@@ -70,36 +72,44 @@ def html_markdown(html: str | None) -> str:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]*\n[ \t]*", "\n", "".join(parser.out))).strip()
 
 
-def text_leaves(value, depth: int = 0, max_depth: int = 6, most: int = 200) -> Iterator[str]:
-    """Strings of a JSON value in their order, without bare URLs, to a depth, of lists the first `most`."""
-    if depth > max_depth:
-        return
-    if isinstance(value, str):
-        if (text := value.strip()) and not re.match(r"(https?://|data:)\S+$", text):
-            yield text
-    elif isinstance(value, (dict, list)):
-        for child in value.values() if isinstance(value, dict) else value[:most]:
-            yield from text_leaves(child, depth + 1, max_depth, most)
+# How deep extracted fields are read, how many items of a list count, and the least text worth an index entry.
+LEAF_DEPTH, LEAF_ITEMS, LEAST_TEXT = 6, 200, 200
+#: An address that is a whole field: a picture or a link, no text.
+ADDRESS = re.compile(r"(?:data:|https?://)\S+")
 
 
-def schema_text(content: str | None, min_chars: int = 200) -> str:
-    """Extracted fields, as JSON or plain text, as lines; empty under min_chars characters."""
-    raw = (content or "").strip()
-    try:
-        text = "\n".join(text_leaves(json.loads(raw))).strip() if raw else ""
-    except ValueError:
-        text = raw
-    return text if len(text) >= min_chars else ""
+def leaf_texts(tree) -> list[str]:
+    """The strings of a JSON value in reading order, trimmed, without blank ones and addresses. Walks level by level from an explicit stack."""
+    found, stack = [], [(tree, 0)]
+    while stack:
+        node, level = stack.pop()
+        match node:
+            case str():
+                found += [t for t in (node.strip(),) if t and not ADDRESS.fullmatch(t)]
+            case dict() if level < LEAF_DEPTH:
+                stack += [(v, level + 1) for v in reversed(node.values())]
+            case list() if level < LEAF_DEPTH:
+                stack += [(v, level + 1) for v in reversed(node[:LEAF_ITEMS])]
+    return found
+
+
+def schema_text(content: str | None, least: int = LEAST_TEXT) -> str:
+    """The text of extracted fields, one a line; what is not JSON is text already. Empty where there is too little."""
+    lines = (content or "").strip()
+    with contextlib.suppress(ValueError):
+        lines = "\n".join(leaf_texts(json.loads(lines)))
+    return lines if len(lines) >= least else ""
 
 
 def _mapped(df: DataFrame, column: str, convert) -> DataFrame:
     """df with a text column converted, in Arrow batches; a plan node of its own, so that JVM expressions can follow."""
+    at = df.columns.index(column)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.assign(**{column: [convert(None if pd.isna(x) else x) for x in batch[column]]})
+            yield batch.set_column(at, column, pa.array(map(convert, batch.column(at).to_pylist()), pa.string()))
 
-    return df.mapInPandas(rows, df.schema)
+    return df.mapInArrow(rows, df.schema)
 
 
 def html_to_markdown(df: DataFrame, column: str) -> DataFrame:

@@ -38,11 +38,11 @@ def test_markup():
     assert markup.html_markdown("<head><title>t</title></head><body><nav>m</nav><h2>H</h2><p>a <b>b</b> <a href='u'>c</a><ul><li>x<li>y</ul><img src=i></body>") == "## H\n\na **b** [c](u)\n\n* x\n* y"
     assert markup.schema_text(json.dumps({"a": ["x" * 150, "https://u/x"], "b": {"c": "y" * 60}})) == "x" * 150 + "\n" + "y" * 60
     assert markup.schema_text("short") == "" and markup.schema_text(None) == "" and markup.schema_text("p" * 200) == "p" * 200
-    assert list(markup.text_leaves([str(i) for i in range(300)])) == [str(i) for i in range(200)]
+    assert list(markup.leaf_texts([str(i) for i in range(300)])) == [str(i) for i in range(200)]
     deep = "v"
     for _ in range(8):
         deep = [deep]
-    assert list(markup.text_leaves(deep)) == []
+    assert list(markup.leaf_texts(deep)) == []
 
 
 def test_tables(spark):
