@@ -28,19 +28,27 @@ MAX_CHARS = 300_000
 HEADING = r"(?m)^#{1,6}\s+(.*\S)\s*$"
 
 
+#: The characters of Unicode's property White_Space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    """Without white space, of any script, at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space, of any script, at both ends: looks at the ends alone."""
+    return F.btrim(c, F.lit(WHITE))
+
+
+def line_ends(c: Column) -> Column:
+    return F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def normalize_text(c: Column) -> Column:
     """Line ends as \\n, no white space at the ends; null is empty."""
-    return strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n?", "\n"))
+    return strip(line_ends(F.coalesce(c, F.lit(""))))
 
 
 def cleanup_lines(c: Column) -> Column:
     """Lines without white space at their ends, without blank ones."""
-    return F.array_join(F.filter(F.transform(F.split(c, "\r\n|\r|\n"), strip), lambda x: x != ""), "\n")
+    return F.array_join(F.filter(F.transform(F.split(line_ends(c), "\n"), strip), lambda x: x != ""), "\n")
 
 
 def token_estimate(c: Column) -> Column:

@@ -6,30 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Levels beyond this are an error in the data; cycles end a path where they close.
-MAX_DEPTH = 64
+from lodestar.session import checkpointed
 
 
-def paths(entries: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def paths(entries: DataFrame) -> DataFrame:
     """id, parent_id, text and the ids and texts from the root down to each entry. A missing parent, or one already on the path, ends it.
 
-    One join per level, until no path grows; each level joins the paths that are still open.
+    One join per level, until no path grows: each level is computed once, from the paths that are still open. Cycles end a path where they close, so
+    the levels end however deep the tree is.
     """
     nodes = entries.select("id", "parent_id", "text")
     step = nodes.select(F.col("id").alias("up"), F.col("parent_id").alias("above"), F.col("text").alias("up_text"))
-    open_ = nodes.select("id", "parent_id", "text", F.array("id").alias("ids"), F.array("text").alias("texts"), F.col("parent_id").alias("next"))
-    done = None
-    for _ in range(max_depth):
-        ended = open_.where("next is null")
-        joined = open_.where("next is not null").join(step, open_["next"] == step["up"], "left")
-        stopped = joined.where(F.col("up").isNull() | F.array_contains("ids", F.col("up"))).select(*open_.columns)
-        done = ended.unionByName(stopped) if done is None else done.unionByName(ended).unionByName(stopped)
-        open_ = joined.where(F.col("up").isNotNull() & ~F.array_contains("ids", F.col("up"))).select("id", "parent_id", "text", F.concat(F.array("up"), "ids").alias("ids"), F.concat(F.array("up_text"), "texts").alias("texts"), F.col("above").alias("next"))
-        if open_.isEmpty():
-            break
-    else:
-        done = done.unionByName(open_)
-    return done.select("id", "parent_id", "text", "ids", "texts")
+    level = nodes.select("id", "parent_id", "text", F.array("id").alias("ids"), F.array("text").alias("texts"), F.col("parent_id").alias("next"))
+    done = level.where("next is null")
+    level = level.where("next is not null")
+    while True:
+        joined = level.join(step, level["next"] == step["up"], "left")
+        grows = F.col("up").isNotNull() & ~F.array_contains("ids", F.col("up"))
+        longer = lambda c, own: F.when(grows, F.concat(F.array(c), own)).otherwise(F.col(own)).alias(own)
+        joined = checkpointed(joined.select("id", "parent_id", "text", longer("up", "ids"), longer("up_text", "texts"), F.when(grows, F.col("above")).alias("next")))
+        done = done.unionByName(joined.where("next is null"))
+        level = joined.where("next is not null")
+        if level.isEmpty():
+            return done.select("id", "parent_id", "text", "ids", "texts")
 
 
 def attributes_along(paths_: DataFrame, attributes: DataFrame) -> DataFrame:

@@ -71,12 +71,12 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return own[np.lexsort((ids[own], -rounded[own]))[:k]]
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, same: str | None = None, id_column: str = "faiss_id") -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, same: str | None = None, id_column: str = "faiss_id", strict: bool = True) -> DataFrame:
     """qid, faiss_id, score (rounded to 6), rank (from 1): the best k vectors of each query by inner product, ties by the smaller id.
 
     `queries` has qid, embedding and, with `same`, a column that must equal the vectors' column of that name: a search within a
-    partition of the vectors, whose filter reaches the scan when the vectors are partitioned by it. Vectors of another dimension than the query's,
-    and null ones, are not compared.
+    partition of the vectors, whose filter reaches the scan when the vectors are partitioned by it. Null vectors are not compared. Vectors of
+    another dimension than a query's are an error, unless `strict` is off: then they are not compared either.
     """
     n = queries.count()
     parts = max(1, -(-n // QUERY_BLOCK))
@@ -88,17 +88,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, same: str | None = Non
 
         def scored(batches: Iterator[pa.RecordBatch], q=q) -> Iterator[pa.RecordBatch]:
             rows = q.value
+            if not rows:
+                return
             groups: dict = {}
             for r in rows:
                 groups.setdefault((r[2] if same else None, len(r.embedding)), []).append(r)
             groups = {g: ([r.qid for r in rs], np.array([r.embedding for r in rs], np.float64)) for g, rs in groups.items()}
             for batch in batches:
-                ids = batch.column(id_column).to_numpy(zero_copy_only=False)
+                ids = batch.column("faiss_id").to_numpy(zero_copy_only=False)
                 lists = batch.column("embedding")
                 sizes = np.diff(lists.offsets.to_numpy())
                 flat = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
                 kinds = np.array(batch.column(same).to_pylist(), object) if same else None
                 valid = lists.is_valid().to_numpy(zero_copy_only=False)
+                if strict and not {int(n) for n in np.unique(sizes[valid])} <= {dim for _, dim in groups}:
+                    raise ValueError(f"vectors of {sorted({int(n) for n in np.unique(sizes[valid])})} dimensions, queries of {sorted({dim for _, dim in groups})}")
                 out = ([], [], [])
                 for (kind, dim), (qids, matrix) in groups.items():
                     mine = np.flatnonzero(valid & (sizes == dim) & (kinds == kind if same else True))
@@ -121,9 +125,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, same: str | None = Non
     return rounded.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "faiss_id"))).where(F.col("rank") <= k)
 
 
-def with_fallback(first: DataFrame, second: DataFrame) -> DataFrame:
-    """The hits of the first search, and those of the second for queries that the first left without any."""
-    return first.withColumn("scope", F.lit("company")).unionByName(second.join(first.select("qid").distinct(), "qid", "left_anti").withColumn("scope", F.lit("global_fallback")))
+def with_fallback(own: DataFrame, every: DataFrame, queries: DataFrame, k: int, same: str) -> DataFrame:
+    """The hits of each query among `own` vectors of its company (`same`), and among `every` vector for queries whose company has none, with their
+    scope. A search finds nothing only where there are no vectors, so the companies alone tell which queries fall back: no search is run twice."""
+    there = own.where("embedding is not null").select(same).distinct()
+    first = top_k(own, queries.join(there, same, "left_semi"), k, same=same).withColumn("scope", F.lit("company"))
+    return first.unionByName(top_k(every, queries.join(there, same, "left_anti"), k).withColumn("scope", F.lit("global_fallback")))
 
 
 def over_fetch(k: int, hybrid: bool = False, filtered: bool = False, cap: int = 5000) -> int:

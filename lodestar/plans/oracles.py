@@ -24,11 +24,11 @@ def _dense(k: int, name: str = "top", where: str = "true", same: str = "true", q
   FROM v, ({queries}) q WHERE ({where}) AND ({same})) WHERE rank <= {k})"""
 
 
-def _bm25(k: int, queries: str = "SELECT item_id AS qid, text FROM benchmark") -> str:
+def _bm25(k: int, queries: str = "SELECT item_id AS qid, text FROM benchmark", rows: str = "SELECT * FROM c") -> str:
     split = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
     return f"""q AS ({queries}),
 terms AS (SELECT DISTINCT qid, unnest({split}) AS term FROM q),
-toks AS (SELECT chunk_id, {split} AS t FROM c),
+toks AS (SELECT chunk_id, {split} AS t FROM ({rows})),
 size AS (SELECT count(*)::DOUBLE AS total, sum(len(t))::DOUBLE / count(*) AS mean FROM toks),
 posts AS (SELECT chunk_id, n, term, count(*)::DOUBLE AS tf FROM (SELECT chunk_id, len(t)::DOUBLE AS n, unnest(t) AS term FROM toks) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
 dfs AS (SELECT term, count(*)::DOUBLE AS df FROM posts GROUP BY term),
@@ -56,6 +56,32 @@ al AS (SELECT *, 0 AS side FROM dh UNION ALL SELECT *, 1 FROM lh),
 fused AS (SELECT qid, chunk_id, sum(1::DOUBLE / (60 + r)) AS rrf, arg_min(score, (side, r)) AS score, min((side, r)) AS first FROM al GROUP BY qid, chunk_id)"""
 
 
+DENSE_HITS = "dh AS (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) - 1 AS r FROM top JOIN shown USING (faiss_id){})"
+LEXICAL_HITS = "lh AS (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) - 1 AS r FROM lex JOIN (SELECT chunk_id FROM shown) USING (chunk_id))"
+FUSED = """al AS (SELECT *, 0 AS side FROM dh UNION ALL SELECT *, 1 FROM lh),
+fused AS (SELECT qid, chunk_id, sum(1::DOUBLE / (60 + r)) AS rrf, arg_min(score, (side, r)) AS score, min((side, r)) AS first FROM al GROUP BY qid, chunk_id)"""
+#: The text of a chunk and of those next to it: each adds what lies beyond the end of the one before.
+WIDE = """numbered AS (SELECT doc_id, chunk_id, char_start, char_end, text, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, chunk_id) AS place FROM c),
+parts AS (SELECT a.chunk_id, o.place, o.char_start, o.char_end, o.text, lag(o.char_end) OVER (PARTITION BY a.chunk_id ORDER BY o.place) AS before
+  FROM numbered a JOIN numbered o ON o.doc_id = a.doc_id AND o.place BETWEEN a.place - 1 AND a.place + 1),
+filled AS (SELECT chunk_id, place, CASE WHEN before IS NULL THEN repeat(' ', char_start) || text ELSE substr(text, before - char_start + 1) END AS piece FROM parts),
+wide AS (SELECT chunk_id, string_agg(piece, '' ORDER BY place) AS wide FROM filled GROUP BY chunk_id)"""
+
+
+def _placed(k: int, old: str = "rrf DESC, first", text: str = "c.text", query: str = "q.text", single: bool = True, rerank: str = "old", more: str = "", source: str = "fused", queries: str = "JOIN q ON q.qid = f.qid") -> str:
+    """From `fused` to the answer: reranking, title matches, one row for each document, the best k."""
+    one = "SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY qid, doc_id ORDER BY position) = 1" if single else "SELECT * FROM placed"
+    return f"""{more}rows_ AS (SELECT f.qid, f.chunk_id, c.doc_id, f.score, f.rrf, row_number() OVER (PARTITION BY f.qid ORDER BY {old}) AS old, {query} AS query, c.title, {text} AS text
+  FROM {source} f JOIN c USING (chunk_id) {queries}{' JOIN wide USING (chunk_id)' if more else ''}),
+again AS (SELECT * REPLACE (row_number() OVER (PARTITION BY qid ORDER BY {rerank}) AS old) FROM rows_),
+m AS (SELECT qid, chunk_id, doc_id, score, rrf, old, text, {MATCH} AS title_match FROM again),
+placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY title_match DESC, {'score DESC, ' if single else ''}old) AS position FROM m),
+single AS ({one})
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY position)::INT AS rank, doc_id, chunk_id, score, round(rrf, 6) AS rrf, title_match, md5(text) AS digest FROM single QUALIFY rank <= {k}"""
+
+
+GIVEN = "(user_id IS NULL OR user_id = 'u1') AND domain = 'd1.example'"
+SHORT = "SELECT qid, substr(text, 1, 2) AS text FROM (" + BOTH + ")"
 TITLED = f"""{C}, {_bm25(20)},
 rows_ AS (SELECT l.qid, l.chunk_id, c.doc_id, l.score, l.rank, q.text AS query, c.title, c.text FROM lex l JOIN c USING (chunk_id) JOIN q ON q.qid = l.qid),
 m AS (SELECT qid, chunk_id, doc_id, score, rank, {MATCH} AS title_match FROM rows_),
@@ -86,7 +112,9 @@ ORACLES = {
     "dense_post_filter": f"WITH {V}, {_dense(10)} SELECT top.*, v.company_id FROM top JOIN v USING (faiss_id) WHERE v.company_id = 'c1'",
     "dense_fallback": f"""WITH {V}, {_dense(5, 'own', where="v.company_id = 'c0'", same='v.company_id = q.company_id')}, {_dense(5, 'every')}
 SELECT *, 'company' AS scope FROM own UNION ALL SELECT *, 'global_fallback' FROM every WHERE qid NOT IN (SELECT qid FROM own)""",
-    "vector_norms": "SELECT vec_id AS faiss_id, len(embedding)::INT AS dimension, 1.0::DOUBLE AS norm FROM embeddings",
+    "vector_norms": f"""WITH {V}, u AS (SELECT faiss_id, e, sqrt(list_sum(list_transform(e, lambda x: 9 * x * x))) AS n FROM v),
+w AS (SELECT faiss_id, list_transform(e, lambda x: CASE WHEN n > 0 THEN (3 * x / n)::FLOAT::DOUBLE ELSE 3 * x END) AS e FROM u)
+SELECT faiss_id, len(e)::INT AS dimension, round(list_sum(list_transform(e, lambda x: x * x)), 4) AS norm FROM w""",
     "chunk_windows": f"WITH {C} SELECT doc_id, chunk_index, char_start, char_end, text FROM c",
     "chunk_stats": rf"WITH {C} SELECT doc_id, count(*) AS chunk_count, sum(length(text))::BIGINT AS char_count, sum(len(regexp_extract_all(text, '\S+')))::BIGINT AS token_count FROM c GROUP BY doc_id",
     "chunk_strategy": r"SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '(?m)^#{1,6}\s+\S') THEN 'structure' ELSE 'char' END AS strategy FROM documents",
@@ -110,6 +138,18 @@ m AS (SELECT qid, chunk_id, doc_id, score, rrf, old, {MATCH} AS title_match FROM
 placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY title_match DESC, score DESC, old) AS position FROM m),
 single AS (SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY qid, doc_id ORDER BY position) = 1)
 SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY position)::INT AS rank, doc_id, chunk_id, score, round(rrf, 6) AS rrf, title_match FROM single QUALIFY rank <= 10""",
+    "search_filtered": f"""WITH {V}, {D}, {C}, {SHOWN}, {_dense(5000, queries=VECTORS_OF_BOTH)}, {_bm25(5000, BOTH, f"SELECT * FROM c WHERE {GIVEN}")},
+{DENSE_HITS.format(f" WHERE {GIVEN}")}, {LEXICAL_HITS}, {FUSED}, {_placed(5)}""",
+    "search_fallback": f"""WITH {V}, {D}, {C}, {SHOWN}, q AS ({BOTH}), {_dense(5000, queries=VECTORS_OF_BOTH)}, {DENSE_HITS.format(" WHERE company = 'src1'")}, {_placed(5, 'r', source='(SELECT *, NULL::DOUBLE AS rrf FROM dh)')}""",
+    "search_short_query": f"WITH {V}, {D}, {C}, {SHOWN}, {_dense(40, queries=VECTORS_OF_BOTH)}, {_bm25(40, SHORT)}, {DENSE_HITS.format('')}, {LEXICAL_HITS}, {FUSED}, {_placed(10, single=False)}",
+    "search_radius": f"WITH {_fused(12)}, {_placed(3, text='wide.wide', more=WIDE + ', ')}",
+    "search_reranked": f"WITH {_fused(40)}, {_placed(10, rerank='old > 5, CASE WHEN old <= 5 THEN -length(text) END, old')}",
+    "search_report": f"""WITH {V}, {D}, {C}, {SHOWN}, {_dense(5000, queries=VECTORS_OF_BOTH)}, {_bm25(5000, BOTH, "SELECT * FROM c WHERE company = 'src1'")}, {DENSE_HITS.format(" WHERE company = 'src1'")}, {LEXICAL_HITS}
+SELECT q.qid, 'hybrid' AS retrieval, true AS hybrid_applied, false AS rerank_applied, (SELECT count(*) FROM dh WHERE dh.qid = q.qid) AS dense_count, (SELECT count(*) FROM lh WHERE lh.qid = q.qid) AS lexical_count,
+'global_fallback' AS index_scope, 'empty_results' AS fallback_reason FROM q""",
+    "web_search": f"""WITH {V}, {D}, {C}, {_dense(10, queries=VECTORS_OF_BOTH)}, {WIDE}, seen AS (SELECT c.* FROM c LEFT JOIN d USING (doc_id) WHERE {VISIBLE} AND (user_id IS NULL OR user_id IN ('u1', 'u2')))
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id)::INT AS rank, chunk_id, score, md5(wide) AS digest FROM top JOIN seen USING (faiss_id) JOIN wide USING (chunk_id)""",
+    "entry_search": f"WITH {V}, {_dense(10)} SELECT top.faiss_id AS id, qid, score, rank, company_id FROM top JOIN v USING (faiss_id) WHERE v.company_id = 'c2'",
     "rerank_top": f"WITH {C}, {_bm25(10)} SELECT qid, chunk_id, (row_number() OVER (PARTITION BY qid ORDER BY rank > 5, CASE WHEN rank <= 5 THEN -length(chunk_id) END, rank) - 1)::INT AS position FROM lex",
     "latest_per_key": "SELECT user_id AS document_id, event_id AS job_id, event_type AS state, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "topn_per_key": "SELECT user_id AS document_id, event_id AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS n FROM events QUALIFY n <= 3",

@@ -59,7 +59,7 @@ def dense_post_filter(spark, d):
 @query
 def dense_fallback(spark, d):
     v, q = schema.vectors(spark, d), vector_queries(spark, d)
-    return dense.with_fallback(dense.top_k(v.where("company_id = 'c0'"), q, 5, same="company_id"), dense.top_k(v, q, 5))
+    return dense.with_fallback(v.where("company_id = 'c0'"), v, q, 5, "company_id")
 
 
 @query
@@ -133,7 +133,7 @@ def reconstruct_text(spark, d):
 @query
 def neighbour_radius(spark, d):
     chunks = schema.chunks(spark, d)
-    hits = lexical.best(lexical.bm25(chunks, "chunk_id", text_queries(spark, d)), "chunk_id", 3).select("qid", "chunk_id").join(chunks.select("chunk_id", "doc_id"), "chunk_id")
+    hits = F.broadcast(lexical.top_k(chunks, "chunk_id", text_queries(spark, d), 3, keep=("doc_id",)).select("qid", "chunk_id", "doc_id"))
     return aggregates.neighbours(hits, chunks.select("doc_id", "chunk_id", "chunk_index"), 1).select("qid", "hit", "chunk_id")
 
 
@@ -142,13 +142,14 @@ def neighbour_radius(spark, d):
 
 @query
 def lexical_topk(spark, d):
-    return lexical.best(lexical.bm25(schema.chunks(spark, d), "chunk_id", text_queries(spark, d)), "chunk_id", 10)
+    return lexical.top_k(schema.chunks(spark, d), "chunk_id", text_queries(spark, d), 10)
 
 
 @query
 def rrf_fuse(spark, d):
     c, docs, q = schema.chunks(spark, d), schema.documents(spark, d), both_queries(spark, d)
-    return fusion.rrf(search.dense_hits(schema.vectors(spark, d), q, c, docs, 20), search.lexical_hits(c, q.select("qid", "text"), docs, 20)).select("qid", "chunk_id", "score", "rrf")
+    found = search.dense_hits(search.vector_hits(schema.vectors(spark, d), q, 20), c, docs, 20 * q.count())
+    return fusion.rrf(found, search.lexical_hits(c, q.select("qid", "text"), docs, 20)).select("qid", "chunk_id", "score", "rrf")
 
 
 @query
@@ -165,8 +166,8 @@ def doc_dedupe(spark, d):
 def _titled(spark, d):
     c = schema.chunks(spark, d)
     q = text_queries(spark, d)
-    hits = lexical.best(lexical.bm25(c, "chunk_id", q), "chunk_id", 20).select("qid", "chunk_id", "score", (F.col("rank") - 1).alias("position"))
-    rows = hits.join(c.select("chunk_id", "doc_id", "text", "metadata"), "chunk_id").join(q.select("qid", F.col("text").alias("query")), "qid")
+    hits = lexical.top_k(c, "chunk_id", q, 20).select("qid", "chunk_id", "score", (F.col("rank") - 1).alias("position"))
+    rows = c.select("chunk_id", "doc_id", "text", "metadata").join(search.few(hits, 20 * q.count()), "chunk_id").join(q.select("qid", F.col("text").alias("query")), "qid")
     return fusion.promote(rows, fusion.title_match(F.col("query"), F.col("metadata")["title"], F.col("text")))
 
 
@@ -178,10 +179,64 @@ def hybrid_search(spark, d):
 @query
 def rerank_top(spark, d):
     """The first 5 of each query by the length of the chunk's id, the rest as before."""
-    hits = lexical.best(lexical.bm25(schema.chunks(spark, d), "chunk_id", text_queries(spark, d)), "chunk_id", 10).select("qid", "chunk_id", (F.col("rank") - 1).alias("position"))
+    hits = lexical.top_k(schema.chunks(spark, d), "chunk_id", text_queries(spark, d), 10).select("qid", "chunk_id", (F.col("rank") - 1).alias("position"))
     return fusion.rerank(hits, F.length("chunk_id"), 5)
 
 
+@query
+def search_filtered(spark, d):
+    """Filters on the chunk: many more candidates are fetched, and the filters come before the best lexical ones."""
+    given = {"user_id": {"$in": ["u1", None]}, "metadata.domain": "d1.example"}
+    return _searched(search.chunk_search(schema.vectors(spark, d), schema.chunks(spark, d), schema.documents(spark, d), both_queries(spark, d), 5, given))
+
+
+@query
+def search_fallback(spark, d):
+    """The company that the filter names has no vectors of its own: all vectors are searched."""
+    return _searched(search.chunk_search(schema.vectors(spark, d), schema.chunks(spark, d), schema.documents(spark, d), both_queries(spark, d), 5, {"company_id": "src1"}, hybrid=False))
+
+
+@query
+def search_short_query(spark, d):
+    """Queries of two characters: the fused order stays, and documents may have several rows."""
+    q = both_queries(spark, d).withColumn("text", F.substring("text", 1, 2))
+    return _searched(search.chunk_search(schema.vectors(spark, d), schema.chunks(spark, d), schema.documents(spark, d), q, 10))
+
+
+@query
+def search_radius(spark, d):
+    return _searched(search.chunk_search(schema.vectors(spark, d), schema.chunks(spark, d), schema.documents(spark, d), both_queries(spark, d), 3, radius=1))
+
+
+@query
+def search_reranked(spark, d):
+    """The first 5 of each query reranked, here by the length of the chunk's text."""
+    by_length = lambda q, t: F.length(t).cast("double")
+    return _searched(search.chunk_search(schema.vectors(spark, d), schema.chunks(spark, d), schema.documents(spark, d), both_queries(spark, d), 10, reranker=by_length, rerank_top=5))
+
+
+@query
+def search_report(spark, d):
+    return search.search_report(schema.vectors(spark, d), schema.chunks(spark, d), schema.documents(spark, d), both_queries(spark, d), 5, {"company_id": "src1"})
+
+
+@query
+def web_search(spark, d):
+    rows = search.web_search(schema.vectors(spark, d), schema.chunks(spark, d), schema.documents(spark, d), both_queries(spark, d), 10, {"user_id": {"$in": ["u1", "u2", None]}}, radius=1)
+    return rows.select("qid", "rank", "chunk_id", "score", F.md5("text").alias("digest"))
+
+
+@query
+def entry_search(spark, d):
+    """Entries of one company among the best 10 of each query."""
+    entries = schema.vectors(spark, d).withColumnRenamed("faiss_id", "id")
+    return search.entry_search(entries, vector_queries(spark, d).select("qid", "embedding"), 10, F.col("company_id") == "c2")
+
+
+def _searched(rows):
+    return rows.select("qid", "rank", "doc_id", "chunk_id", "score", "rrf", "title_match", F.md5("text").alias("digest"))
+
+
 # ---- windows and budgets
 
 
@@ -428,18 +483,18 @@ def web_metadata(spark, d):
 
 @query
 def html_to_markdown(spark, d):
-    return markup.pages_as_markdown(table(spark, d, "pages"))
+    return markup.pages_as_markdown(table(spark, d, "pages", spread=True))
 
 
 @query
 def structure_chunks(spark, d):
-    pages = markup.html_to_markdown(table(spark, d, "pages").select("page_id", "url", F.col("html").alias("text")), "text")
+    pages = markup.html_to_markdown(table(spark, d, "pages", spread=True).select("page_id", "url", F.col("html").alias("text")), "text")
     return chunking.structure_chunks(pages, "text", "page_id", url="url")
 
 
 @query
 def heading_chunks(spark, d):
-    pages = markup.html_to_markdown(table(spark, d, "pages").select("page_id", F.col("html").alias("text")), "text")
+    pages = markup.html_to_markdown(table(spark, d, "pages", spread=True).select("page_id", F.col("html").alias("text")), "text")
     return chunking.heading_chunks(pages, "text", "page_id")
 
 

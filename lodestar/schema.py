@@ -20,7 +20,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents", spread=True).select(
         n.cast("string").alias("doc_id"),
         "text",
         F.col("source").alias("company_id"),
@@ -47,7 +47,7 @@ def chunks(spark: SparkSession, sf_dir: str, size: int = 1200, overlap: int = 20
         "char_start",
         "char_end",
         "doc_type",
-        F.create_map(F.lit("companyId"), F.col("company_id"), F.lit("domain"), F.concat(F.lit("d"), (n % 4).cast("string"), F.lit(".example")), F.lit("title"), F.split_part("text", F.lit("."), F.lit(1))).alias("metadata"),
+        F.create_map(F.lit("companyId"), F.col("company_id"), F.lit("domain"), F.concat(F.lit("d"), (n % 4).cast("string"), F.lit(".example")), F.lit("title"), F.substring_index("text", ".", 1)).alias("metadata"),
     ).withColumnRenamed("chunk", "text")
 
 

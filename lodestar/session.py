@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: WindowGroupLimit must reach the largest candidate cap (5000) to push top-k per key below the shuffle.
@@ -13,7 +15,7 @@ SETTINGS = {
 
 
 def make_session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "lodestar") -> SparkSession:
-    builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+    builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if master:
         builder = builder.master(master)
     for key, value in SETTINGS.items():
@@ -23,5 +25,22 @@ def make_session(master: str | None = None, shuffle_partitions: int | None = Non
     return builder.getOrCreate()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A table of Parquet. With `spread`, for tables whose rows take long to work on, one that is a single file has its rows dealt over the cores: such a
+    file is small and often one row group, which one task would read and work on alone. Folders are split as they are, without a shuffle."""
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if spread:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        cores = spark.sparkContext.defaultParallelism
+        if cores > 1 and at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+            return df.repartition(cores)
+    return df
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the folder of spark.checkpoint.dir, which a cluster shares; in a temporary one where that is unset."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lodestar-')}")
+    return df.checkpoint()

@@ -1,5 +1,7 @@
+import collections
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -79,13 +81,15 @@ def test_dense_against_numpy(spark):
     x = rng.integers(-3, 4, (200, 8)).astype(float)
     v = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)] + [(900, None), (901, [1.0])], "faiss_id long, embedding array<float>")
     q = spark.createDataFrame([(i, [float(a) for a in x[i]]) for i in range(0, 200, 20)], "qid long, embedding array<float>")
-    got = {(r.qid, r.rank): (r.faiss_id, r.score) for r in dense.top_k(v, q, 7).collect()}
+    got = {(r.qid, r.rank): (r.faiss_id, r.score) for r in dense.top_k(v, q, 7, strict=False).collect()}
+    with pytest.raises(Exception, match="dimensions"):
+        dense.top_k(v, q, 7).collect()
     for i in range(0, 200, 20):
         order = sorted(range(200), key=lambda j: (-(x[i] @ x[j]), j))[:7]
         assert [got[i, n + 1] for n in range(7)] == [(j, float(x[i] @ x[j])) for j in order]
     dense.QUERY_BLOCK, old = 3, dense.QUERY_BLOCK
     try:
-        assert {(r.qid, r.rank): (r.faiss_id, r.score) for r in dense.top_k(v, q, 7).collect()} == got
+        assert {(r.qid, r.rank): (r.faiss_id, r.score) for r in dense.top_k(v, q, 7, strict=False).collect()} == got
     finally:
         dense.QUERY_BLOCK = old
     with pytest.raises(ValueError):
@@ -99,21 +103,66 @@ def test_rrf(spark):
     assert [(r.chunk_id, r.score, r.rrf) for r in got] == [("a", 0.9, round(2 / 60, 6)), ("b", 0.8, round(1 / 61, 6)), ("c", 0.2, round(1 / 61, 6))]
 
 
+def test_rrf_without_chunk_ids(spark):
+    """Hits without a chunk are fused by vector and document."""
+    side = lambda rows: spark.createDataFrame(rows, "qid long, chunk_id string, faiss_id long, doc_id string, score double, rank int")
+    got = fusion.rrf(side([(1, None, 5, "d", 0.9, 1), (1, None, 6, "d", 0.8, 2)]), side([(1, None, 6, "d", 0.1, 1)]), ("chunk_id", "faiss_id", "doc_id"), fusion.chunk_key()).orderBy("position").collect()
+    assert [(r.faiss_id, r.score, r.rrf) for r in got] == [(6, 0.8, round(1 / 61 + 1 / 60, 6)), (5, 0.9, round(1 / 60, 6))]
+
+
 def test_promotion(spark):
     rows = spark.createDataFrame([(1, "inline", "d1", 0.91, 0, "x", "we sell red shoes here"), (1, "head", "d2", 0.64, 1, "y", "# Red Shoes\nbody"), (1, "none", "d2", 0.99, 2, "z", "blue")], "qid long, k string, doc_id string, score double, position int, title string, text string")
     got = fusion.promote(rows, fusion.title_match(F.lit("Red shoes"), F.col("title"), F.col("text"))).orderBy("position").collect()
     assert [(r.k, r.title_match) for r in got] == [("head", 2), ("inline", 1), ("none", 0)]
     kept = fusion.one_per_document(spark.createDataFrame(got), F.col("doc_id")).orderBy("position").collect()
     assert [r.k for r in kept] == ["head", "inline"]
+    short = fusion.promote(rows, F.lit(0).alias("m"), F.lit(True)).orderBy("position").collect()
+    assert [r.k for r in short] == ["inline", "head", "none"] and fusion.one_per_document(spark.createDataFrame(short), F.col("doc_id"), F.lit(True)).count() == 3
     ranked = fusion.rerank(spark.createDataFrame([(1, "a", 0, 0.1), (1, "b", 1, 0.9), (1, "c", 2, 0.5), (1, "d", 3, 9.0)], "qid long, k string, position int, s double"), F.col("s"), 3).orderBy("position").collect()
     assert [r.k for r in ranked] == ["b", "c", "a", "d"]
     assert rows.select(fusion.title_match(F.lit("ab"), F.col("title"), F.col("text"))).first()[0] == 0
 
 
+def bm25_by_hand(rows, queries, k):
+    cut = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    words = {key: cut(t) for key, t in rows}
+    mean = sum(map(len, words.values())) / len(words)
+    df = collections.Counter(w for ws in words.values() for w in set(ws))
+    out = {}
+    for qid, text in queries:
+        scores = {}
+        for key, ws in words.items():
+            shared = set(cut(text)) & set(ws)
+            if shared:
+                scores[key] = round(sum(math.log(1 + (len(words) - df[w] + 0.5) / (df[w] + 0.5)) * ws.count(w) * 2.2 / (ws.count(w) + 1.2 * (0.25 + 0.75 * len(ws) / mean)) for w in shared), 6)
+        for i, key in enumerate(sorted(scores, key=lambda x: (-scores[x], x))[:k]):
+            out[qid, i + 1] = (key, pytest.approx(scores[key], abs=2e-6))
+    return out
+
+
 def test_lexical(spark):
     rows = spark.createDataFrame([("1", "Red red shoe"), ("2", "blue shoe"), ("3", None)], "k string, text string")
-    got = {(r.qid, r.k): r.score for r in lexical.bm25(rows, "k", spark.createDataFrame([(1, "RED"), (2, " "), (3, "shoe!")], "qid long, text string")).collect()}
+    got = {(r.qid, r.k): r.score for r in lexical.top_k(rows, "k", spark.createDataFrame([(1, "RED"), (2, " "), (3, "shoe!"), (4, None)], "qid long, text string"), 9).collect()}
     assert set(got) == {(1, "1"), (3, "1"), (3, "2")} and got[3, "2"] > got[3, "1"]
+    assert lexical.top_k(rows.limit(0), "k", spark.createDataFrame([(1, "red")], "qid long, text string"), 9).collect() == []
+    assert lexical.top_k(rows, "k", spark.createDataFrame([], "qid long, text string"), 9).collect() == []
+
+
+def test_lexical_against_brute_force(spark, monkeypatch):
+    """Common and rare words, ties, several blocks of queries, several batches and several blocks of cells."""
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(60)]
+    text = lambda n: " ".join(vocabulary[min(59, int(rng.paretovariate(0.8)) - 1)] for _ in range(n))
+    rows = [(f"k{i}", text(rng.randint(0, 30))) for i in range(300)]
+    rows += [(f"copy{i}", rows[0][1]) for i in range(20)]
+    queries = [(i, text(rng.randint(1, 6))) for i in range(40)]
+    df, q = spark.createDataFrame(rows, "k string, text string").repartition(3), spark.createDataFrame(queries, "qid long, text string")
+    want = bm25_by_hand(rows, queries, 7)
+    found = lambda: {(r.qid, r.rank): (r.k, r.score) for r in lexical.top_k(df, "k", q, 7).collect()}
+    assert found() == want
+    monkeypatch.setattr(lexical, "QUERY_BLOCK", 9)
+    monkeypatch.setattr(lexical, "CELLS", 500)
+    assert found() == want
 
 
 @given(st.lists(st.tuples(st.integers(0, 30), st.text(alphabet="abc", min_size=1, max_size=6)), max_size=5))
