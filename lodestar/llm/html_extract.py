@@ -3,6 +3,9 @@
 A page is cut into leaf blocks: runs of text that no block-level tag interrupts. Each has features of its ancestors (tags, and the words of
 their classes, ids and roles) and of its text (length, share of links, punctuation). The field has two labels, main text and
 the rest; it is trained by gradient ascent on labelled pages, which make_pages() builds from many templates, and decoded by Viterbi.
+
+Tags are read as the HTML standard's tokenizer reads them, in time that grows with the page alone: quotes count only where a value begins, and a
+tag, comment or quote that never ends takes the rest of the page. Ancestors are nodes that blocks share.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ BLOCK_TAGS = frozenset(
     "summary table tbody td template textarea tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style".split())
+#: Elements whose content is no markup, by whether it is text that a reader sees.
+RAW_TAGS = {"script": False, "style": False, "iframe": False, "noembed": False, "noframes": False, "xmp": True, "textarea": True, "title": True}
 #: An opening tag on the left closes open elements on the right, as long as none of the stops lies between.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -39,39 +43,115 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.S)
-NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: An opening tag ends an open paragraph unless one of these lies between.
+SHELLS = frozenset("article aside div form section table".split())
+
+# a value in quotes or without, a name with or without a value, and white space, slashes and lone = between them
+VALUE = r"""(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)"""
+ATTRIBUTES = rf"(?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+{VALUE}?+)?+|=)*+"
+TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)({ATTRIBUTES})(?:>|\Z)|</>|<(?:[!?]|/[^a-zA-Z>])[^>]*+(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(rf"(=?[^\s/>=]++)(?:\s*+=\s*+({VALUE})?+)?+", re.S)
+RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for tag in RAW_TAGS}
 WORDS = re.compile(r"[a-z]+")
 
 SECTIONS = frozenset("article aside body footer form header main nav section".split())
 
-Path = tuple[tuple[str, tuple[str, ...]], ...]
 
+class Node:
+    """An open element: what the features need to know of it and of those around it, which its parent knows already."""
+
+    __slots__ = ("parent", "tag", "words", "block", "section", "section_named", "named", "in_links", "articles", "inside_main")
+
+    def __init__(self, parent: Node | None, tag: str, words: tuple[str, ...]):
+        self.parent, self.tag, self.words = parent, tag, words
+        self.block = tag if tag in BLOCK_TAGS else parent.block if parent else ""
+        starts = tag in SECTIONS
+        self.section = tag if starts else parent.section if parent else ""
+        self.section_named = bool(words) or (not starts and parent is not None and parent.section_named)
+        self.named = (bool(words) and tag not in ("html", "body")) or (parent is not None and parent.named)
+        self.in_links = (tag == "a") + (parent.in_links if parent else 0)
+        self.articles = min(2, (tag == "article") + (parent.articles if parent else 0))
+        self.inside_main = tag in ("article", "main") or (parent is not None and parent.inside_main)
+
+
+def attribute_words(attributes: str) -> tuple[str, ...]:
+    """The words of class, id and role, and `hidden` of an element that is not shown. Of an attribute given twice the first counts."""
+    values: dict[str, str] = {}
+    for name, value in ATTRIBUTE.findall(attributes):
+        values.setdefault(name.lower(), value[1:].removesuffix(value[0]) if value[:1] in ("'", '"') else value)
+    words = sorted({w for name in ("class", "id", "role") for w in WORDS.findall(values.get(name, "").lower())})
+    if "hidden" in values or re.search(r"display\s*:\s*none", values.get("style", ""), re.I):
+        words.append("hidden")
+    return tuple(words)
+
+
+class OpenElements:
+    """The stack of open elements, with the places of each tag in it, so that no tag has to look for another through the stack."""
+
+    def __init__(self):
+        self.stack: list[Node] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    @property
+    def top(self) -> Node | None:
+        return self.stack[-1] if self.stack else None
+
+    def place(self, tags) -> int:
+        """Where the innermost element of these tags is; -1: nowhere."""
+        return max((own[-1] for t in tags if (own := self.places.get(t))), default=-1)
+
+    def cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            if tag in BLOCK_TAGS:
+                self.blocks.pop()
+
+    def add(self, tag: str, words: tuple[str, ...]) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK_TAGS:
+            self.blocks.append(len(self.stack))
+        self.stack.append(Node(self.top, tag, words))
 
-def leaf_blocks(page: str) -> list[tuple[Path, str, int]]:
-    """(ancestors from the root, text, characters of it in links) of each block with text, in page order.
+    def open(self, tag: str) -> None:
+        """Before a block-level tag: inline elements end, and so do those that it closes by itself."""
+        self.cut(self.blocks[-1] + 1 if self.blocks else 0)
+        closes, stops = CLOSES.get(tag, (frozenset(), frozenset()))
+        at = self.place({*closes, "p", *(("head",) if tag == "body" else ())})
+        if at > self.place((SHELLS | stops) - closes):
+            self.cut(at)
 
-    Ancestors are (tag, words of class, id and role). Character references are decoded, white space becomes one space, ends are trimmed.
-    Comments, scripts and styles have no text.
+    def close(self, tag: str) -> None:
+        """An end tag closes the innermost element of its name; an inline one does not reach out of its block."""
+        at = self.place((tag,))
+        if at >= 0 and (tag in BLOCK_TAGS or not self.blocks or at > self.blocks[-1]):
+            self.cut(at)
+
+
+def leaf_blocks(page: str) -> list[tuple[Node | None, str, int]]:
+    """(innermost element, text, characters of it in links) of each block with text, in page order.
+
+    Character references are decoded, white space becomes one space, ends are trimmed. Comments, scripts, styles and embedded frames
+    have no text; that of titles and text areas is plain.
     """
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    out: list[tuple[Path, str, int]] = []
+    elements = OpenElements()
+    out: list[tuple[Node | None, str, int]] = []
     text: list[str] = []
     linked: list[str] = []
-    links = 0
 
     def flush() -> None:
         if text:
             clean = " ".join(html_lib.unescape("".join(text)).split())
             if clean:
                 in_links = len(" ".join(html_lib.unescape("".join(linked)).split())) if linked else 0
-                out.append((tuple(stack), clean, in_links))
+                out.append((elements.top, clean, in_links))
             text.clear()
             linked.clear()
 
     def add(piece: str) -> None:
         text.append(piece)
-        if links:
+        if elements.stack and elements.top.in_links:
             linked.append(piece)
 
     at, size = 0, len(page)
@@ -83,63 +163,62 @@ def leaf_blocks(page: str) -> list[tuple[Path, str, int]]:
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
-        if m[2] is None:
+        if m[2] is None or (at == size and page[-1] != ">"):  # no tag, or one that the page ends in
             continue
         tag = m[2].lower()
         if m[1]:
             if tag in BLOCK_TAGS:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    links = sum(t == "a" for t, _ in stack)
-                    break
-                if stack[i][0] in BLOCK_TAGS and tag not in BLOCK_TAGS:
-                    break
+            elements.close(tag)
             continue
         if tag in BLOCK_TAGS:
             flush()
-            while stack and stack[-1][0] not in BLOCK_TAGS:
-                stack.pop()  # inline elements end with the block
-            links = sum(t == "a" for t, _ in stack)
-            closes, stops = CLOSES.get(tag, (frozenset(), frozenset()))
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in closes or stack[i][0] == "p" or tag == "body" and stack[i][0] == "head":
-                    del stack[i:]
-                    break
-                if stack[i][0] in stops or stack[i][0] in ("article", "section", "div", "table", "aside", "form"):
-                    break
+            elements.open(tag)
         elif tag == "br":
             add(" ")
-        if tag in RAW_TAGS:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else size
-        elif tag not in VOID_TAGS:
-            words = tuple(sorted({w for g in NAMED.findall(m[3]) for w in WORDS.findall((g[1] or g[2] or g[3]).lower())})) if "=" in m[3] else ()
-            if "hidden" in m[3].lower() and re.search(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", m[3], re.I):
-                words = (*words, "hidden")
-            stack.append((tag, words))
-            links += tag == "a"
+        if tag in VOID_TAGS:
+            continue
+        words = attribute_words(m[3]) if m[3] else ()
+        if tag not in RAW_TAGS:
+            elements.add(tag, words)
+            continue
+        end = RAW_ENDS[tag].search(page, at)
+        if RAW_TAGS[tag]:
+            elements.add(tag, words)
+            add(page[at : end.start() if end else size])
+            if tag in BLOCK_TAGS:
+                flush()
+            elements.close(tag)
+        at = end.end() if end else size
     flush()
     return out
 
 
-@functools.lru_cache(50_000)
-def path_features(path: Path) -> tuple[str, ...]:
-    tags = [t for t, _ in path]
-    found = {"bias", f"last {next((t for t in reversed(tags) if t in BLOCK_TAGS), '')}"}
-    found.update(f"in {t}" for t in tags)
-    found.update(f"named {w}" for _, words in path for w in words)
-    section, below = next(((t, i) for i, t in reversed(list(enumerate(tags))) if t in SECTIONS), ("", 0))
-    named = sorted({w for _, words in path[below:] for w in words})
-    found.add(f"section {section}{' with names' if named else ''}")
-    if not any(words for t, words in path if t not in ("html", "body")):
-        found.add(f"section {section} and no names at all")
-    if not {"article", "main"} & set(tags):
-        found.add("outside article and main")
-    if tags.count("article") > 1:
-        found.add("nested article")
-    return tuple(sorted(found))
+def own_features(node: Node) -> list[str]:
+    """What an element adds to the features of all within it."""
+    return [f"in {node.tag}", *(f"named {w}" for w in node.words)]
+
+
+def place_features(node: Node | None) -> list[str]:
+    """What the place of a block says beside the elements around it."""
+    found = ["bias", f"last {node.block if node else ''}"]
+    section = node.section if node else ""
+    found.append(f"section {section}{' with names' if node and node.section_named else ''}")
+    if not (node and node.named):
+        found.append(f"section {section} and no names at all")
+    if not (node and node.inside_main):
+        found.append("outside article and main")
+    if node and node.articles > 1:
+        found.append("nested article")
+    return found
+
+
+def path_features(node: Node | None) -> set[str]:
+    found, at = set(place_features(node)), node
+    while at is not None:
+        found.update(own_features(at))
+        at = at.parent
+    return found
 
 
 def text_features(text: str, links: int, i: int, n: int) -> list[str]:
@@ -161,17 +240,38 @@ class BlockField:
 
     def __init__(self, ids: dict[str, int], weights: np.ndarray, steps: np.ndarray, first: np.ndarray):
         self.ids, self.weights, self.steps, self.first = ids, weights, steps, first
-        self._paths: dict[Path, float] = {}
-
-    def score(self, blocks: list[tuple[Path, str, int]]) -> np.ndarray:
-        """The score of `main text` against the rest for each block of a page."""
-        if len(self._paths) > 50_000:
-            self._paths.clear()
+        self._sums: dict[int, float] = {}
+
+    def _sum(self, mask: int) -> float:
+        """The weights of the features that are bits of the mask, each counted once however many elements have it."""
+        if mask not in self._sums:
+            if len(self._sums) > 50_000:
+                self._sums.clear()
+            self._sums[mask] = float(sum(self.weights[i] for i in range(mask.bit_length()) if mask >> i & 1))
+        return self._sums[mask]
+
+    def _bits(self, features: list[str]) -> int:
+        mask = 0
+        for f in features:
+            if f in self.ids:
+                mask |= 1 << self.ids[f]
+        return mask
+
+    def score(self, blocks: list[tuple[Node | None, str, int]]) -> np.ndarray:
+        """The score of `main text` against the rest for each block of a page. Each element adds its bits to its parent's once."""
+        masks: dict[Node | None, int] = {None: 0}
+        bases: dict[Node | None, float] = {}
         out = np.empty(len(blocks))
-        for i, (path, text, links) in enumerate(blocks):
-            base = self._paths.get(path)
+        for i, (node, text, links) in enumerate(blocks):
+            base = bases.get(node)
             if base is None:
-                base = self._paths[path] = float(sum(self.weights[self.ids[f]] for f in path_features(path) if f in self.ids))
+                todo, at = [], node
+                while at not in masks:
+                    todo.append(at)
+                    at = at.parent
+                for n in reversed(todo):
+                    masks[n] = masks[n.parent] | self._bits(own_features(n))
+                base = bases[node] = self._sum(masks[node] | self._bits(place_features(node)))
             out[i] = base + sum(self.weights[self.ids[f]] for f in text_features(text, links, i, len(blocks)) if f in self.ids)
         return out
 
@@ -214,7 +314,7 @@ def train_field(pages: list[tuple[str, set[str]]], rounds: int = 200, ridge: flo
     data, ids = [], {}
     for page, main in pages:
         blocks = leaf_blocks(page)
-        features = [[*path_features(p), *text_features(t, links, i, len(blocks))] for i, (p, t, links) in enumerate(blocks)]
+        features = [[*sorted(path_features(p)), *text_features(t, links, i, len(blocks))] for i, (p, t, links) in enumerate(blocks)]
         for fs in features:
             for f in fs:
                 ids.setdefault(f, len(ids))

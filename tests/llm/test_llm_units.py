@@ -5,6 +5,7 @@ import hashlib
 import html as html_lib
 import io
 import random
+import time
 import zlib
 
 import numpy as np
@@ -233,7 +234,34 @@ def test_odd_sketch_bound():
 def test_html_blocks():
     page = "<title>T</title><script>var t='</p>'</script><nav><a href=x>a</a></nav><article><h1>H &amp; h</h1><p>one\n two<br>three<p><b>four</article><!-- x --><ul><li>l1<li>l2</ul>tail"
     assert [t for _, t, _ in html_extract.leaf_blocks(page)] == ["T", "a", "H & h", "one two three", "four", "l1", "l2", "tail"]
-    assert html_extract.leaf_blocks("") == [] and html_extract.leaf_blocks("<p") == [((), "<p", 0)]
+    assert html_extract.leaf_blocks("") == html_extract.leaf_blocks("<p") == html_extract.leaf_blocks("<p title='x>y") == []
+
+
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<p class=x'y>Hello</p><p class='a>b'>two", ["Hello", "two"]),
+        ('<p a="1"b=\'2\'c=3/d = 4 =e "f>one</p>', ["one"]),
+        ("<!-->a<!--->b<!--c--!>d<!-- e <p> -->f<!-- g", ["abdf"]),
+        ("<!doctype html><?php x ?>a</ b>c</>d<>e", ["acd<>e"]),
+        ("<title>a <b> &amp; c</title><p>x<textarea><p>y</textarea>z", ["a <b> & c", "x", "<p>y", "z"]),
+        ("<iframe><p>no</iframe>a<script>b</scripty></script>c<style>d", ["ac"]),
+        ("5 < 6 and 7<8 <3 > 2", ["5 < 6 and 7<8 <3 > 2"]),
+        ("<div><span>a</div>b</span>c</p>d", ["a", "bc", "d"]),
+        ("a<br/>b<img src=x>c<hr>d", ["a bc", "d"]),
+        ("<P>x<UL><LI>y<LI>z</UL>w", ["x", "y", "z", "w"]),
+    ],
+)
+def test_html_tokens(page, texts):
+    assert [t for _, t, _ in html_extract.leaf_blocks(page)] == texts
+
+
+@pytest.mark.parametrize("page", ['<a "' * 60_000, "<p title='" * 30_000, "<!--" * 60_000, "<div>x" * 30_000, "<b>" * 30_000 + "</div>" * 30_000, "<u><div>" + "<b>" * 30_000 + "</u>" * 30_000, "<blockquote><p>y" * 20_000, "<title>" * 50_000, "<" * 200_000, "<a b" * 60_000, "<p a = " * 40_000, "&amp" * 60_000, '<p class="' + "k " * 90_000 + '">z'])
+def test_html_takes_linear_time(page):
+    """Quadratic work on pages of this size would take minutes."""
+    field, began = html_extract.default_field(), time.perf_counter()
+    field.decode([field.score(html_extract.leaf_blocks(page))])
+    assert time.perf_counter() - began < 6
 
 
 def test_field_on_unseen_pages():
