@@ -6,13 +6,12 @@ machine for each family (against all others) chooses the family; one for each pa
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import id_remainder, in_blocks, small_batches
@@ -37,10 +36,14 @@ FAMILIES = {
 }
 FAMILY_OF = {language: family for family, languages in FAMILIES.items() for language in languages}
 
-LETTER = re.compile(r"[^\W\d_]")
 _TO_SPACE = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
+def has_letter(c: Column) -> Column:
+    """Whether a text has a character of Unicode's category L; digits, fractions, circled and Roman numerals are none."""
+    return F.coalesce(c.rlike(r"\p{L}"), F.lit(False))
+
+
 def trigram_rows(texts: list[str | None]) -> np.ndarray:
     """L2-normalised square roots of trigram shares, one row for each text; zeros for texts without three bytes."""
     cleaned = [b"  " + (t or "").lower().encode("utf-8", "surrogatepass").translate(_TO_SPACE) + b"  " for t in texts]
@@ -129,7 +132,7 @@ class LanguageModel:
 
 def fit_language_model(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows_per_language: int = ROWS_PER_LANGUAGE) -> LanguageModel | None:
     """Fitted on a sample of df's rows with text and lang; the driver gets their trigram distributions, not their texts. None without rows."""
-    labelled = small_batches(df).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("text").rlike(r"\p{L}"))
+    labelled = small_batches(df).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(has_letter(F.col("text")))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,16 +153,16 @@ def identify_languages(df: DataFrame, model: LanguageModel | None, text: str = "
     `und` with score 0: null texts, texts without a letter, and all texts where there is no model. Whole texts are used.
     Repeated rows and null ids are rows like others; an empty table gives an empty result. No shuffle.
     """
-    source = small_batches(df).drop("lang_pred", "score")
+    source = small_batches(df).drop("lang_pred", "score").withColumn("_lettered", has_letter(F.col(text)))
     model = df.sparkSession.sparkContext.broadcast(model)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         for batch in batches:
-            texts = batch.column(text).to_pylist()
+            texts, letters = batch.column(text).to_pylist(), batch.column("_lettered").to_pylist()
+            batch = batch.drop_columns(["_lettered"])
             for start, end in in_blocks(texts, 1 << 20):
-                part = texts[start:end]
-                lettered = [bool(t and LETTER.search(t)) for t in part]
+                part, lettered = texts[start:end], letters[start:end]
                 found, scores = own.predict(trigram_rows(part)) if own else ([None] * len(part), np.zeros(len(part)))
                 ok = [l and own is not None for l in lettered]
                 rows = batch.slice(start, end - start)
@@ -168,7 +171,7 @@ def identify_languages(df: DataFrame, model: LanguageModel | None, text: str = "
                     [*rows.schema.names, "lang_pred", "score"],
                 )
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "_lettered")
     return source.mapInArrow(predicted, f"{kinds}, lang_pred string, score double")
 
 

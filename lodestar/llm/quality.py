@@ -1,9 +1,8 @@
 """Quality by compression: zstandard dictionaries trained on good and on bad text.
 
 Text like what a dictionary was trained on takes fewer bytes with it. Texts are compressed in pieces of PIECE bytes, so that a dictionary
-counts all along a long text. The difference of the two sizes, by the text's own size and by the sum of both, and the sizes with the good
-dictionary and without one go into a logistic function, each also weighted by how short the text is. The function is calibrated on rows
-that the dictionaries have not seen.
+counts all along a long text. The difference of the two sizes, by the text's own size and by the sum of both, goes into a logistic function, each
+also weighted by how short the text is, with that shortness for what a difference of nothing means. The function is calibrated on rows that the dictionaries have not seen.
 """
 
 from __future__ import annotations
@@ -27,18 +26,18 @@ ROWS_PER_LABEL, PIECES = 3000, 4000
 
 
 class Compressors:
-    """Sizes of a text with the bad and the good dictionary and without one."""
+    """Differences between the sizes of a text with the bad and with the good dictionary."""
 
     def __init__(self, bad: bytes, good: bytes):
         plain = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
-        self.all = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), **plain) for d in (bad, good)] + [zstandard.ZstdCompressor(**plain)]
+        self.all = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), **plain) for d in (bad, good)]
 
     def features(self, text: bytes) -> tuple[float, ...]:
         pieces = [text[i : i + PIECE] for i in range(0, len(text), PIECE)] or [b""]
-        bad, good, plain = (sum(len(c.compress(p)) for p in pieces) for c in self.all)
+        bad, good = (sum(len(c.compress(p)) for p in pieces) for c in self.all)
         n = max(1, len(text))
-        short, difference = 1 / (1 + n / 100), (bad - good) / (bad + good)
-        return (bad - good) / n, difference, good / n, plain / n, short, short * difference, short * good / n, short * plain / n
+        of_text, of_both, short = (bad - good) / n, (bad - good) / (bad + good), 1 / (1 + n / 100)
+        return of_text, of_both, short * of_text, short * of_both, short
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -63,7 +62,7 @@ class QualityModel:
 def _train(pieces: list[bytes]) -> bytes:
     """A dictionary; with too little text for training, the text itself."""
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, pieces, k=200, d=8).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, pieces, k=64, d=6).as_bytes()
     except zstandard.ZstdError:
         return b"\n".join(pieces)[-DICTIONARY_BYTES:]
 

@@ -217,6 +217,8 @@ def test_language(spark):
     assert odd.columns[-2:] == ["lang_pred", "score"] and odd.columns.count("score") == 1
     assert {r.doc_id: r.lang_pred for r in odd.collect() if r.lang_pred == "und"}.keys() == {1, 2, 3, 7}
     assert all(0 <= r.score <= 1 for r in odd.collect())
+    signs = spark.createDataFrame([(1, "½"), (2, "² 12"), (3, "①Ⅷ _!"), (4, "¼ é"), (5, "中"), (6, "ª")], "doc_id long, text string")
+    assert [r.doc_id for r in language_id.identify_languages(signs, model).orderBy("doc_id").collect() if r.lang_pred == "und"] == [1, 2, 3]
     none = language_id.fit_language_model(empty_docs(spark))
     assert none is None and {r.lang_pred for r in language_id.identify_languages(docs, none).collect()} == {"und"}
     assert language_id.identify_languages(empty_docs(spark), model).collect() == []
