@@ -1,8 +1,9 @@
 """WARC archives and the chunked record table.
 
-Archives are WARC/1.1 files of one gzip member a record. They are written and read as streams: a payload passes through in pieces of CHUNK
-bytes, and reading gives one row for each piece, with the record's id, the piece's number, and the length and SHA-1 of the payload so
-far. Records are never put together, so memory does not grow with their size; the last row of a record has the digest of it all.
+Archives are WARC/1.1 files of one gzip member a record. They are written and read as streams. On both sides a record is a run of chunk rows: its id,
+the chunk's number and at most CHUNK bytes. Writers get rows that the JVM cuts from the payload, and check its SHA-1 as the pieces pass; reading
+gives one row for each piece, with the length and SHA-1 of the payload so far. Records are never put together, so a worker's memory does not grow
+with their size; the last row of a record has the digest of it all.
 
 Archives lie in a folder that driver and executors share. Each attempt of a task writes files of its own name; only those named by the
 manifest, a written table, count, so that attempts that were lost leave nothing behind in the results.
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import byte_values, shared_folder, small_batches, written
+from lodestar.llm.common import BROADCAST_IDS, drop_written, shared_folder, small_batches, written
 
 CHUNK = 1 << 20
 #: A writer begins another archive after so many compressed bytes.
@@ -46,30 +47,24 @@ def _line(value: str) -> bytes:
     return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in value).encode()
 
 
-def record_parts(record_id: str, url: str | None, payload: bytes, refers_to: str | None, digest: str) -> Iterator[bytes]:
-    """The bytes of a record, in pieces. A revisit carries no payload, only its digest and length."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    size = len(http) + (len(payload) if refers_to is None else 0)
+def record_head(record_id: str, url: str | None, length: int, refers_to: str | None, digest: str) -> bytes:
+    """All of a record that comes before its payload. A revisit has no payload, only its digest and length."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % length
     lines = [
         b"WARC/1.1",
         b"WARC-Type: " + (b"response" if refers_to is None else b"revisit"),
         b"WARC-Record-ID: <" + _line(record_id) + b">",
         b"WARC-Date: " + DATE.encode(),
         b"WARC-Payload-Digest: sha1:" + digest.encode(),
-        b"WARC-Payload-Length: %d" % len(payload),
+        b"WARC-Payload-Length: %d" % length,
         b"Content-Type: application/http;msgtype=response",
-        b"Content-Length: %d" % size,
+        b"Content-Length: %d" % (len(http) + (length if refers_to is None else 0)),
     ]
     if url is not None:
         lines.append(b"WARC-Target-URI: " + _line(url))
     if refers_to is not None:
         lines += [b"WARC-Refers-To: <" + _line(refers_to) + b">", b"WARC-Profile: " + REVISIT.encode()]
-    yield b"\r\n".join(lines) + b"\r\n\r\n" + http
-    if refers_to is None:
-        view = memoryview(payload)
-        for i in range(0, len(payload), CHUNK):
-            yield view[i : i + CHUNK]
-    yield b"\r\n\r\n"
+    return b"\r\n".join(lines) + b"\r\n\r\n" + http
 
 
 class ArchiveWriter:
@@ -86,17 +81,42 @@ class ArchiveWriter:
         self._member([b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:%s>\r\nWARC-Date: %s\r\nContent-Type: application/warc-fields\r\nContent-Length: %d\r\n\r\n" % (str(uuid.uuid5(uuid.NAMESPACE_URL, self.path)).encode(), DATE.encode(), len(info)), info, b"\r\n\r\n"])
 
     def _member(self, parts) -> None:
-        packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+        self._begin()
         for part in parts:
-            if data := packer.compress(part):
-                self.size += self.out.write(data) or len(data)
-        data = packer.flush()
-        self.size += self.out.write(data) or len(data)
+            self._pack(part)
+        self._end()
 
-    def add(self, parts: Iterator[bytes]) -> None:
+    def _begin(self) -> None:
+        self.packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+
+    def _pack(self, part) -> None:
+        if data := self.packer.compress(part):
+            self.out.write(data)
+            self.size += len(data)
+
+    def _end(self) -> None:
+        data = self.packer.flush()
+        self.out.write(data)
+        self.size += len(data)
+
+    def begin(self, head: bytes, length: int, digest: str) -> None:
+        """Starts a record, whose payload piece() then adds to. `length` and `digest` are those of the pieces to come."""
         if self.out is None:
             self._open()
-        self._member(parts)
+        self._begin()
+        self._pack(head)
+        self.left, self.sha1, self.digest = length, hashlib.sha1(), digest
+
+    def piece(self, data) -> None:
+        self.left -= len(data)
+        self.sha1.update(data)
+        self._pack(data)
+
+    def end(self) -> None:
+        if self.left or (self.digest and base32_sha1(self.sha1.digest()) != self.digest):
+            raise ValueError("a payload is not what its header says")
+        self._pack(b"\r\n\r\n")
+        self._end()
         self.records += 1
         if self.size >= ARCHIVE_BYTES:
             self.close()
@@ -108,30 +128,49 @@ class ArchiveWriter:
             self.out = None
 
 
+def chunk_rows(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """The rows of a record, in order and one after the other: record_id, url (with the first chunk), digest, refers_to, bytes (of the whole payload),
+    chunk_no and chunk. The JVM cuts the payload, so that no batch holds more than a few chunks of it; a revisit has one empty chunk."""
+    own = records.select("record_id", "url", "digest", "refers_to", F.coalesce(F.col("payload").cast("binary"), F.lit(b"")).alias("payload"))
+    full = F.col("refers_to").isNull()
+    last = F.when(full, F.greatest(F.ceil(F.octet_length("payload") / chunk) - 1, F.lit(0))).otherwise(0).cast("int")
+    cut = own.select("*", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
+    piece = F.when(full, F.substring("payload", F.col("chunk_no") * chunk + 1, F.lit(chunk))).otherwise(F.lit(b""))
+    return cut.select("record_id", F.when(F.col("chunk_no") == 0, F.col("url")).alias("url"), "digest", "refers_to", F.octet_length("payload").cast("long").alias("bytes"), "chunk_no", piece.alias("chunk"))
+
+
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
     """Writes a record for each row of record_id, url, payload (string or binary; null: empty), digest and refers_to (null: response), and
-    returns the manifest, a written table of path, records and bytes."""
+    returns the manifest, a written table of path, records and bytes. Other columns are ignored; without rows there is no archive."""
 
     def archived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         writer = ArchiveWriter(folder, f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}")
+        begun = False
         for batch in batches:
-            ids, urls, digests, refers = (batch.column(c).to_pylist() for c in ("record_id", "url", "digest", "refers_to"))
-            for i, payload in enumerate(byte_values(batch, "payload")):
-                writer.add(record_parts(ids[i], urls[i], payload or b"", refers[i], digests[i]))
+            ids, urls, digests, refers, sizes, numbers, pieces = (batch.column(i) for i in range(7))
+            for i, number in enumerate(numbers.to_pylist()):
+                if number == 0:
+                    if begun:
+                        writer.end()
+                    size, to, digest = sizes[i].as_py(), refers[i].as_py(), digests[i].as_py()
+                    writer.begin(record_head(ids[i].as_py(), urls[i].as_py(), size, to, digest), size if to is None else 0, digest if to is None else "")
+                    begun = True
+                writer.piece(pieces[i].as_buffer())
+        if begun:
+            writer.end()
         writer.close()
         if writer.done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*writer.done, strict=True)], ["path", "records", "bytes"])
 
-    rows = small_batches(records).select("record_id", "url", "payload", "digest", "refers_to")
-    return written(rows.mapInArrow(archived, "path string, records long, bytes long"), "manifest")
+    return written(chunk_rows(small_batches(records)).mapInArrow(archived, "path string, records long, bytes long"), "manifest")
 
 
 class RecordStream:
     """The bytes of an archive's records, one gzip member after the other, in bounded pieces."""
 
     def __init__(self, stream):
-        self.stream, self.packed, self.plain, self.unpacker, self.ended = stream, b"", b"", None, False
+        self.stream, self.packed, self.plain, self.unpacker = stream, b"", bytearray(), None
 
     def fill(self) -> bool:
         """More plain bytes; False at the end."""
@@ -152,22 +191,25 @@ class RecordStream:
                 self.plain += data
                 return True
 
-    def until(self, mark: bytes, most: int = 1 << 20) -> bytes | None:
-        while (at := self.plain.find(mark)) < 0:
-            if len(self.plain) > most:
-                raise ValueError("a header is too long")
+    def until(self, mark: bytes) -> bytes | None:
+        """What comes before the mark, however long; None at the end."""
+        seen = 0
+        while (at := self.plain.find(mark, max(0, seen - len(mark) + 1))) < 0:
+            seen = len(self.plain)
             if not self.fill():
                 if self.plain.strip():
                     raise ValueError("the archive ends inside a header")
                 return None
-        head, self.plain = self.plain[:at], self.plain[at + len(mark) :]
+        head = bytes(self.plain[:at])
+        del self.plain[: at + len(mark)]
         return head
 
     def take(self, n: int) -> Iterator[bytes]:
         while n:
             if not self.plain and not self.fill():
                 raise ValueError("the archive ends inside a block")
-            piece, self.plain = self.plain[:n], self.plain[n:]
+            piece = bytes(self.plain[:n])
+            del self.plain[: len(piece)]
             n -= len(piece)
             yield piece
 
@@ -244,17 +286,33 @@ def chunk_table(manifest: DataFrame, payloads: bool = True, chunk: int = CHUNK)
     return manifest.select("path").repartition(n).mapInArrow(read, CHUNK_COLUMNS)
 
 
-def page_records(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> DataFrame:
-    """record_id, url, payload, digest and refers_to for write_archives(): of pages with equal payloads of at least `least` bytes, the one
-    with the largest key is written in full and the others revisit it. Rows that repeat that key are written in full each; null
-    keys are smaller than any. Only rows of one digest meet, and a join that Spark can split brings them together."""
-    name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("")))
+def page_records(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> tuple[DataFrame, list[DataFrame]]:
+    """record_id, url, payload, hex (SHA-1) and refers_to for write_archives(), and the written tables to drop once the archives are there.
+
+    Of pages with equal payloads of at least `least` bytes, the one with the largest key is written in full and the others revisit it. Null keys
+    are smaller than any, and null payloads are empty. Rows that repeat that key are written in full each; rows that repeat any key get record ids
+    that a number tells apart, after the id that revisits refer to. Other columns are ignored, whatever their names.
+
+    Payloads do not move: digests are counted from a narrow table, and only those that several pages share come back to them, broadcast up
+    to BROADCAST_IDS and by a join that Spark can split beyond.
+    """
+    name = F.concat(F.lit("urn:page:"), F.coalesce(F.col("key").cast("string"), F.lit("")))
     own = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
-    own = own.withColumn("hex", F.sha1(F.col("payload").cast("binary")))
-    full = own.where(F.octet_length("payload") >= least).groupBy("hex").agg(F.max("key").alias("first"))
-    return own.join(full, "hex", "left").select(
-        name(F.col("key")).alias("record_id"), "url", "payload", "hex", F.when(F.octet_length("payload") >= least, F.when(~F.col("key").eqNullSafe(F.col("first")), name(F.col("first")))).alias("refers_to")
-    )
+    own = own.select(name.alias("name"), "key", "url", "payload", F.sha1(F.col("payload").cast("binary")).alias("hex"))
+    narrow = written(own.select("name", "key", "hex", (F.octet_length("payload") >= least).alias("counts")), "digests")
+    shared = narrow.where("counts").groupBy("hex").agg(F.max("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hex", "first")
+    shared = written(shared.withColumn("of_first", F.concat(F.lit("urn:page:"), F.coalesce(F.col("first").cast("string"), F.lit("")))), "shared")
+    repeated = written(narrow.groupBy("name").count().where("count > 1").select("name", F.lit(True).alias("again")), "repeated")
+    sized = lambda df: F.broadcast(df) if df.count() <= BROADCAST_IDS else df.hint("merge")
+    joined = own.join(sized(shared), "hex", "left").join(sized(repeated), "name", "left")
+    refers = F.when((F.octet_length("payload") >= least) & F.col("of_first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first")), F.col("of_first"))
+    unique = F.when(F.col("again"), F.concat("name", F.lit("#"), F.monotonically_increasing_id())).otherwise(F.col("name"))
+    return joined.select(unique.alias("record_id"), "url", "payload", "hex", refers.alias("refers_to")), [narrow, shared, repeated]
+
+
+def page_of(c: str) -> F.Column:
+    """The key in a record id of page_records(); null for a null id and a null key."""
+    return F.nullif(F.substring_index(F.substring_index(F.col(c), ":", -1), "#", 1), F.lit(""))
 
 
 def to_base32(hex_column: str) -> F.Column:
@@ -268,21 +326,23 @@ def to_base32(hex_column: str) -> F.Column:
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Writes WARC archives of pages and returns the manifest."""
+    """Writes WARC archives of pages and returns the manifest; an empty one for an empty table."""
     at = folder or f"{shared_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    records = page_records(pages)
-    return write_archives(records.withColumn("digest", to_base32("hex")), at)
+    records, tables = page_records(pages)
+    manifest = write_archives(records.withColumn("digest", to_base32("hex")), at)
+    for table in tables:
+        drop_written(table)
+    return manifest
 
 
 def op3_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per page, from the archives: what the last chunk of its record says. A revisit has its length and digest from its header."""
     read = chunk_table(archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")), payloads=False).where("is_last")
-    page = lambda c: F.nullif(F.substring_index(c, ":", -1), F.lit("")).cast("long")
     revisit = F.col("record_type") == "revisit"
     return read.select(
-        page(F.col("record_id")).alias("page_id"),
+        page_of("record_id").cast("long").alias("page_id"),
         F.when(revisit, F.col("header_bytes")).otherwise(F.col("bytes_so_far")).alias("payload_bytes"),
         F.when(revisit, F.col("header_digest")).otherwise(F.col("sha1_so_far")).alias("payload_digest"),
         "record_type",
-        page(F.col("refers_to")).alias("refers_to"),
+        page_of("refers_to").cast("long").alias("refers_to"),
     )

@@ -171,24 +171,35 @@ def test_warc(spark):
     manifest = w.archive_pages(odd_pages(spark))
     for payloads in (True, False):
         got = w.chunk_table(manifest, payloads=payloads).collect()
+        assert len({r.record_id for r in got}) == len(rows)
         by_record = collections.defaultdict(list)
         for r in got:
-            by_record[r.record_id, r.record_type].append(r)
+            by_record[r.record_id.partition("#")[0], r.record_type].append(r)
         long = [r for r in by_record["urn:page:5", "response"]]
         assert len(long) == 2 * -(-6_000_000 // w.CHUNK) and sorted(r.chunk_no for r in long if r.is_last) == [5, 5]
         if payloads:
-            whole = b"".join(r.chunk for r in sorted(long, key=lambda r: r.chunk_no)[::2])
+            whole = b"".join(r.chunk for r in sorted(long, key=lambda r: (r.record_id, r.chunk_no))[:6])
             assert whole == ("é" * 3_000_000).encode()
         assert max(len(r.chunk or b"") for r in got) <= w.CHUNK
     want = sorted((i or 0, len((h or "").encode()), base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode(), "response" if i == largest[h or ""] else "revisit", None if i == largest[h or ""] else largest[h or ""]) for i, h in rows)
     last = [r for r in w.chunk_table(manifest, payloads=False).collect() if r.is_last]
-    page = lambda s: int(s.rpartition(":")[2] or 0)
+    page = lambda s: int(s.rpartition(":")[2].partition("#")[0] or 0)
     assert sorted((page(r.record_id), r.header_bytes, r.header_digest, r.record_type, r.refers_to and page(r.refers_to)) for r in last) == want
     assert all(r.sha1_so_far == r.header_digest for r in last if r.record_type == "response")
     empty = w.archive_pages(odd_pages(spark).limit(0))
     assert w.chunk_table(empty).collect() == []
 
 
+def test_warc_of_long_urls_and_many_copies(spark, monkeypatch):
+    """A url of 3 MB goes through; copies revisit their largest page also where their digests are too many to broadcast."""
+    rows = [(i, "http://h/" + "u" * (3_000_000 if i == 7 else 3), f"<p>{i % 10}</p>") for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (warc.BROADCAST_IDS, 0):
+        monkeypatch.setattr(warc, "BROADCAST_IDS", most)
+        got = {r.record_id: r for r in warc.chunk_table(warc.archive_pages(df)).collect()}
+        assert {k: (r.url, r.refers_to) for k, r in got.items()} == {f"urn:page:{i}": (u, None if i >= 190 else f"urn:page:{190 + i % 10}") for i, u, _ in rows}
+
+
 def test_op3_query(spark, tmp_path):
     odd_pages(spark).select("page_id", "url", "html").write.parquet(f"{tmp_path}/pages.parquet")
     got = warc.op3_warc_records(spark, str(tmp_path)).collect()

@@ -173,22 +173,44 @@ def test_flow_is_largest_and_cheapest(patterns, quota):
         assert cost(given_) == (cheapest or 0)
 
 
-@given(st.binary(max_size=200_000), st.booleans())
-@settings(max_examples=15, deadline=None)
-def test_warc_stream(payload, revisit):
+def packed(head, pieces):
     packer = zlib.compressobj(1, zlib.DEFLATED, 31)
-    raw = b"".join(packer.compress(p) for p in warc.record_parts("urn:page:1", "http://x/\r\ny", payload, "urn:page:2" if revisit else None, "D")) + packer.flush()
+    return b"".join(packer.compress(p) for p in (head, *pieces, b"\r\n\r\n")) + packer.flush()
+
+
+@given(st.binary(max_size=200_000), st.booleans(), st.sampled_from([1, 700, 3_000_000]))
+@settings(max_examples=15, deadline=None)
+def test_warc_stream(payload, revisit, size):
+    url = "http://x/\r\ny" + "u" * size
+    raw = packed(warc.record_head("urn:page:1", url, len(payload), "urn:page:2" if revisit else None, "D"), [] if revisit else [payload])
     found = [(f, n, b"".join(p)) for f, n, p in warc.read_records(io.BytesIO(raw * 3))]
     assert len(found) == 3
     for fields, n, data in found:
         assert data == (b"" if revisit else payload) and n == len(data)
         assert fields["warc-type"] == ("revisit" if revisit else "response")
-        assert fields["warc-target-uri"] == "http://x/%0D%0Ay"
+        assert fields["warc-target-uri"] == url.replace("\r\n", "%0D%0A")
     with pytest.raises((ValueError, zlib.error)):
         for _, _, p in warc.read_records(io.BytesIO(raw[:-12])):
             list(p)
 
 
+def test_archive_writer_checks_payloads(tmp_path):
+    writer = warc.ArchiveWriter(str(tmp_path), "a")
+    digest = base64.b32encode(hashlib.sha1(b"abc").digest()).decode()
+    writer.begin(warc.record_head("urn:page:1", None, 3, None, digest), 3, digest)
+    writer.piece(b"ab")
+    writer.piece(b"c")
+    writer.end()
+    writer.close()
+    with open(writer.done[0][0], "rb") as f:
+        assert [b"".join(p) for _, _, p in warc.read_records(f)] == [b"abc"]
+    for data in (b"abd", b"ab"):
+        writer.begin(warc.record_head("urn:page:1", None, 3, None, digest), 3, digest)
+        writer.piece(data)
+        with pytest.raises(ValueError):
+            writer.end()
+
+
 def test_base32():
     digest = hashlib.sha1(b"").digest()
     assert warc.base32_sha1(digest) == base64.b32encode(digest).decode() == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
