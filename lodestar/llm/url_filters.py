@@ -1,17 +1,16 @@
 """URL filters over a sorted digest array.
 
-A list of keys becomes four flat files: sorted 64-bit xxhash digests, the offsets of each key's full string, those strings, and
-a number per key. Executors map the files into memory, probe all candidate keys of a batch by one vectorised binary search and
-compare the full strings of the hits, so that two keys with one digest cannot be mixed up.
+A list of keys becomes flat files: sorted 64-bit xxhash digests, the offsets of each key's full string, a number per key, and those strings. Spark
+sorts the list into ranges of digests and writes a file for each, so that a list of any size is built without the driver. Executors map
+the files into memory, probe all candidate keys of a batch by one vectorised binary search in each file and compare the full strings of the hits,
+so that two keys with one digest cannot be mixed up.
 """
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,55 +19,55 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import lower_ascii
+from lodestar.llm.common import byte_values, drop_written, filesystem, lower_ascii, shared_folder, written
 
 # The rules of the contract as (action, host, path prefix).
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
-# Host labels whose sites are blocked where no rule fits.
-BLOCKED_LABELS = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+# Words of host names that are blocked where no rule fits and the caller brings no list: advertising, adult, gambling, drugs, fraud.
+BLOCKED_WORDS = (
+    "ad ads adserver advert adverts banners popunder popup "
+    "adult cams escort escorts hentai nude porn porno sex webcam xxx "
+    "bet bets betting bingo bookmaker casino casinos gambling jackpot lottery poker roulette slots "
+    "cialis drugs pharmacy pill pills steroids viagra "
+    "crack keygen malware phishing scam scams spam torrent torrents warez"
+).split()
 
-FILES = ("keys.npy", "offsets.npy", "strings.npy", "values.npy")
+#: Keys in a file.
+FILE_KEYS = 1 << 21
+#: Spark's xxhash64() is xxHash64 with this seed.
+SEED = 42
+#: The number of keys that come from a list; rules have their place among the rules.
+LISTED = 1 << 40
+PREFIXES = {"rule": "R", "word": "W", "host": "H", "url": "U"}
+
+
+def digest_of(key: bytes) -> int:
+    return xxhash.xxh64_intdigest(key, seed=SEED)
 
 
 class DigestArray:
-    """Keys with a number each, sorted by digest. find() gives the number of each probe, or -1."""
+    """Keys with a number each, sorted by digest (as signed longs). find() gives the number of each probe, or -1."""
 
-    def __init__(self, keys, offsets, strings, values):
-        self.keys, self.offsets, self.strings, self.values = keys, offsets, strings, values
+    def __init__(self, keys, offsets, values, strings):
+        self.keys, self.offsets, self.values, self.strings = keys, offsets, values, strings
 
-    @classmethod
-    def build(cls, entries: Iterable[tuple[str, int]]) -> DigestArray:
-        """Of a key given twice the first number counts."""
-        first: dict[bytes, int] = {}
-        for key, value in entries:
-            first.setdefault(key.encode(), value)
-        ordered = sorted((xxhash.xxh64_intdigest(k), k, v) for k, v in first.items())
-        return cls(
-            np.array([d for d, _, _ in ordered], np.uint64),
-            np.cumsum([0, *(len(k) for _, k, _ in ordered)]).astype(np.int64),
-            np.frombuffer(b"".join(k for _, k, _ in ordered), np.uint8),
-            np.array([v for _, _, v in ordered], np.int64),
-        )
-
-    def save(self, folder: str, name: str) -> list[str]:
-        paths = [f"{folder}/{name}-{f}" for f in FILES]
-        for path, values in zip(paths, (self.keys, self.offsets, self.strings, self.values), strict=True):
-            np.save(path, values)
-        return paths
+    def parts(self) -> list[np.ndarray]:
+        """What a file holds, in order."""
+        return [np.array([len(self.keys)], np.int64), self.keys, self.offsets, self.values, self.strings]
 
     @classmethod
-    def mapped(cls, name: str) -> DigestArray:
-        """The files of this name that SparkContext.addFile() has sent to this executor, mapped into memory."""
-        # numpy can't map an empty array, so those are read
-        load = lambda p: np.load(p, mmap_mode="r" if os.path.getsize(p) > 128 else None)
-        return cls(*(load(SparkFiles.get(f"{name}-{f}")) for f in FILES))
-
-    def find(self, probes: list[bytes], digest=xxhash.xxh64_intdigest) -> np.ndarray:
+    def mapped(cls, path: str) -> DigestArray:
+        raw = np.memmap(path, np.uint8, "r")
+        n = int(raw[:8].view(np.int64)[0])
+        ends = np.cumsum([8, 8 * n, 8 * (n + 1), 8 * n])
+        keys, offsets, values = (raw[a:b].view(np.int64) for a, b in zip(ends, ends[1:], strict=False))
+        return cls(keys, offsets, values, raw[ends[-1] :])
+
+    def find(self, probes: list[bytes], digests: np.ndarray) -> np.ndarray:
         out = np.full(len(probes), -1, np.int64)
         if not len(probes) or not len(self.keys):
             return out
-        digests = np.fromiter(map(digest, probes), np.uint64, len(probes))
         at = np.searchsorted(self.keys, digests)
         hits = np.flatnonzero((at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == digests))
         for i in hits:  # few: only probes whose digest is listed
@@ -81,13 +80,63 @@ class DigestArray:
         return out
 
 
-def ship(spark: SparkSession, array: DigestArray) -> str:
-    """Sends the files to every executor, also to those that start later; gives the name for DigestArray.mapped()."""
-    name = f"digests-{uuid.uuid4().hex}"
-    folder = tempfile.mkdtemp(prefix="lodestar-digests-")
-    for path in array.save(folder, name):
-        spark.sparkContext.addFile(path)
-    return name
+def build_digests(entries: DataFrame, file_keys: int = FILE_KEYS) -> list[tuple[str, int]]:
+    """Writes entries(key string, value long) into files of the shared folder, each a range of digests, and gives (path, lowest digest) of each.
+
+    Null keys are left out; of a key given twice the smallest number counts. One row for each file reaches the driver.
+    """
+    folder = f"{shared_folder(entries.sparkSession)}/digests-{uuid.uuid4().hex}"
+    single = written(entries.where("key is not null").groupBy("key").agg(F.min("value").cast("long").alias("value")).withColumn("digest", F.xxhash64("key")), "keys")
+    files = max(1, -(-single.count() // file_keys))
+
+    def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digests, values, sizes, strings = [], [], [], []
+        for batch in batches:
+            keys = byte_values(batch, "key")
+            digests.append(batch.column("digest").to_numpy())
+            values.append(batch.column("value").to_numpy())
+            sizes += map(len, keys)
+            strings.append(b"".join(keys))
+        if not sizes:
+            return
+        files, root = filesystem(folder)
+        files.create_dir(root, recursive=True)
+        array = DigestArray(np.concatenate(digests), np.cumsum([0, *sizes], dtype=np.int64), np.concatenate(values), np.frombuffer(b"".join(strings), np.uint8))
+        name = f"{uuid.uuid4().hex}.digests"
+        with files.open_output_stream(f"{root}/{name}", compression=None) as out:
+            for part in array.parts():
+                out.write(part.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([int(array.keys[0])])], ["path", "low"])
+
+    ranged = single.repartitionByRange(files, "digest").sortWithinPartitions("digest", "key").select("key", "digest", "value")
+    manifest = written(ranged.mapInArrow(filed, "path string, low long"), "manifest")
+    found = [tuple(r) for r in manifest.orderBy("low").collect()]
+    for table in (single, manifest):
+        drop_written(table)
+    return found
+
+
+class DigestFiles:
+    """The files of a list, sent to every executor, also to those that start later, and mapped into memory where they are probed."""
+
+    def __init__(self, spark: SparkSession, entries: DataFrame, file_keys: int = FILE_KEYS):
+        found = build_digests(entries, file_keys)
+        for path, _ in found:
+            spark.sparkContext.addFile(path)
+        self.names = [path.rpartition("/")[2] for path, _ in found]
+        self.lows = np.array([low for _, low in found], np.int64)
+
+    def mapped(self) -> None:
+        self.arrays = [DigestArray.mapped(SparkFiles.get(name)) for name in self.names]
+
+    def find(self, probes: list[bytes]) -> np.ndarray:
+        out = np.full(len(probes), -1, np.int64)
+        digests = np.fromiter(map(digest_of, probes), np.uint64, len(probes)).view(np.int64)
+        place = np.searchsorted(self.lows, digests, "right") - 1
+        for p in np.unique(place[place >= 0]):
+            mine = np.flatnonzero(place == p)
+            out[mine] = self.arrays[p].find([probes[i] for i in mine], digests[mine])
+        return out
 
 
 def host_and_path(url: str) -> tuple:
@@ -100,66 +149,74 @@ def suffixes(host: str) -> list[str]:
     return [host, *(host[m.end() :] for m in re.finditer(r"\.", host))] if host else []
 
 
-def judge_urls(df: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id",), rules=tuple(RULES), blocked_labels=tuple(BLOCKED_LABELS)) -> DataFrame:
+def default_list(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("word", w) for w in BLOCKED_WORDS], "kind string, value string")
+
+
+def judge_urls(df: DataFrame, url: str = "url", keep: tuple[str, ...] = ("page_id",), rules=tuple(RULES), listed: DataFrame | None = None, file_keys: int = FILE_KEYS) -> DataFrame:
     """One row per input row: the columns of `keep`, host, path, rule and verdict.
 
     A rule (action, host, path) fits its host and all subdomains if the path starts with the rule's. Of those that fit, the
-    longest host plus path wins, of equal ones the one with the longer host. Without a rule, a host with a listed label is blocked and
-    every other url is allowed. Null, empty and malformed urls have empty host and path, no rule, and are allowed.
-    Repeated rows are judged each; empty tables give empty results; other columns are not touched. No shuffle.
+    longest host plus path wins, of equal ones the one with the longer host. Without a rule a url is blocked if it is in the list, a table of any
+    size of kind and value: `host` (and its subdomains), `url` (host and path, without scheme) or `word` (a run of a-z and 0-9 in the host); by
+    default BLOCKED_WORDS. Every other url is allowed. Null, empty and malformed urls have empty host and path, no rule, and are allowed; entries of
+    the list that are null or of another kind mean nothing. Repeated rows are judged each; empty tables give empty results; other columns are
+    not touched. The rows judged do not move.
     """
-    entries = [(f"R{host}{path}", i) for i, (_, host, path) in enumerate(rules)] + [(f"L{x}", len(rules)) for x in blocked_labels]
-    name, path_sizes = ship(df.sparkSession, DigestArray.build(entries)), sorted({len(p) for _, _, p in rules})
+    spark = df.sparkSession
+    own = spark.createDataFrame([(f"R{host}{path}", i) for i, (_, host, path) in enumerate(rules)], "key string, value long")
+    kinds = F.create_map(*(F.lit(x) for kind, prefix in PREFIXES.items() if kind != "rule" for x in (kind, prefix)))
+    given = (default_list(spark) if listed is None else listed).select(F.concat(kinds[F.col("kind")], F.col("value")).alias("key"), F.lit(LISTED).alias("value"))
+    files, path_sizes = DigestFiles(spark, own.union(given), file_keys), sorted({len(p) for _, _, p in rules})
     host, path = host_and_path(url)
     source = df.select(*keep, host.alias("host"), path.alias("path"))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        array = DigestArray.mapped(name)
+        files.mapped()
         for batch in batches:
             hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
             probes: dict[bytes, int] = {}  # distinct keys of the batch
-            own: list[list[tuple[int, int, int]]] = []
-            labels: dict[str, list[int]] = {}
+            probe = lambda key: probes.setdefault(key.encode(), len(probes))  # noqa: B023, E731
+            ruled: list[list[tuple[int, int, int]]] = []
+            of_host: dict[str, list[int]] = {}
+            urls = []
             for h, p in zip(hosts, paths, strict=True):
-                found = []
-                for s in suffixes(h):
-                    for n in path_sizes:
-                        if len(p) >= n:
-                            found.append((len(s) + n, len(s), probes.setdefault(f"R{s}{p[:n]}".encode(), len(probes))))
-                own.append(found)
-                if h not in labels:
-                    labels[h] = [probes.setdefault(f"L{x}".encode(), len(probes)) for x in h.split(".")]
-            got = array.find(list(probes))
+                ends = suffixes(h)
+                ruled.append([(len(s) + n, len(s), probe(f"R{s}{p[:n]}")) for s in ends for n in path_sizes if len(p) >= n])
+                if h not in of_host:
+                    of_host[h] = [*(probe(f"H{s}") for s in ends), *(probe(f"W{w}") for w in re.findall("[a-z0-9]+", h))]
+                urls.append(probe(f"U{h}{p}") if h else None)
+            got = files.find(list(probes))
             rule_of, verdicts = [], []
-            for h, found in zip(hosts, own, strict=True):
+            for h, found, u in zip(hosts, ruled, urls, strict=True):
                 best = max(((size, n, got[k]) for size, n, k in found if got[k] >= 0), default=None)
-                action, rule_host, rule_path = rules[best[2]] if best else ("block" if any(got[k] >= 0 for k in labels[h]) else "allow", "", "")
+                in_list = (u is not None and got[u] >= 0) or any(got[k] >= 0 for k in of_host[h])
+                action, rule_host, rule_path = rules[best[2]] if best else ("block" if in_list else "allow", "", "")
                 rule_of.append(f"{rule_host}{rule_path}" if best else None)
                 verdicts.append(action)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule_of, pa.string()), pa.array(verdicts, pa.string())], [*batch.schema.names, "rule", "verdict"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    return source.mapInArrow(judged, f"{kinds}, rule string, verdict string")
+    kinds_of = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
+    return source.mapInArrow(judged, f"{kinds_of}, rule string, verdict string")
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-_RULE_ROWS = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in RULES)
-_LABELS = ", ".join(f"'{x}'" for x in BLOCKED_LABELS)
-_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-ORACLE = f"""
+# written out, not taken from the lists above, so that a slip there shows
+ORACLE = r"""
 WITH p AS (
   SELECT page_id, row_number() OVER () AS n,
-         {_LOWER.format("coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 1), '')")} AS host,
+         translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 2), '') AS path
   FROM pages),
-r(action, rh, rp) AS (VALUES {_RULE_ROWS}),
+r(action, rh, rp) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
 best AS (
   SELECT p.n, arg_max(rh || rp, (length(rh || rp), length(rh))) AS rule, arg_max(action, (length(rh || rp), length(rh))) AS action
   FROM p JOIN r ON (p.host = rh OR ends_with(p.host, '.' || rh)) AND starts_with(p.path, rp) GROUP BY p.n)
-SELECT page_id, host, path, rule,
-       coalesce(action, CASE WHEN list_has_any(string_split(host, '.'), [{_LABELS}]) THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN regexp_matches(host, '(^|[^a-z0-9])(ad|ads|adserver|advert|adverts|banners|popunder|popup'
+  || '|adult|cams|escort|escorts|hentai|nude|porn|porno|sex|webcam|xxx|bet|bets|betting|bingo|bookmaker|casino|casinos|gambling|jackpot|lottery|poker|roulette|slots'
+  || '|cialis|drugs|pharmacy|pill|pills|steroids|viagra|crack|keygen|malware|phishing|scam|scams|spam|torrent|torrents|warez)([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN best USING (n)
 """

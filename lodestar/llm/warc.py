@@ -18,12 +18,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import BROADCAST_IDS, drop_written, shared_folder, small_batches, written
+from lodestar.llm.common import BROADCAST_IDS, drop_written, filesystem, shared_folder, small_batches, written
 
 CHUNK = 1 << 20
 #: A writer begins another archive after so many compressed bytes.
@@ -32,13 +31,6 @@ DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a Hadoop-style path and the path in it."""
-    if uri.startswith("file:"):
-        uri = "/" + uri[5:].lstrip("/")
-    return (pafs.LocalFileSystem(), uri) if uri.startswith("/") else pafs.FileSystem.from_uri(uri)
-
-
 def base32_sha1(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 

@@ -263,6 +263,25 @@ def test_urls(spark):
     assert url_filters.judge_urls(odd_pages(spark).limit(0)).collect() == []
 
 
+def test_url_lists(spark):
+    """Lists from a table, over many files, with nulls, repeats and kinds that mean nothing."""
+    keys = [f"h{i}.example" for i in range(300)]
+    rows = [("host", k) for k in keys[::3]] * 2 + [("url", f"{k}/x") for k in keys[1::3]] + [("host", None), (None, "h2.example"), ("odd", "h2.example"), ("word", "Ünicode"), ("host", "")]
+    listed = spark.createDataFrame(rows, "kind string, value string")
+    urls = [f"http://{s}{k}{p}" for k in keys for s in ("", "www.", "x") for p in ("/x", "/y")]
+    df = spark.createDataFrame([(u,) for u in urls], "url string").repartition(3)
+    for file_keys in (1 << 21, 16):
+        got = {r.url: r.verdict for r in url_filters.judge_urls(df, keep=("url",), rules=(), listed=listed, file_keys=file_keys).collect()}
+        assert {u for u, v in got.items() if v == "block"} == {u for u in urls for k in keys[::3] if u.split("/")[2] in (k, f"www.{k}")} | {f"http://{k}/x" for k in keys[1::3]}
+    assert {r.verdict for r in url_filters.judge_urls(df, rules=(), keep=(), listed=listed.limit(0)).collect()} == {"allow"}
+
+
+def test_digests_are_sparks(spark):
+    texts = ["", "a", "abc", "é" * 5, "x" * 31, "y" * 32, "z" * 33, "w" * 1000, "12345678", "123456789012"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.xxhash64("t").alias("h")).collect()
+    assert all(r.h % (1 << 64) == url_filters.digest_of(r.t.encode()) for r in rows)
+
+
 def test_media_columns(spark):
     got = media.media_features(media.encode_media(odd_docs(spark)))
     rows = got.collect()
