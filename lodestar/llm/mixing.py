@@ -48,7 +48,7 @@ def min_cost_flow(supply: list[int], members: list[list[int]], quota: list[int],
     """Words that each pattern gives: a flow of most words, and of those one of least repetition cost, by shortest augmenting paths.
 
     Pattern p has supply[p] words in each of `repeats` copies, copy c at cost c a word, for the sources members[p]. Parts of the network
-    that share no source are solved on their own; a part of one pattern is solved at once.
+    that share no source are solved on their own, each by its own paths, whether it has one pattern or many.
     """
     of_source = defaultdict(list)
     for p, own in enumerate(members):
@@ -68,9 +68,6 @@ def min_cost_flow(supply: list[int], members: list[list[int]], quota: list[int],
                     if q not in seen:
                         seen.add(q)
                         todo.append(q)
-        if len(part) == 1:
-            given[first] = min(repeats * supply[first], sum(quota[s] for s in set(members[first])))
-            continue
         flow: dict[tuple[int, int], int] = defaultdict(int)
         room = {s: quota[s] for p in part for s in members[p]}
         while True:
@@ -112,8 +109,8 @@ def mix(df: DataFrame, sources: Column, text: str = "text", key: str = "doc_id",
 
     `sources` is a string (one source) or an array of strings (several); null is a source of its own. Sources in the order of their
     code points, null last, weigh `weights`, repeating. source_size and target are those of the source, of several the sums. Within
-    a pattern documents are taken in the order of (md5 of seed and id, id); the last of them may be taken in part, so that a pattern gives
-    exactly the words of the flow. A document without a source (an empty array) is not taken. Empty texts take nothing; rows that
+    a pattern documents are taken in the order of (md5 of seed and id, id, size), rows that are equal in all of these being alike in the result; the
+    last of them may be taken in part, so that a pattern gives exactly the words of the flow. A document without a source (an empty array) is not taken. Empty texts take nothing; rows that
     repeat an id are taken each; a null id is an id. An empty table gives an empty result.
     """
     many = isinstance(df.select(sources).schema[0].dataType, T.ArrayType)
@@ -151,7 +148,7 @@ def mix(df: DataFrame, sources: Column, text: str = "text", key: str = "doc_id",
     plan = plan.join(spark.createDataFrame(ends.collect(), "pattern string, bucket long, before long"), "pattern", "left").select("pattern", "copies", "rest", "source_size", "target", F.coalesce("bucket", F.lit(-1)).alias("last"), F.coalesce("before", F.lit(0)).alias("before"))
     placed = sized.join(F.broadcast(plan), "pattern").withColumn("bucket", bucket)
     columns = lambda taken: ("doc_id", "size", "sources", "source_size", "target", (F.col("copies") * F.col("size") + taken).alias("taken"))
-    through = F.sum("size").over(Window.partitionBy("pattern").orderBy("order", F.col("doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    through = F.sum("size").over(Window.partitionBy("pattern").orderBy("order", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0))
     whole = placed.where("bucket <> last").select(*columns(F.when(F.col("bucket") < F.col("last"), F.col("size")).otherwise(0)))
     partly = placed.where("bucket = last").withColumn("left", F.col("rest") - F.col("before") - (through - F.col("size"))).select(*columns(F.greatest(F.lit(0), F.least("size", "left"))))
     return whole.unionByName(partly)

@@ -115,11 +115,13 @@ def test_leaks(spark):
     passage = "The quick brown fox, having seen the lazy dog, jumps over it twice and runs away laughing."
     other = "Nothing of this sentence is anywhere else in the whole of the small collection here."
     docs = spark.createDataFrame([(1, f"Intro text. {passage} More."), (2, f"x {passage.upper().replace('BROWN', 'red')} y"), (3, "the quick brown fox alone"), (None, passage), (4, None), (5, ""), (6, LONG + " " + other), (6, LONG + " " + other)], "doc_id long, text string")
-    items = spark.createDataFrame([(10, passage), (11, other), (12, None), (13, "too short"), (14, "")], "item_id long, text string")
+    items = spark.createDataFrame([(10, passage), (11, other), (12, None), (13, "too short"), (14, ""), (10, "blue fox")], "item_id long, text string")
     for block_rows in (200_000, 2):
         got = decontaminate.find_leaks(docs, items, block_rows=block_rows).collect()
         assert sorted((r.doc_id or 0, r.item_id, r.edits) for r in got) == [(0, 10, 0), (1, 10, 0), (2, 10, 1), (6, 11, 0), (6, 11, 0)]
         assert {(r.first_word, r.n_words) for r in got if r.doc_id == 1} == {(2, 17)}
+    again = decontaminate.find_leaks(spark.createDataFrame([(7, "one blue fox, Too short! too_short")], "doc_id long, text string"), items).collect()
+    assert sorted((r.item_id, r.first_word, r.n_words, r.item_words) for r in again) == [(10, 1, 2, 2), (13, 3, 2, 2), (13, 5, 2, 2)]
     assert decontaminate.find_leaks(empty_docs(spark), items).collect() == []
     assert decontaminate.find_leaks(docs, items.limit(0)).collect() == []
     assert {r.doc_id for r in decontaminate.find_leaks(odd_docs(spark), items).collect()} == set()
@@ -153,6 +155,14 @@ def test_mix_overlapping_and_odd(spark):
     assert mixing.mix(empty_docs(spark), F.col("source")).collect() == []
 
 
+def test_mix_of_rows_that_share_an_id(spark):
+    """One id for all rows, of several sizes: what is taken does not depend on how the rows lie."""
+    rows = [(1, "w " * n, s) for n in (1, 2, 3, 5, 8, 13, 21) for s in ("a", "b")]
+    took = lambda order, parts: sorted((r.sources[0], r.size, r.taken) for r in mixing.mix(spark.createDataFrame(order, "doc_id long, text string, s string").repartition(parts), F.col("s")).collect())
+    assert took(rows, 1) == took(rows[::-1], 5) == took(rows[5:] + rows[:5], 3)
+    assert sum(t for s, _, t in took(rows, 2) if s == "a") == 75 and sum(t for s, _, t in took(rows, 2) if s == "b") == 30
+
+
 PAGES = "page_id long, url string, html string, text string, hex string, rule string"
 
 
