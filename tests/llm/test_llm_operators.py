@@ -7,6 +7,7 @@ import random
 import textwrap
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +87,49 @@ def test_near_duplicates_in_one_bucket(spark):
     assert {r.doc_id: r.component_id for r in got} == {d: c for d, (_, c) in components_of(rows, 2, 80).items()}
 
 
+def test_near_duplicates_of_a_template(spark, monkeypatch):
+    """Texts of one template that are all a little too far from each other, with a few pairs that are near: buckets are large and nobody is the hub of all.
+    Blocks are small enough here to be many, and tables by bucket are joined both ways."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(260):
+        words = [w if rng.random() > 0.1 else f"e{rng.randrange(10**6)}" for w in base]
+        rows.append((2 * i, " ".join(words)))
+        if i % 13 == 0:
+            words[rng.randrange(60)] = "changed"
+            rows.append((2 * i + 1, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {d: c for d, (_, c) in components_of(rows, 2, 80).items()}
+    assert 5 < sum(d != c for d, c in want.items()) < 200
+    monkeypatch.setattr(near_dedup, "BLOCK", 40)
+    for broadcast in (near_dedup.BROADCAST, 0):
+        monkeypatch.setattr(near_dedup, "BROADCAST", broadcast)
+        assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, size=2).collect()} == want
+
+
+def test_block_links():
+    """The components of a block are those of all its pairs, with one link for each two components that are joined."""
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(30)]
+    texts = [" ".join(w if rng.random() > 0.06 else f"e{rng.randrange(99)}" for w in base).encode() for _ in range(60)] + [b"", None]
+    ids, asks = list(range(62)), [i % 3 == 0 for i in range(62)]
+    a, b = near_dedup.block_links(np.array(ids) + 100, np.array(ids), np.array(asks), texts, 2, 80)
+    sets = [near_dedup.shingle_set(t or b"", 2) for t in texts]
+    true = [(i, j) for i in ids for j in ids if asks[i] and not asks[j] and near_dedup.linked(sets[i], sets[j], 80)]
+    assert set(zip(a, b, strict=True)) <= {(i + 100, j + 100) for i, j in true}
+    roots = lambda pairs: dict(zip(*map(np.ndarray.tolist, components.local_forest(np.array([x for x, _ in pairs]), np.array([y for _, y in pairs]))), strict=True))
+    assert roots(list(zip(a, b, strict=True))) == roots([(i + 100, j + 100) for i, j in true]) and len(a) == len(roots(list(zip(a, b, strict=True))))
+
+
+def test_near_duplicates_of_ids_with_two_texts(spark):
+    """One id for two texts: each is compared by itself."""
+    x, y = (" ".join(f"{c}{i}" for i in range(40)) for c in "xy")
+    rows = [(1, x), (1, y), (2, x + " more"), (3, y + " more"), (4, y), (4, y)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 36, 1), (1, 36, 1), (2, 37, 1), (3, 37, 1), (4, 36, 1), (4, 36, 1)]
+
+
 def test_near_duplicates_odd_cases(spark):
     got = sorted((tuple(r) for r in near_dedup.near_duplicates(odd_docs(spark), size=2).collect()), key=lambda r: (r[0] is not None, r))
     assert [r[:1] + r[2:] for r in got] == [(None, None, True), (1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (5, 5, True), (6, 6, True), (7, 7, True), (8, 8, True), (8, 8, True), (9, 8, False)]
