@@ -39,16 +39,23 @@ def attributes_along(paths_: DataFrame, attributes: DataFrame) -> DataFrame:
     return found.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "level")
 
 
-def stats(entries: DataFrame, kind: Column, status: Column) -> DataFrame:
-    """group, name and count: totals, roots and children, and counts by type and status. The three standard types are always listed."""
-    rows = entries.select(F.lower(F.trim(F.coalesce(kind, F.lit("general")))).alias("kind"), F.lower(F.trim(F.coalesce(status, F.lit("unknown")))).alias("status"), F.col("parent_id").isNull().alias("root"))
-    cells = F.array(
-        F.struct(F.lit("total").alias("group"), F.lit("all").alias("name")),
-        F.struct(F.lit("hierarchy").alias("group"), F.when(F.col("root"), "root").otherwise("child").alias("name")),
-        F.struct(F.lit("type").alias("group"), F.col("kind").alias("name")),
-        F.struct(F.lit("status").alias("group"), F.col("status").alias("name")),
-    )
-    counted = rows.select(F.explode(cells).alias("c")).select("c.*", F.lit(1).alias("one"))
+def stats(entries: DataFrame, kind: Column, status: Column, company: Column | None = None, featured: Column | None = None, public: Column | None = None, system: Column | None = None) -> DataFrame:
+    """group, name and count: totals, roots and children, counts by type and status, and where they are given by company, and of what is featured, public and made by the
+    system. The three standard types are always listed. One pass: each row adds to a cell of each group."""
+    lowered = lambda c, default: F.coalesce(F.nullif(F.lower(F.trim(c)), F.lit("")), F.lit(default))
+    groups = [
+        ("total", F.lit("all")),
+        ("hierarchy", F.when(F.coalesce(F.trim("parent_id"), F.lit("")) == "", "root").otherwise("child")),
+        ("type", lowered(kind, "general")),
+        ("status", lowered(status, "unknown")),
+    ]
+    if company is not None:
+        groups.append(("company", F.nullif(F.trim(company), F.lit(""))))
+    for name, flag, yes, no in (("featured", featured, "featured", None), ("visibility", public, "public", "private"), ("system", system, "system", "user")):
+        if flag is not None:
+            groups.append((name, F.when(flag, yes).otherwise(no)))
+    cells = F.array(*(F.struct(F.lit(g).alias("group"), c.alias("name")) for g, c in groups))
+    counted = entries.select(F.explode(cells).alias("c")).select("c.*", F.lit(1).alias("one")).where("name is not null")
     always = entries.sparkSession.createDataFrame([("type", t, 0) for t in ("product", "service", "general")], "group string, name string, one int")
     return counted.unionByName(always).groupBy("group", "name").agg(F.sum("one").alias("count"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestar.operators.filters import is_active, is_visible, with_documents
+from lodestar.session import checkpointed
 
 MODES = ("soft", "deactivate", "hard")
 
@@ -40,6 +41,32 @@ def keep_version(chunks: DataFrame, doc_id: str, version: str) -> DataFrame:
     return chunks.where((F.col("doc_id") != doc_id) | F.col("ingest_version").eqNullSafe(F.lit(version)))
 
 
+def without_document(chunks: DataFrame, doc_id: str, version: str | None = None) -> DataFrame:
+    """A document's chunks go: of all versions, or of one."""
+    gone = F.col("doc_id") == doc_id
+    if version is not None:
+        gone = gone & F.col("ingest_version").eqNullSafe(F.lit(version))
+    return chunks.where(~F.coalesce(gone, F.lit(False)))
+
+
+def of_company_domain(company_id: str, domain: str) -> Column:
+    """The chunks of a company and a domain, which both may be at the top level or in the metadata."""
+    own = (F.col("company_id") == company_id) | (F.col("metadata")["companyId"] == company_id)
+    return F.coalesce(own & (F.col("metadata")["domain"] == domain), F.lit(False))
+
+
+def relabelled(df: DataFrame, old: str, new: str, column: str = "source") -> DataFrame:
+    """Rows whose source is `old`, at the top level or in the metadata, say `new` there."""
+    swap = lambda c: F.when(c == old, new).otherwise(c)
+    out = df.withColumn(column, swap(F.col(column))) if column in df.columns else df
+    return out.withColumn("metadata", F.transform_values("metadata", lambda k, v: F.when((k == column) & (v == old), new).otherwise(v))) if "metadata" in df.columns else out
+
+
+def snapshot(vectors: DataFrame) -> DataFrame:
+    """One row: how many vectors there are, of how many dimensions, and a checksum of their ids."""
+    return vectors.agg(F.count(F.lit(1)).alias("total"), F.max(F.size("embedding")).alias("dimension"), F.max("faiss_id").alias("largest_id"), F.bit_xor("faiss_id").alias("checksum"))
+
+
 def swap_versions(chunks: DataFrame, documents: DataFrame, staged: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Takes staged chunks in: the rows of their documents in other versions go, and the documents point to the new version, with a ready row
     made where there was none. A document without staged chunks keeps its old version."""
@@ -110,8 +137,9 @@ def migrate(vectors: DataFrame, chunks: DataFrame, company: Column, path: str) -
 
 
 def reserve_ids(rows: DataFrame, order: list[Column], after: int) -> DataFrame:
-    """Consecutive ids after the largest one, in a total order: offsets of partitions that are sorted by range, without a global window."""
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    """Consecutive ids after the largest one, in a total order: offsets of partitions that are sorted by range, without a global window. Where a range begins is
+    sampled, so the partitions are kept before they are counted."""
+    ranged = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()))
     numbered = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     sizes = {r["_p"]: r["n"] for r in ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
     offsets, total = [], after
@@ -127,7 +155,7 @@ def reserve_ids(rows: DataFrame, order: list[Column], after: int) -> DataFrame:
 
 def acquire(lock: dict | None, job_id: str, now: float, seconds: float = 900) -> tuple[bool, dict | None]:
     """Whether the job gets the lock, and the lock afterwards: it is free, has expired, or is the job's own."""
-    if lock and lock.get("jobId") and lock["jobId"] != job_id and lock["leaseUntil"] > now:
+    if lock and lock.get("jobId") and lock["jobId"] != job_id and lock["leaseUntil"] >= now:
         return False, lock
     return True, {"jobId": job_id, "acquiredAt": now, "leaseUntil": now + seconds}
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from lodestar.plans.oracles import ORACLES as ORACLES
-from lodestar.plans.queries import QUERIES as QUERIES
+from lodestar.plans import oracles, queries, store_oracles, store_queries
 
 FLAGSHIP = "hybrid_search"
+
+QUERIES = queries.QUERIES | store_queries.QUERIES
+ORACLES = oracles.ORACLES | store_oracles.ORACLES

@@ -75,3 +75,18 @@ def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs, or log lines: event_id, the document (user_id), its state, and when."""
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), F.col("user_id").alias("document_id"), F.col("event_type").alias("state"), "ts", "value")
+
+
+def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories as stored entries, made of parts: external ids repeat, texts may be broken or missing, and what is known of one lies in its metadata."""
+    k = F.col("p_partkey")
+    fields = {
+        "name": F.when(k % 4 == 0, F.col("p_brand")), "label": F.when(k % 6 == 0, F.col("p_type")), "slug": F.when(k % 9 == 0, F.concat(F.lit(" My  "), "p_brand", F.lit("!"))),
+        "parentId": F.when(k % 8 != 0, F.concat(F.lit("x"), k % 50)), "categoryType": F.when(k % 2 == 0, " Product ").when(k % 3 == 1, "service"), "status": F.when(k % 10 < 7, "Active").when(k % 10 == 7, "inactive"),
+        "featured": F.when(k % 10 == 0, "Yes"), "isPublic": F.when(k % 4 == 1, "true"), "isSystem": F.when(k % 5 == 1, "1"), "description": F.when(k % 12 == 0, F.col("p_name")), "companyId": F.when(k % 3 == 1, F.concat(F.lit("co"), k % 7)),
+    }
+    metadata = F.map_filter(F.create_map(*(x for name, c in fields.items() for x in (F.lit(name), c))), lambda _, v: v.isNotNull())
+    return table(spark, sf_dir, "part").select(
+        k.cast("long").alias("id"), F.concat(F.lit("x"), k % 700).alias("external_id"), F.when(k % 5 == 0, "[object Object]").when(k % 7 != 0, F.col("p_name")).alias("text"),
+        F.when(k % 3 == 0, F.concat(F.lit("co"), k % 11)).alias("company_id"), metadata.alias("metadata"),
+    )
