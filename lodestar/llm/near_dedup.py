@@ -31,7 +31,7 @@ BANDS, ROWS, SKETCH_BITS = 32, 5, 512
 #: Buckets up to this many members are paired in full.
 SMALL = 8
 #: Members of a block, and their shingles: 8 bytes for each, and about 6 of text.
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK, BLOCK_SHINGLES = 256, 1 << 18
 #: Members that are compared with one copy of their hub.
 SPOKES = 256
 #: Rows of a few numbers that are broadcast, if counted to be so few: large buckets, hubs, and ids with the blocks they go to.
