@@ -44,8 +44,8 @@ def _norm(c: str) -> str:
 MATCH = f"""CASE WHEN length({_norm('query')}) < 3 THEN 0
   WHEN ({_norm('title')} <> '' AND (contains({_norm('title')}, {_norm('query')}) OR contains({_norm('query')}, {_norm('title')}))) THEN 2
   WHEN contains({_norm('text')}, {_norm('query')}) THEN 1 ELSE 0 END::INT"""
-BOTH = "SELECT item_id AS qid, text FROM benchmark WHERE item_id IN (SELECT faiss_id // 20 FROM v WHERE faiss_id % 20 = 0)"
-VECTORS_OF_BOTH = "SELECT faiss_id // 20 AS qid, e, company_id FROM v WHERE faiss_id % 20 = 0 AND faiss_id // 20 IN (SELECT item_id FROM benchmark)"
+BOTH = "SELECT item_id AS qid, text FROM benchmark WHERE item_id IN (SELECT faiss_id FROM v)"
+VECTORS_OF_BOTH = "SELECT faiss_id AS qid, e, company_id FROM v WHERE faiss_id IN (SELECT item_id FROM benchmark)"
 
 
 def _fused(k: int) -> str:
@@ -106,7 +106,30 @@ def _url(n: int) -> str:
 
 DOMAIN = rf"regexp_replace(regexp_replace(regexp_replace(lower({_url(2)}), '^.*@', ''), ':\d*$', ''), '^\.+|\.+$', '', 'g')"
 
+# pages as markdown, for bodies of menus, footers, comments, boxes, headings, paragraphs, bold text and line breaks, as the pages at hand have
+_TAGS = [
+    (r"(?s)^.*<body>", ""), (r"\s+", " "), (r"<nav>.*?</nav>|<footer>.*?</footer>|<!--.*?-->|<script>.*?</script>|<style>.*?</style>", ""), ("<h1>", "\n\n# "), ("<b>", "**"), ("<br>", "\n"),
+    (r"</?(?:h1|p|div|article|body|html)(?: [^>]*)?>", "\n\n"), (r"</b>", "**"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;?", "&"), (r" *\n *", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", ""),
+]
+_MARKDOWN = "html"
+for _pattern, _new in _TAGS:
+    _MARKDOWN = f"regexp_replace({_MARKDOWN}, '{_pattern}', '{_new}', 'g')"
+PAGES = f"md AS (SELECT page_id, url, {_MARKDOWN} AS t FROM pages)"
+FURNITURE = "^(gizlilik politikasi|kvkk|kullanim kosullari|cerez politikasi|privacy policy|terms|terms and conditions|cookie|cookies|contact)$|mah[.]|mahalle|sokak|cad[.]|no:|pk:|kat\\b|daire\\b|istanbul|ankara|izmir|^copyright|^[(]c[)]"
+
 ORACLES = {
+    "html_to_markdown": f"""WITH {PAGES}, l AS (SELECT page_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM md),
+f AS (SELECT * FROM l WHERE length(line) > 2 AND NOT regexp_matches(line, '(?i){FURNITURE}') QUALIFY row_number() OVER (PARTITION BY page_id, lower(line) ORDER BY n) = 1)
+SELECT page_id, any_value(md.url) AS url, coalesce(string_agg(line, chr(10) ORDER BY n), '') AS text FROM md LEFT JOIN f USING (page_id) GROUP BY page_id""",
+    "structure_chunks": f"""WITH {PAGES}, h AS (SELECT *, length(t) AS n, CASE WHEN starts_with(t, '# ') THEN 0 ELSE strpos(t, chr(10) || '# ') END AS h FROM md),
+s AS (SELECT page_id, url, t, regexp_extract(t, '(?m)^# (.*)$', 1) AS title, n, CASE WHEN h = 0 AND NOT starts_with(t, '# ') THEN n ELSE h END AS h FROM h),
+p AS (SELECT page_id, url, t, 0 AS a, n AS b, CASE WHEN h = 0 THEN title ELSE '' END AS trail FROM s WHERE n > 0 AND (n <= 1200 OR h IN (0, n))
+  UNION ALL SELECT page_id, url, t, 0, h, '' FROM s WHERE n > 1200 AND h NOT IN (0, n) UNION ALL SELECT page_id, url, t, h, n, title FROM s WHERE n > 1200 AND h NOT IN (0, n)),
+b AS (SELECT *, regexp_replace(substr(t, a + 1, b - a), '^\\s+|\\s+$', '', 'g') AS body, substr(CASE WHEN trail = '' THEN url ELSE trail || ' (' || url || ')' END, 1, 160) || chr(10) || chr(10) AS head FROM p),
+w AS (SELECT page_id, a, b, head, body, length(body) AS n, unnest(CASE WHEN length(body) > 1200 THEN range(0, length(body), 1000) ELSE [0] END) AS w FROM b WHERE length(body) >= 40),
+c AS (SELECT page_id, head || substr(body, w + 1, 1200) AS text, CASE WHEN n > 1200 THEN a + w ELSE a END AS char_start, CASE WHEN n > 1200 THEN a + least(w + 1200, n) ELSE b END AS char_end FROM w WHERE (w = 0 OR w + 200 < n) AND least(n - w, 1200) >= 40)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY char_start) - 1)::INT AS chunk_index, text, char_start::INT AS char_start, char_end::INT AS char_end FROM c""",
+    "schema_leaves": "SELECT event_id, CASE WHEN length(trim(repeat(event_type || ' ', 40))) >= 200 THEN trim(repeat(event_type || ' ', 40)) ELSE '' END AS text FROM events",
     "dense_topk": f"WITH {V}, {_dense(10)} SELECT * FROM top",
     "dense_topk_company": f"WITH {V}, {_dense(10, same='v.company_id = q.company_id')} SELECT * FROM top",
     "dense_post_filter": f"WITH {V}, {_dense(10)} SELECT top.*, v.company_id FROM top JOIN v USING (faiss_id) WHERE v.company_id = 'c1'",

@@ -31,9 +31,8 @@ def text_queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def both_queries(spark: SparkSession, d: str) -> DataFrame:
-    """Query i has the text of benchmark item i and the vector 20 * i."""
-    v = vector_queries(spark, d).select((F.col("qid") / 20).cast("long").alias("qid"), "embedding")
-    return v.join(text_queries(spark, d), "qid")
+    """Query i has the text of benchmark item i and the vector i."""
+    return schema.vectors(spark, d).select(F.col("faiss_id").alias("qid"), "embedding").join(F.broadcast(text_queries(spark, d)), "qid")
 
 
 # ---- vectors
