@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -35,6 +36,14 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends there, and a lost executor costs a reread, not a recomputation."""
+    out = written_for_good(df, name)
+    for made in _scopes[-1:]:
+        made.append(out)
+    return out
+
+
+def written_for_good(df: DataFrame, name: str) -> DataFrame:
+    """The same for what is not to be dropped with the rest."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -42,6 +51,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def dropped_afterwards() -> Iterator[None]:
+    """What is written within is deleted at the end: for a caller that has by then written the result elsewhere."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for table in _scopes.pop():
+            drop_written(table)
+
+
 def drop_written(df: DataFrame) -> None:
     """Deletes the table that written() made, once nothing reads it any more."""
     spark, path = df.sparkSession, df._written_at

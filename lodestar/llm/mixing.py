@@ -5,8 +5,9 @@ words once at no cost, a second time at cost 1 and a third time at cost 2, to an
 target. The min-cost flow of that small network says how often each pattern is repeated. Documents are then chosen in the order of a
 seeded hash: all of a pattern's for each whole repetition, and the first ones of that order for the rest.
 
-Only sums by pattern reach the driver. The order is never made for a whole pattern: hashes fall into about sqrt(n) buckets, and
-only the one bucket in which a pattern's rest ends is put in order.
+Only sums by pattern reach the driver, and where there are more patterns than it should hold, only those that overlap with others: a source that shares
+no document is a network of its own, whose flow is the smaller of its target and of what it has. The order is never made for a whole pattern: hashes
+fall into about sqrt(n) buckets, and only the one bucket in which a pattern's rest ends is put in order.
 """
 
 from __future__ import annotations
@@ -21,11 +22,14 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lodestar.llm.common import words_in, written
+from lodestar.operators.lifecycle import reserve_ids
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
-#: Patterns beyond this many are an error: the network is solved by the driver.
-MAX_PATTERNS = 100_000
+#: Patterns that the driver solves the network of. Beyond, those that overlap with no other are solved where they are.
+DRIVER_PATTERNS = 100_000
+#: Copies of a row of the plan where it is too large to broadcast, so that a source's documents lie in as many tasks.
+SALTS = 32
 
 
 def targets_of(sizes: list[int], weights: list[int], repeats: int) -> list[float]:
@@ -119,34 +123,24 @@ def mix(df: DataFrame, sources: Column, text: str = "text", key: str = "doc_id",
     order = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long")
     sized = written(df.select(F.col(key).alias("doc_id"), words_in(text).alias("size"), own.alias("sources"), name.alias("pattern"), order.alias("order")), "sized")
 
-    totals = sized.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_PATTERNS + 1).collect()
-    if len(totals) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} patterns of sources")
-    totals.sort(key=lambda r: r.pattern)
-    names = sorted({s for r in totals for s in r.sources}, key=lambda s: (s is None, s or ""))
-    at = {s: i for i, s in enumerate(names)}
-    sizes = [0] * len(names)
-    for r in totals:
-        for s in r.sources:
-            sizes[at[s]] += r.size
-    everything = sum(r.size for r in totals if r.sources)
-    targets = targets_of(sizes, [weights[i % len(weights)] for i in range(len(names))], repeats) if sum(sizes) == everything else _overlapping(sizes, weights, repeats, everything)
-    given = min_cost_flow([r.size for r in totals], [[at[s] for s in r.sources] for r in totals], [math.floor(t) for t in targets], repeats)
+    patterns = written(sized.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")), "patterns")
+    n_patterns, largest = patterns.agg(F.count(F.lit(1)), F.max("n")).first()
+    few = n_patterns <= DRIVER_PATTERNS
+    plan = _plan_on_driver(patterns, weights, repeats) if few else _plan_by_tables(patterns, weights, repeats)
 
     # the bucket in which each pattern's rest ends
-    buckets = 1 << max(4, math.ceil(math.log2(max(1, max((r.n for r in totals), default=1))) / 2))
-    width = (1 << 32) // buckets
-    spark = df.sparkSession
-    kinds = "pattern string, copies long, rest long, source_size long, target double"
-    plan = spark.createDataFrame(
-        [(r.pattern, g // r.size if r.size else 0, g % r.size if r.size else 0, sum(sizes[at[s]] for s in r.sources), float(sum(targets[at[s]] for s in r.sources))) for r, g in zip(totals, given, strict=True)], kinds
-    )
-    bucket = F.floor(F.col("order") / width)
+    buckets = 1 << max(4, math.ceil(math.log2(max(1, largest or 1)) / 2))
+    bucket = F.floor(F.col("order") / ((1 << 32) // buckets))
     before = F.sum("words").over(Window.partitionBy("pattern").orderBy("bucket")) - F.col("words")
     sums = sized.groupBy("pattern", bucket.alias("bucket")).agg(F.sum("size").alias("words")).withColumn("before", before)
-    ends = sums.join(F.broadcast(plan.select("pattern", "rest")), "pattern").where("before < rest and before + words >= rest").groupBy("pattern").agg(F.min(F.struct("bucket", "before")).alias("e")).select("pattern", "e.*")
-    plan = plan.join(spark.createDataFrame(ends.collect(), "pattern string, bucket long, before long"), "pattern", "left").select("pattern", "copies", "rest", "source_size", "target", F.coalesce("bucket", F.lit(-1)).alias("last"), F.coalesce("before", F.lit(0)).alias("before"))
-    placed = sized.join(F.broadcast(plan), "pattern").withColumn("bucket", bucket)
+    ends = sums.join(F.broadcast(plan) if few else plan, "pattern").where("before < rest and before + words >= rest").groupBy("pattern").agg(F.min(F.struct("bucket", "before")).alias("e")).select("pattern", "e.*")
+    plan = written(plan.join(ends, "pattern", "left").select("pattern", "copies", "rest", "source_size", "target", F.coalesce("bucket", F.lit(-1)).alias("last"), F.coalesce("before", F.lit(0)).alias("before")), "plan")
+    if few:
+        placed = sized.join(F.broadcast(plan), "pattern")
+    else:
+        salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        placed = sized.withColumn("salt", F.pmod(F.xxhash64("order", "doc_id"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["pattern", "salt"])
+    placed = placed.withColumn("bucket", bucket)
     columns = lambda taken: ("doc_id", "size", "sources", "source_size", "target", (F.col("copies") * F.col("size") + taken).alias("taken"))
     through = F.sum("size").over(Window.partitionBy("pattern").orderBy("order", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0))
     whole = placed.where("bucket <> last").select(*columns(F.when(F.col("bucket") < F.col("last"), F.col("size")).otherwise(0)))
@@ -154,6 +148,70 @@ def mix(df: DataFrame, sources: Column, text: str = "text", key: str = "doc_id",
     return whole.unionByName(partly)
 
 
+PLAN = "pattern string, copies long, rest long, source_size long, target double"
+
+
+def _row(pattern: str, size: int, given: int, source_size: int, target: float) -> tuple:
+    return (pattern, given // size if size else 0, given % size if size else 0, source_size, float(target))
+
+
+def _plan_on_driver(patterns: DataFrame, weights: tuple[int, ...], repeats: int) -> DataFrame:
+    """PLAN: how often each pattern is taken whole, how many words of it are taken once more, and its source's size and target."""
+    totals = sorted(patterns.collect(), key=lambda r: r.pattern)
+    names = sorted({s for r in totals for s in r.sources}, key=lambda s: (s is None, s or ""))
+    at = {s: i for i, s in enumerate(names)}
+    sizes = [0] * len(names)
+    for r in totals:
+        for s in r.sources:
+            sizes[at[s]] += r.size
+    everything = sum(r.size for r in totals if r.sources)
+    own = [weights[i % len(weights)] for i in range(len(names))]
+    targets = targets_of(sizes, own, repeats) if sum(sizes) == everything else _overlapping(sizes, weights, repeats, everything)
+    given = min_cost_flow([r.size for r in totals], [[at[s] for s in r.sources] for r in totals], [math.floor(t) for t in targets], repeats)
+    rows = [_row(r.pattern, r.size, g, sum(sizes[at[s]] for s in r.sources), sum(targets[at[s]] for s in r.sources)) for r, g in zip(totals, given, strict=True)]
+    return patterns.sparkSession.createDataFrame(rows, PLAN)
+
+
+def _plan_by_tables(patterns: DataFrame, weights: tuple[int, ...], repeats: int) -> DataFrame:
+    """The same for more patterns than the driver should hold. Sources are ranked by ranges, their shares found by sums over those that stop at their most, and
+    patterns that share no source are given what the flow of one pattern gives. Those that overlap must be few enough for the driver."""
+    named = patterns.select(F.explode("sources").alias("source"), "size").groupBy("source").agg(F.sum("size").alias("size"))
+    ranked = reserve_ids(named, [F.col("source").isNull(), F.col("source")], 0)
+    weight = F.element_at(F.array(*(F.lit(w) for w in weights)), (1 + (F.col("id") - 1) % len(weights)).cast("int"))
+    sources = written(ranked.select("source", "size", weight.alias("weight")), "sources")
+    everything = patterns.where(F.size("sources") > 0).agg(F.sum("size")).first()[0] or 0
+    together, all_weights = sources.agg(F.sum("size"), F.sum("weight")).first()
+    share, stopped = together / all_weights, -1
+    while True:
+        full = F.col("size") * repeats <= F.lit(share) * F.col("weight")
+        n, words, weighed = sources.where(full).agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+        if n == stopped or weighed == all_weights:
+            break
+        stopped, share = n, (together - repeats * words) / (all_weights - weighed)
+    target = F.least(F.lit(share) * F.col("weight"), (F.col("size") * repeats).cast("double")) * F.lit(everything / together if together else 1.0)
+    sources = written(sources.select("source", "size", target.alias("target")), "targets")
+    overlapping = patterns.where(F.size("sources") > 1)
+    shared = written(overlapping.select(F.explode("sources").alias("source")).distinct(), "shared")
+    if overlapping.count() + shared.count() > DRIVER_PATTERNS:
+        raise ValueError(f"more than {DRIVER_PATTERNS} patterns and sources that overlap")
+    single = patterns.where(F.size("sources") == 1).withColumn("source", F.get("sources", F.lit(0)))
+    same = lambda x, y: x["source"].eqNullSafe(y["source"])
+    alone = single.join(F.broadcast(shared), same(single, shared), "left_anti")
+    of = sources.withColumnRenamed("size", "source_size").withColumnRenamed("source", "name")
+    given = F.least(F.col("size") * repeats, F.floor("target"))
+    has = F.col("size") > 0
+    out = alone.join(of, alone["source"].eqNullSafe(of["name"])).select(
+        "pattern", F.when(has, F.floor(given / F.col("size"))).otherwise(0).cast("long").alias("copies"), F.when(has, given % F.col("size")).otherwise(0).cast("long").alias("rest"), "source_size", "target"
+    )
+    nothing = patterns.where(F.size("sources") == 0).select("pattern", F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("rest"), F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"))
+    network = sorted(overlapping.unionByName(single.join(F.broadcast(shared), same(single, shared), "left_semi").drop("source")).collect(), key=lambda r: r.pattern)
+    known = sources.join(F.broadcast(shared), same(sources, shared), "left_semi").collect()
+    at = {r.source: i for i, r in enumerate(known)}
+    solved = min_cost_flow([r.size for r in network], [[at[s] for s in r.sources] for r in network], [math.floor(r.target) for r in known], repeats)
+    rows = [_row(r.pattern, r.size, g, sum(known[at[s]].size for s in r.sources), sum(known[at[s]].target for s in r.sources)) for r, g in zip(network, solved, strict=True)]
+    return written(out.unionByName(nothing).unionByName(patterns.sparkSession.createDataFrame(rows, PLAN)), "plan")
+
+
 def _overlapping(sizes: list[int], weights: tuple[int, ...], repeats: int, everything: int) -> list[float]:
     """Targets that share the words of all documents, counted once, though sources overlap."""
     scaled = targets_of(sizes, [weights[i % len(weights)] for i in range(len(sizes))], repeats)

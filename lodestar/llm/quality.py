@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import byte_values, id_remainder, small_batches, written
+from lodestar.llm.common import byte_values, drop_written, id_remainder, small_batches, written
 from lodestar.llm.sampling import bounded_sample
 
 PIECE = 2048
@@ -89,6 +89,7 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, text: str = "text", ke
     order = (F.xxhash64(F.lit(6), "key", "at"), "key", "at", "piece")
     sets = [[bytes(r.piece) for r in parts.where(F.col("label") == v).orderBy(*order).limit(pieces).collect()] for v in (0, 1)]
     if not all(sets):
+        drop_written(rows)
         return None
     bad, good = map(_train, sets)
 
@@ -100,6 +101,7 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, text: str = "text", ke
                 yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, pa.list_(pa.float64()))], ["label", "x"])
 
     held = rows.where("part = 0").select("label", "text").mapInArrow(measured, "label int, x array<double>").orderBy("label", "x").collect()
+    drop_written(rows)
     y = np.array([r.label for r in held], float)
     if len(set(y)) < 2:
         return None

@@ -190,6 +190,22 @@ def test_mix(spark):
     assert {(r.doc_id, r.taken) for r in again} == {(r.doc_id, r.taken) for r in got}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mix_of_more_patterns_than_the_driver_holds(spark, monkeypatch, seed):
+    """Hundreds of sources, some of which share documents: the tables give what the driver gives."""
+    rng = random.Random(seed)
+    names = [f"s{i:03}" for i in range(150)] + ["ü", "Z", None]
+    rows = [(i, "w " * rng.choice((0, 1, 3, 30, 200)), [rng.choice(names)] if rng.random() < 0.97 else rng.sample(names[:12], 2)) for i in range(1200)]
+    rows += [(9000, "a b", []), (9001, "c", None)]
+    if seed == 2:
+        rows = [(i, t, s) for i, t, s in rows if s and len(s) == 1]
+    df = spark.createDataFrame(rows, "doc_id long, text string, s array<string>")
+    took = lambda: {r.doc_id: (r.size, r.source_size, pytest.approx(r.target), r.taken) for r in mixing.mix(df, F.col("s")).collect()}
+    want = took()
+    monkeypatch.setattr(mixing, "DRIVER_PATTERNS", 100)
+    assert took() == want and len(want) == len(rows)
+
+
 def test_mix_overlapping_and_odd(spark):
     rows = [(1, "a b c d", ["x"]), (2, "a b", ["x", "y"]), (3, "a b c", ["y", None]), (4, "a", []), (5, "a b", None)]
     got = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, s array<string>"), F.col("s")).collect()}
