@@ -1,11 +1,16 @@
-"""A pipeline of five stages over `documents`; each stage is one of the operators of lodestar.llm."""
+"""A pipeline of five stages over `documents`; each stage is one of the operators of lodestar.llm.
+
+Every stage takes the columns of documents and ignores others, whatever their names: all but the last return these columns alone. Nulls may be in any
+column, ids may repeat, texts may be empty or of any length, and each row is judged by its own text, not by its id. An empty table goes through as one.
+What a stage writes on the way is deleted as soon as its result is written.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import WORD, by_ids, id_remainder, written
+from lodestar.llm.common import WORD, by_ids, drop_written, dropped_afterwards, id_remainder, written, written_for_good
 from lodestar.llm.decontaminate import find_leaks
 from lodestar.llm.language_id import fit_language_model, identify_languages
 from lodestar.llm.mixing import mix
@@ -21,21 +26,24 @@ def with_row(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects `und` only: null texts and texts without a letter. The predicted language and its score reject nothing; lang and all else stay as they are."""
+    """Rejects `und` only: null texts and texts without a letter. The predicted language and its score reject nothing; lang and all else stay as they are. Rows
+    without a lang are not learned from; where no row has one, there is nothing to predict by and every row is `und`."""
     docs = docs.select(*COLUMNS)
     model = fit_language_model(docs.where(id_remainder(F.col("doc_id"), 4) != 2))
     return identify_languages(docs, model).where("lang_pred <> 'und'").select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that the classifier predicts to be bad (score under 0.5)."""
+    """Rejects documents that the classifier predicts to be bad (score under 0.5). Null and empty texts have the score of no text. Where the labels are of one kind
+    alone, or none, every score is 0.5 and every row stays. Copies have equal scores."""
     docs = docs.select(*COLUMNS)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(id_remainder(F.col("doc_id"), 3) != 1)
     return score_quality(docs, fit_quality_model(docs, labels)).where("predicted = 1").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each group of near copies, by the default of five words and 0.8. Null ids come last; of rows that are equal in all, one is kept."""
+    """Keeps the document of the smallest doc_id of each group of near copies, by the default of five words and 0.8. Null ids come last; of rows that are equal in all, one is
+    kept, and so it is of rows of one group whose ids tie. Texts without a word are near to nothing: only equal rows of them are copies."""
     docs = with_row(docs)
     groups = near_duplicates(docs, key="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("component"))
     # texts without a word are linked with nothing: among them only equal rows are copies
@@ -48,14 +56,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which a benchmark passage leaks, each row by its own text."""
+    """Drops documents in which a benchmark passage leaks, each row by its own text. Null texts and null passages leak nothing; without passages every row stays."""
     docs = with_row(docs)
     leaks = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_row").select(F.col("doc_id").alias("_row")).distinct()
     return by_ids(docs, written(leaks, "leaks"), "_row", "left_anti").select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document that is left: doc_id, source, size, source_size, target and taken."""
+    """What the mix takes of each document that is left: doc_id, source, size, source_size, target and taken, a row for each row. Null texts have size 0, a null
+    source is a source, and rows that tie in the seeded order and size are alike in the result."""
     return mix(docs.select(*COLUMNS), F.col("source")).select("doc_id", F.col("sources")[0].alias("source"), "size", "source_size", "target", "taken")
 
 
@@ -75,7 +84,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written as Parquet and reread as the next one's documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, name)
+        if i == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with dropped_afterwards():
+            kept = written_for_good(stage(spark, docs, sf_dir), name)
+        if i:
+            drop_written(docs)
+        docs = kept
     return docs
