@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lodestar.plans.oracles import ACTIVE, C, D, V, VISIBLE  # noqa: F401
+from lodestar.plans.oracles import ORACLES as ORACLES_
+from lodestar.plans.oracles import C, D, VISIBLE
 
 E = """e AS (SELECT k AS id, 'x' || (k % 700) AS external_id, CASE WHEN k % 5 = 0 THEN '[object Object]' WHEN k % 7 <> 0 THEN p_name END AS text, CASE WHEN k % 3 = 0 THEN 'co' || (k % 11) END AS company_id,
   CASE WHEN k % 4 = 0 THEN p_brand END AS name, CASE WHEN k % 6 = 0 THEN p_type END AS label, CASE WHEN k % 9 = 0 THEN ' My  ' || p_brand || '!' END AS slug, CASE WHEN k % 8 <> 0 THEN 'x' || (k % 50) END AS parent,
@@ -123,6 +124,13 @@ SELECT conv_id AS document_id, count(*) AS pages, least(max(total), 600)::BIGINT
     "ready_documents": f"""WITH {D}, s AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN ' Private ' WHEN 1 THEN source END AS source FROM documents)
 SELECT d.doc_id, d.status, s.source FROM d JOIN s ON s.doc_id::VARCHAR = d.doc_id WHERE status IN ('ready', 'processing') AND s.doc_id % 4 <> 0""",
     "failure_notices": """SELECT event_id, CASE WHEN event_id % 2 = 0 AND event_id % 5 = 0 THEN 'upload_access_failed' WHEN event_id % 2 = 0 AND (event_id % 5 = 1 OR event_id % 7 = 0) THEN 'upload_format_unsupported' ELSE 'index_failed' END AS notice FROM events""",
+    "web_build_counts": f"""WITH {C}, n AS (SELECT doc_id::BIGINT AS id, count(*) AS n FROM c GROUP BY doc_id)
+SELECT count(*) AS processed, count(n) AS chunked, count(*) - count(n) AS skipped, coalesce(sum(n), 0)::BIGINT AS chunks FROM documents LEFT JOIN n ON id = documents.doc_id WHERE documents.doc_id >= 100 AND documents.doc_id < 500""",
+    "markdown_pages": f"""WITH k AS ({ORACLES_["html_to_markdown"]}),
+p AS (SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'no scheme ' || page_id ELSE url END AS url, CASE WHEN page_id % 10 = 0 THEN 'invalid url' WHEN page_id % 7 = 0 THEN 'empty markdown' END AS error, text FROM k)
+SELECT url, CASE WHEN error IS NULL THEN nullif(trim(regexp_extract(text, '(?m)^#\\s+(.+)$', 1)), '') END AS title, CASE WHEN error IS NULL THEN sha1(text) END AS content_hash, error FROM p""",
+    "job_routes": """WITH l AS (SELECT DISTINCT doc_id FROM labels), r AS (SELECT event_id AS job_id, event_id % 4 AS attempt, CASE WHEN doc_id IS NOT NULL THEN 'run' WHEN event_id % 4 + 1 < 3 THEN 'retry' ELSE 'dead' END AS route FROM events LEFT JOIN l ON doc_id = user_id)
+SELECT job_id, route, attempt + (route = 'retry')::INT AS attempt FROM r""",
     "row_preview": r"""SELECT doc_id, CASE WHEN length(s) > 60 THEN rtrim(substr(s, 1, 57)) || '...' ELSE s END AS preview FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS s FROM documents ORDER BY doc_id LIMIT 5)""",
     "row_count": "SELECT count(*) AS rows FROM documents",
     "source_lookup": "WITH p AS (SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS domain FROM pages) SELECT * FROM p WHERE domain = (SELECT min(domain) FROM p)",

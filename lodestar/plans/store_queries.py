@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from lodestar import schema
 from lodestar.functions import text as tx
 from lodestar.operators import catalog, content, entries, filters, lifecycle, loading
+from lodestar.plans import build
 from lodestar.session import table
-from lodestar.sources import sinks
+from lodestar.sources import markup, sinks
 
 QUERIES = {}
 
@@ -311,6 +312,28 @@ def failure_notices(spark, d):
     return table(spark, d, "events").select("event_id", loading.failure_notice(source, kind, error).alias("notice"))
 
 
+@query
+def web_build_counts(spark, d):
+    """A build of the records 100 to 500."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("language"))
+    part = rows.where((F.col("id") >= 100) & (F.col("id") < 500))
+    return build.build_counts(part, build.web_build(part, [F.col("id")]))
+
+
+@query
+def markdown_pages(spark, d):
+    pages = markup.html_to_markdown(table(spark, d, "pages", spread=True).select("page_id", "url", F.col("html").alias("text")), "text")
+    own = pages.select(F.when(F.col("page_id") % 10 == 0, F.concat(F.lit("no scheme "), "page_id")).otherwise(F.col("url")).alias("url"), F.when(F.col("page_id") % 7 != 0, F.col("text")).otherwise(" ").alias("text"))
+    return build.markdown_pages(own, ascii_footers=True).select("url", "title", "content_hash", "error")
+
+
+@query
+def job_routes(spark, d):
+    jobs = table(spark, d, "events").select(F.col("event_id").alias("job_id"), F.col("user_id").alias("document_id"), (F.col("event_id") % 4).alias("attempt"))
+    documents = table(spark, d, "labels").select(F.col("doc_id").alias("document_id"))
+    return build.retried(jobs, documents).select("job_id", "route", "attempt")
+
+
 @query
 def row_preview(spark, d):
     return table(spark, d, "documents").orderBy("doc_id").limit(5).select("doc_id", tx.short_text(F.col("text"), 60).alias("preview"))
