@@ -1,4 +1,4 @@
-"""Texts of files: plain, HTML, DOCX, XLSX and PPTX. PDF and legacy DOC need a parser that is not here and are errors."""
+"""Texts of files: plain, HTML, PDF, DOCX, XLSX and PPTX. Legacy DOC needs a parser that is not here and is an error."""
 
 from __future__ import annotations
 
@@ -9,9 +9,11 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestar.sources.pdf import pdf_text
+
 PLAIN = (".txt", ".md", ".markdown", ".csv", ".json", ".log")
 
 
@@ -89,7 +91,7 @@ def pptx_text(data: bytes) -> str:
 def file_text(name: str, data: bytes, mime: str | None = None) -> str:
     """By suffix, then by MIME type; other files are an error."""
     low, kind = name.lower(), (mime or "").lower()
-    for suffixes, kinds, read in (((".html", ".htm"), ("html",), html_text), ((".docx",), ("wordprocessingml",), docx_text), ((".xlsx",), ("spreadsheetml",), xlsx_text), ((".pptx",), ("presentationml",), pptx_text)):
+    for suffixes, kinds, read in (((".html", ".htm"), ("html",), html_text), ((".pdf",), ("pdf",), pdf_text), ((".docx",), ("wordprocessingml",), docx_text), ((".xlsx",), ("spreadsheetml",), xlsx_text), ((".pptx",), ("presentationml",), pptx_text)):
         if low.endswith(suffixes) or any(k in kind for k in kinds):
             return read(data)
     if low.endswith(PLAIN) or kind.startswith("text/") or "json" in kind:
@@ -100,15 +102,15 @@ def file_text(name: str, data: bytes, mime: str | None = None) -> str:
 def load_files(spark: SparkSession, path: str) -> DataFrame:
     """path, text and error of each file under a path; a file that cannot be read has an error in place of a text."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for p, content in batch.itertuples(index=False):
+            for p, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
                     rows.append((p, file_text(p, content), None))
                 except Exception as e:  # noqa: BLE001  one bad file must not end the job
                     rows.append((p, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "text", "error"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["path", "text", "error"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "content").mapInPandas(read, "path string, text string, error string")
+    return files.select("path", "content").mapInArrow(read, "path string, text string, error string")

@@ -5,6 +5,7 @@ import shutil
 import subprocess
 import sys
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,11 +28,37 @@ def test_formats(spark, tmp_path):
     docx = zipped(**{"word__document.xml": "<w:document xmlns:w='w'><w:p><w:t>Hello</w:t><w:t> there</w:t></w:p><w:p><w:t>two</w:t></w:p></w:document>"})
     xlsx = zipped(**{"xl__workbook.xml": "<w xmlns='x'><sheets><sheet name='S1'/></sheets></w>", "xl__sharedStrings.xml": "<sst xmlns='x'><si><t>shared</t></si></sst>", "xl__worksheets__sheet1.xml": "<s xmlns='x'><row><c t='s'><v>0</v></c><c><v>3</v></c><c><v> </v></c></row><row/></s>"})
     pptx = zipped(**{"ppt__slides__slide1.xml": "<s xmlns:p='p' xmlns:a='a'><p:txBody><a:p><a:t>Title</a:t></a:p></p:txBody></s>"})
-    for name, data in (("a.docx", docx), ("b.xlsx", xlsx), ("c.pptx", pptx), ("d.html", b"<p>x</p><script>s</script>"), ("e.txt", b"caf\xff"), ("f.pdf", b"%PDF"), ("g.docx", b"broken")):
+    for name, data in (("a.docx", docx), ("b.xlsx", xlsx), ("c.pptx", pptx), ("d.html", b"<p>x</p><script>s</script>"), ("e.txt", b"caf\xff"), ("f.doc", b"x"), ("g.docx", b"broken"), ("h.pdf", pdf_file([["one", "two"], ["three"]])), ("i.pdf", b"no")):
         (tmp_path / name).write_bytes(data)
     got = {os.path.basename(r.path): r for r in formats.load_files(spark, str(tmp_path)).collect()}
     assert [got[n].text for n in ("a.docx", "b.xlsx", "c.pptx", "d.html", "e.txt")] == ["Hello there\ntwo", "[sheet] S1\nshared | 3", "[slide] 1\nTitle", "x\ns", "caf�"]
-    assert "unsupported" in got["f.pdf"].error and got["g.docx"].text is None
+    assert "unsupported" in got["f.doc"].error and got["g.docx"].text is None
+    assert got["h.pdf"].text == "one\ntwo\nthree" and "not a PDF" in got["i.pdf"].error
+
+
+def pdf_file(pages, packed=True, unicode_font=False):
+    """A PDF of lines, as a writer would lay it out: the pages of the tree in another order than in the file."""
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [%s] /Count %d >>" % (b" ".join(b"%d 0 R" % (10 + 2 * i) for i in range(len(pages))), len(pages))}
+    objects[3] = b"<< /Type /Font /Subtype /Type0 /ToUnicode 4 0 R >>" if unicode_font else b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"
+    table = b"1 beginbfrange <0041> <005a> <0061> endbfrange 1 beginbfchar <0001> <00e9> endbfchar"
+    objects[4] = b"<< /Length %d >>\nstream\n%s\nendstream" % (len(table), table)
+    for i, lines in enumerate(pages):
+        show = lambda t: b"<%s> Tj" % "".join(f"{ord(c) - 32 if c != 'é' else 1:04x}" for c in t).encode() if unicode_font else b"(%s) Tj" % t.replace("(", r"\(").replace(")", r"\)").encode("cp1252")
+        content = b"BT /F1 12 Tf " + b" 0 -14 Td ".join(show(t) for t in lines) + b" ET"
+        objects[11 + 2 * i] = (b"<< /Filter /FlateDecode >>\nstream\n%s\nendstream" % zlib.compress(content)) if packed else b"<< >>\nstream\n%s\nendstream" % content
+        objects[10 + 2 * i] = b"<< /Type /Page /Parent 2 0 R /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % (11 + 2 * i)
+    return b"%PDF-1.4\n" + b"\n".join(b"%d 0 obj\n%s\nendobj" % (n, objects[n]) for n in sorted(objects, reverse=True)) + b"\ntrailer << /Root 1 0 R >>"
+
+
+def test_pdf():
+    from lodestar.sources.pdf import pdf_text
+
+    for packed in (True, False):
+        assert pdf_text(pdf_file([["a (b) café", "c"], [], ["d"]], packed)) == "a (b) café\nc\n\nd"
+    assert pdf_text(pdf_file([["abé", "z"]], unicode_font=True)) == "abé\nz"
+    for bad in (b"", b"%PDF-1.4 1 0 obj << /Encrypt 3 0 R >> endobj"):
+        with pytest.raises(ValueError):
+            pdf_text(bad)
 
 
 def test_markup():
