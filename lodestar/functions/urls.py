@@ -35,6 +35,14 @@ def is_url(c: Column) -> Column:
     return F.coalesce(c.rlike(r"^https?://[^\s/?#]+"), F.lit(False))
 
 
+def page_urls_of(c: Column, names: tuple[str, ...] = ("urls", "pageUrls", "page_urls", "pages", "url")) -> Column:
+    """page_urls() of JSON that may be an object, with the list under the first of several names that has one, or of a list of objects with an url."""
+    inner = F.coalesce(*(F.get_json_object(c, f"$.{n}") for n in names))
+    objects = F.transform(F.from_json(c, "array<struct<url:string>>"), lambda o: o["url"])
+    listed = F.when(c.rlike(r"^\s*\[\s*\{"), F.to_json(objects)).when(c.rlike(r"^\s*\{"), inner).otherwise(c)
+    return page_urls(listed)
+
+
 def page_urls(c: Column) -> Column:
     """The URLs of a JSON list or a comma list, normalised, in order, each once."""
     listed = F.when(F.trim(c).startswith("["), F.from_json(c, "array<string>")).otherwise(F.split(c, r"[,\s]+"))

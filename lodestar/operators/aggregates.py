@@ -42,6 +42,15 @@ def neighbours(hits: DataFrame, chunks: DataFrame, radius: int) -> DataFrame:
     return wanted.join(numbered, ["doc_id", "place"])
 
 
+def reconstructed_documents(chunks: DataFrame, documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, status, chunk_count, text and error of the wanted(doc_id) documents: hidden ones are refused, those without chunks are not found."""
+    own = chunks.join(F.broadcast(wanted.select("doc_id").distinct()), "doc_id", "left_semi").groupBy("doc_id")
+    texts = own.agg(F.count(F.lit(1)).alias("chunk_count"), reconstruct(F.collect_list(F.struct("char_start", "chunk_index", "text"))).alias("text"))
+    rows = wanted.select("doc_id").distinct().join(documents.select("doc_id", "status"), "doc_id", "left").join(texts, "doc_id", "left")
+    error = F.when(F.lower("status").isin("disabled", "removed"), "document_disabled").when(F.col("text").isNull(), "not_found")
+    return rows.select("doc_id", "status", F.when(error.isNull(), F.col("chunk_count")).alias("chunk_count"), F.when(error.isNull(), F.col("text")).alias("text"), error.alias("error"))
+
+
 def reconstruct(chunks: Column) -> Column:
     """The text of an array of structs (char_start, chunk_index, text): overlaps once, gaps as spaces. A start of 0 or null means: where the text before ends."""
     ordered = F.array_sort(F.transform(chunks, lambda c: F.struct(F.coalesce(F.nullif(c["char_start"], F.lit(0)), c["chunk_index"], F.lit(0)).alias("o"), F.coalesce(c["chunk_index"], F.lit(0)).alias("chunk_index"), c["char_start"].alias("char_start"), F.coalesce(c["text"], F.lit("")).alias("text"))))

@@ -130,9 +130,35 @@ def category_filter(filters: dict | None) -> Column:
     return out
 
 
+def with_metadata(hits: DataFrame, stored: DataFrame, held: DataFrame) -> DataFrame:
+    """Hits(id, ...) with the metadata(id, external_id, text, company_id) that is stored, or where there is none that which is held beside the vectors; hits without any are
+    left out."""
+    pick = lambda c: F.coalesce(F.col(f"s.{c}"), F.when(F.col("s.id").isNull(), F.col(f"m.{c}"))).alias(c)
+    both = hits.alias("h").join(stored.alias("s"), F.col("h.id") == F.col("s.id"), "left").join(held.alias("m"), F.col("h.id") == F.col("m.id"), "left")
+    return both.where("s.id is not null or m.id is not null").select("h.*", *(pick(c) for c in ("external_id", "text", "company_id")))
+
+
+def created(entries: DataFrame, new: DataFrame) -> DataFrame:
+    """New(company_id, text, n) categories with `error` and `existing`: a text that its company has already, exactly, or that an earlier new row of the company has, is a duplicate.
+    A row without a company is compared with all."""
+    there = entries.where("text is not null").select(F.col("company_id").alias("c"), F.col("text").alias("t"), F.col("external_id").alias("e"), "id")
+    own = there.groupBy("c", "t").agg(F.min_by("e", "id").alias("own"))
+    any_ = there.groupBy("t").agg(F.min_by("e", "id").alias("any"))
+    first = F.row_number().over(Window.partitionBy("company_id", "text").orderBy("n")) == 1
+    rows = new.withColumn("_first", first).alias("n").join(own, (F.col("n.company_id") == F.col("c")) & (F.col("n.text") == F.col("t")), "left").drop("c", "t").join(any_, F.col("n.text") == F.col("t"), "left").drop("t")
+    existing = F.when(F.col("company_id").isNull(), F.col("any")).otherwise(F.col("own"))
+    return rows.select("company_id", "text", "n", existing.alias("existing"), F.when(existing.isNotNull() | ~F.col("_first"), "duplicate_entry").alias("error"))
+
+
 # ---- rows to show
 
 
+def serialised(df: DataFrame) -> DataFrame:
+    """Rows as they are answered: without internal ids, times as ISO text."""
+    iso = lambda f: F.date_format(f.name, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(f.name)
+    return df.select(*(iso(f) if f.dataType.typeName().startswith("timestamp") else F.col(f.name) for f in df.schema if f.name != "_id"))
+
+
 def category_rows(entries: DataFrame) -> DataFrame:
     """id, category_id (the external id), text, name, label, slug, company_id and description of each category."""
     m = F.col("metadata")

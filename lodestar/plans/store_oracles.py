@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from lodestar.plans.oracles import ORACLES as ORACLES_
-from lodestar.plans.oracles import C, D, VISIBLE
+from lodestar.plans.oracles import STRIPPED, VISIBLE, C, D, V, _dense, _url
+
+PAGE_URL = f"CASE WHEN {_url(2)} <> '' THEN coalesce(nullif(lower({_url(1)}), ''), 'https') || '://' || lower({_url(2)}) || coalesce(nullif({_url(3)}, ''), '/') || {_url(4)} ELSE '' END"
 
 E = """e AS (SELECT k AS id, 'x' || (k % 700) AS external_id, CASE WHEN k % 5 = 0 THEN '[object Object]' WHEN k % 7 <> 0 THEN p_name END AS text, CASE WHEN k % 3 = 0 THEN 'co' || (k % 11) END AS company_id,
   CASE WHEN k % 4 = 0 THEN p_brand END AS name, CASE WHEN k % 6 = 0 THEN p_type END AS label, CASE WHEN k % 9 = 0 THEN ' My  ' || p_brand || '!' END AS slug, CASE WHEN k % 8 <> 0 THEN 'x' || (k % 50) END AS parent,
@@ -131,6 +133,24 @@ p AS (SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'no scheme ' || page_id EL
 SELECT url, CASE WHEN error IS NULL THEN nullif(trim(regexp_extract(text, '(?m)^#\\s+(.+)$', 1)), '') END AS title, CASE WHEN error IS NULL THEN sha1(text) END AS content_hash, error FROM p""",
     "job_routes": """WITH l AS (SELECT DISTINCT doc_id FROM labels), r AS (SELECT event_id AS job_id, event_id % 4 AS attempt, CASE WHEN doc_id IS NOT NULL THEN 'run' WHEN event_id % 4 + 1 < 3 THEN 'retry' ELSE 'dead' END AS route FROM events LEFT JOIN l ON doc_id = user_id)
 SELECT job_id, route, attempt + (route = 'retry')::INT AS attempt FROM r""",
+    "entry_metadata": f"""WITH {V}, {_dense(5, queries="SELECT faiss_id AS qid, e, company_id FROM v WHERE faiss_id % 50 = 0")}
+SELECT qid, rank, faiss_id AS id, CASE WHEN faiss_id % 2 = 0 THEN 'db' ELSE 'mem' END || faiss_id AS external_id, CASE WHEN faiss_id % 4 <> 0 THEN 'text of ' || CASE WHEN faiss_id % 2 = 0 THEN 'db' ELSE 'mem' END END AS text,
+  v.company_id FROM top JOIN v USING (faiss_id) WHERE faiss_id % 2 = 0 OR faiss_id % 3 <> 1""",
+    "category_created": f"""WITH {E}, n AS (SELECT p_partkey AS n, CASE WHEN p_partkey % 8 = 0 THEN 'co' || (p_partkey % 11) END AS company_id, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE 'new ' || (p_partkey % 20) END AS text FROM part WHERE p_partkey % 4 = 0),
+o AS (SELECT company_id, text, arg_min(external_id, id) AS x FROM e WHERE text IS NOT NULL GROUP BY ALL), a AS (SELECT text, arg_min(external_id, id) AS x FROM e WHERE text IS NOT NULL GROUP BY text)
+SELECT n, CASE WHEN n.company_id IS NULL THEN a.x ELSE o.x END AS existing, CASE WHEN CASE WHEN n.company_id IS NULL THEN a.x ELSE o.x END IS NOT NULL OR row_number() OVER (PARTITION BY n.company_id, n.text ORDER BY n) > 1 THEN 'duplicate_entry' END AS error
+FROM n LEFT JOIN o ON o.company_id = n.company_id AND o.text = n.text LEFT JOIN a ON a.text = n.text""",
+    "serialised_rows": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS created_at, event_type FROM events",
+    "reconstructed": f"""WITH {C}, {D}, w AS (SELECT DISTINCT (vec_id * 7)::VARCHAR AS doc_id FROM embeddings), n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id), t AS (SELECT doc_id::VARCHAR AS doc_id, {STRIPPED} AS t FROM documents),
+r AS (SELECT w.doc_id, status, n, t, CASE WHEN status IN ('disabled', 'removed') THEN 'document_disabled' WHEN n IS NULL THEN 'not_found' END AS error FROM w LEFT JOIN d USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id))
+SELECT doc_id, status, CASE WHEN error IS NULL THEN n ELSE 0 END AS chunk_count, CASE WHEN error IS NULL THEN md5(t) END AS digest, error FROM r""",
+    "remove_domain": f"""WITH {C}, {D}, h AS (SELECT *, company = 'src1' AND domain = 'd1.example' AS hit FROM c)
+SELECT (SELECT count(*) FROM h WHERE NOT hit) AS chunks_left, (SELECT count(DISTINCT faiss_id) FROM h WHERE hit) AS vectors_removed, (SELECT count(*) FROM d WHERE status = 'removed' OR doc_id IN (SELECT doc_id FROM h WHERE hit)) AS removed_documents""",
+    "documents_by_ids": f"WITH {D} SELECT doc_id, status FROM d WHERE doc_id::BIGINT IN (SELECT vec_id * 3 FROM embeddings)",
+    "merged_rows": """WITH l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id)
+SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, coalesce(CASE WHEN d.doc_id % 2 = 0 THEN 5 END, quality, -1)::INT AS quality, coalesce(toxic, -1)::INT AS toxic FROM documents d FULL JOIN l ON l.doc_id = d.doc_id""",
+    "other_versions": f"WITH {C} SELECT faiss_id, doc_id FROM c WHERE doc_id::BIGINT < 50 AND ingest_version <> 'v1'",
+    "listed_urls": f"""SELECT page_id, u || CASE WHEN page_id % 4 = 3 THEN ' http://other.example/' ELSE '' END AS urls FROM (SELECT page_id, {PAGE_URL} AS u FROM (SELECT page_id, regexp_replace(url, '[#?].*$', '') AS url FROM pages))""",
     "row_preview": r"""SELECT doc_id, CASE WHEN length(s) > 60 THEN rtrim(substr(s, 1, 57)) || '...' ELSE s END AS preview FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS s FROM documents ORDER BY doc_id LIMIT 5)""",
     "row_count": "SELECT count(*) AS rows FROM documents",
     "source_lookup": "WITH p AS (SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS domain FROM pages) SELECT * FROM p WHERE domain = (SELECT min(domain) FROM p)",

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from lodestar import schema
 from lodestar.functions import text as tx
-from lodestar.operators import catalog, content, entries, filters, lifecycle, loading
-from lodestar.plans import build
+from lodestar.functions import urls
+from lodestar.operators import aggregates, catalog, content, entries, filters, lifecycle, loading
+from lodestar.plans import build, search
 from lodestar.session import table
-from lodestar.sources import markup, sinks
+from lodestar.sources import markup, sinks, tables
 
 QUERIES = {}
 
@@ -334,6 +335,77 @@ def job_routes(spark, d):
     return build.retried(jobs, documents).select("job_id", "route", "attempt")
 
 
+@query
+def entry_metadata(spark, d):
+    """Hits with their metadata from the store, else from beside the vectors."""
+    k = F.col("id")
+    entries_ = schema.vectors(spark, d).withColumnRenamed("faiss_id", "id")
+    hits = search.entry_search(entries_.select("id", "embedding"), entries_.where(k % 50 == 0).select(k.alias("qid"), "embedding"), 5)
+    rows = lambda name: entries_.select("id", F.concat(F.lit(name), k).alias("external_id"), F.when(k % 4 != 0, F.concat(F.lit("text of "), F.lit(name))).alias("text"), "company_id")
+    return entries.with_metadata(hits, rows("db").where(k % 2 == 0), rows("mem").where(k % 3 != 1)).select("qid", "rank", "id", "external_id", "text", "company_id")
+
+
+@query
+def category_created(spark, d):
+    k = F.col("p_partkey")
+    new = table(spark, d, "part").where(k % 4 == 0).select(F.when(k % 8 == 0, F.concat(F.lit("co"), k % 11)).alias("company_id"), F.when(k % 3 == 0, F.col("p_name")).otherwise(F.concat(F.lit("new "), k % 20)).alias("text"), k.alias("n"))
+    return entries.created(schema.categories(spark, d), new).select("n", "existing", "error")
+
+
+@query
+def serialised_rows(spark, d):
+    rows = table(spark, d, "events").select(F.col("event_id").alias("_id"), "event_id", F.col("ts").cast("timestamp").alias("created_at"), "event_type")
+    return entries.serialised(rows)
+
+
+@query
+def reconstructed(spark, d):
+    """Documents asked for by id, among them hidden ones and ones that are not there."""
+    wanted = table(spark, d, "embeddings").select((F.col("vec_id") * 7).cast("string").alias("doc_id"))
+    rows = aggregates.reconstructed_documents(schema.chunks(spark, d), schema.documents(spark, d), wanted)
+    return rows.select("doc_id", "status", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.md5("text").alias("digest"), "error")
+
+
+@query
+def remove_domain(spark, d):
+    """A domain of a company is removed for good."""
+    c, docs = schema.chunks(spark, d), schema.documents(spark, d)
+    left, ids, removed = lifecycle.removal_plan(c, docs, lifecycle.of_company_domain("src1", "d1.example"), "hard")
+    one = left.agg(F.count(F.lit(1)).alias("chunks_left")).join(ids.agg(F.count(F.lit(1)).alias("vectors_removed")))
+    return one.join(removed.agg(F.count(F.when(F.col("status") == "removed", 1)).alias("removed_documents")))
+
+
+@query
+def documents_by_ids(spark, d):
+    keys = table(spark, d, "embeddings").select((F.col("vec_id") * 3).cast("string").alias("doc_id"))
+    return tables.by_keys(schema.documents(spark, d), keys, "doc_id").select("doc_id", "status")
+
+
+@query
+def merged_rows(spark, d):
+    """Metadata of files and of the database: the database wins."""
+    files = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    db = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, 5).alias("quality"), F.lit(None).cast("int").alias("toxic"))
+    return tables.merged_metadata(files, db, "doc_id").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"))
+
+
+@query
+def other_versions(spark, d):
+    """The ids of a document's chunks that are not of the version kept."""
+    c = schema.chunks(spark, d).where("cast(doc_id as long) < 50")
+    return lifecycle.without(c.select("faiss_id", "doc_id"), c.where("ingest_version = 'v1'"), ["faiss_id"])
+
+
+@query
+def listed_urls(spark, d):
+    """Addresses from lists, objects and commas."""
+    k = F.col("page_id")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    url = F.regexp_replace("url", "[#?].*$", "")
+    given = F.when(k % 4 == 0, F.concat(F.lit("["), quoted(url), F.lit(","), quoted(url), F.lit("]"))).when(k % 4 == 1, F.concat(F.lit('{"pageUrls": ['), quoted(url), F.lit("]}"))).when(k % 4 == 2, F.concat(F.lit('[{"url": '), quoted(url), F.lit("}]"))).otherwise(F.concat(url, F.lit(", http://Other.example ,")))
+    return table(spark, d, "pages").select("page_id", F.array_join(urls.page_urls_of(given), " ").alias("urls"))
+
+
 @query
 def row_preview(spark, d):
     return table(spark, d, "documents").orderBy("doc_id").limit(5).select("doc_id", tx.short_text(F.col("text"), 60).alias("preview"))
