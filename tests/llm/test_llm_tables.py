@@ -127,3 +127,37 @@ def test_odd_sketches_agree_with_sets():
 
 def test_default_field_is_trained_once():
     assert html_extract.default_field() is html_extract.default_field()
+
+
+def test_pipeline_stage_by_stage(spark, tmp_path):
+    """Each stage on what its predecessor kept, against a letter test, labels, all pairs, every passage by its edit distance, and SQL."""
+    import unicodedata
+
+    import corpus_pipeline
+    from lodestar.llm import mixing
+
+    folder = "/root/testdata/sf0.001"
+    quality, items = dict(rows(folder, "labels", "doc_id, quality")), [decontaminate_words(t or "") for _, t in rows(folder, "benchmark", "item_id, text")]
+    docs, kept = spark.read.parquet(f"{folder}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, folder).write.parquet(f"{tmp_path}/{name}.parquet")
+        before = {r.doc_id: r.text for r in docs.collect()}
+        after = spark.read.parquet(f"{tmp_path}/{name}.parquet")
+        kept = {r.doc_id for r in after.collect()}
+        if name == "language_id":
+            assert kept == {d for d, t in before.items() if any(unicodedata.category(c)[0] == "L" for c in t or "")}
+        elif name == "quality":
+            judged = [(d in kept, quality[d] == 1) for d in before if quality.get(d) is not None]
+            assert sum(x == y for x, y in judged) >= 0.95 * len(judged)
+        elif name == "near_dedup":
+            assert kept == {d for d, (_, c) in components_of(list(before.items()), 5, 80).items() if c == d}
+        elif name == "decontaminate":
+            leaks = lambda words: any(decontaminate.edit_distance_within(decontaminate.bits_of(p), len(p), words)[0] <= len(p) // 5 for p in items if p)
+            assert kept == {d for d, t in before.items() if not leaks(decontaminate_words(t or ""))}
+        else:
+            con = duckdb.connect()
+            con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/decontaminate.parquet/*.parquet')")
+            want = {(d, size, source_size, taken): target for d, size, source_size, target, taken in con.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.ORACLE})").fetchall()}
+            assert {(r.doc_id, r.size, r.source_size, r.taken): pytest.approx(r.target) for r in after.collect()} == want
+        docs = after
+    assert 0 < len(kept) < 200
