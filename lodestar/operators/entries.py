@@ -104,29 +104,31 @@ def ids_for(entries: DataFrame, identifiers: DataFrame, external: bool = False,
     return out
 
 
+#: Other names of what an entry is filtered by.
+ALIASES = {"externalId": "external_id", "companyId": "company_id", "companyid": "company_id", "parentId": "parent_id", "parentid": "parent_id"}
+
+
+def _condition(key: str, value) -> Column:
+    scope, _, name = key.rpartition(".")
+    name, want, m = ALIASES.get(name, name), str(value), F.col("metadata")
+    places = {"external_id": F.col("external_id"), "company_id": F.col("company_id"), "parent_id": m["parentId"]}
+    if scope == "metadata":
+        inner = {"company_id": given(F.col("company_id"), *(m[k] for k in COMPANY_KEYS)), "parent_id": m["parentId"]}
+        return F.coalesce(inner.get(name, m[name]), F.lit("None")) == want
+    if name in places:
+        return F.trim(F.coalesce(places[name], F.lit(""))) == want.strip()
+    if name == "slug":
+        return F.coalesce(slug_of(m["slug"], F.col("text")), F.lit("")) == slug(F.lit(want))
+    found = F.coalesce(F.col(name).cast("string"), m[name]) if name in ("id", "text") else m[name]
+    return F.coalesce(found == want, F.lit(not want.strip()))
+
+
 def category_filter(filters: dict | None) -> Column:
-    """As categories are filtered: every comparison is one of texts; known keys have their places, `slug` is normalised, other keys are columns, then
-    metadata. A blank value is met by what is missing."""
+    """As categories are filtered: every comparison is one of texts. Names that an entry has of its own are looked up there and trimmed, `slug` is normalised, `metadata.x` is
+    the metadata's, where what is missing reads None; any other name is the metadata's too, and a blank value is met by what is missing."""
     out = F.lit(True)
-    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
-    columns = ("id", "external_id", "text", "company_id")
     for key, value in (filters or {}).items():
-        inner = key.removeprefix("metadata.")
-        if key in ("external_id", "externalId"):
-            hit = text(F.col("external_id")) == str(value).strip()
-        elif key in COMPANY_KEYS:
-            hit = text(F.col("company_id")) == str(value).strip()
-        elif key in ("parentId", "parent_id", "parentid"):
-            hit = text(F.col("metadata")["parentId"]) == str(value).strip()
-        elif key == "slug":
-            hit = F.coalesce(slug_of(F.col("metadata")["slug"], F.col("text")), F.lit("")) == slug(F.lit(str(value)))
-        elif key.startswith("metadata."):
-            own = given(F.col("company_id"), F.col("metadata")[inner]) if inner in COMPANY_KEYS else F.col("metadata")["parentId" if inner in ("parentId", "parent_id", "parentid") else inner]
-            hit = F.coalesce(own, F.lit("None")) == str(value)
-        else:
-            own = F.coalesce(F.col(key).cast("string"), F.col("metadata")[key]) if key in columns else F.col("metadata")[key]
-            hit = F.when(own.isNull(), F.lit(str(value).strip() == "")).otherwise(own == str(value))
-        out = out & hit
+        out = out & _condition(key, value)
     return out
 
 
