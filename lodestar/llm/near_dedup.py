@@ -30,8 +30,9 @@ from lodestar.llm.wordhash import WordHasher
 BANDS, ROWS, SKETCH_BITS = 32, 5, 512
 #: Buckets up to this many members are paired in full.
 SMALL = 8
-#: Members of a block, and their shingles: 8 bytes for each, and about 6 of text.
-BLOCK, BLOCK_SHINGLES = 256, 1 << 18
+#: Members of a block, twice the square root of those of its group within these bounds, so that no meeting is much of the group's work; and
+#: shingles of a block, 8 bytes each and about 6 of text.
+LEAST_BLOCK, BLOCK, BLOCK_SHINGLES = 128, 1024, 1 << 20
 #: Members that are compared with one copy of their hub.
 SPOKES = 256
 #: Rows of a few numbers that are broadcast, if counted to be so few: large buckets, hubs, and ids with the blocks they go to.
@@ -211,11 +212,13 @@ class Compared:
     def blocks(self, left: DataFrame, right: DataFrame | None) -> DataFrame:
         """Links (a, b) that join the components of left(grp, sid, n, component) and right, or of left among itself, where they are of one grp.
 
-        Both are cut into blocks of about BLOCK members and BLOCK_SHINGLES shingles; each two blocks of a group meet once. Within a meeting, an a is
+        Both are cut into blocks bounded in members and shingles; each two blocks of a group meet once. Within a meeting, an a is
         linked with one b of each component that it is not in yet, by what the meeting has found so far.
         """
         other = left if right is None else right
-        parts = lambda x, name: x.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias(name))
+        n = F.count(F.lit(1))
+        own_block = F.greatest(F.lit(LEAST_BLOCK), F.least(F.lit(BLOCK), 2 * F.sqrt(n)))
+        parts = lambda x, name: x.groupBy("grp").agg(F.greatest(F.ceil(n / own_block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias(name))
         grid = written(parts(left, "rows").join(parts(other, "columns"), "grp"), "grid")
         cells = grid.count()
         sized = F.broadcast(grid) if cells <= BROADCAST else grid.hint("merge")

@@ -102,7 +102,7 @@ def test_near_duplicates_of_a_template(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = {d: c for d, (_, c) in components_of(rows, 2, 80).items()}
     assert 5 < sum(d != c for d, c in want.items()) < 200
-    monkeypatch.setattr(near_dedup, "BLOCK", 40)
+    monkeypatch.setattr(near_dedup, "LEAST_BLOCK", 20)
     for broadcast in (near_dedup.BROADCAST, 0):
         monkeypatch.setattr(near_dedup, "BROADCAST", broadcast)
         assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, size=2).collect()} == want
