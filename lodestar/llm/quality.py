@@ -62,7 +62,7 @@ class QualityModel:
 def _train(pieces: list[bytes]) -> bytes:
     """A dictionary; with too little text for training, the text itself."""
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, pieces, k=64, d=6).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, pieces, k=32, d=6).as_bytes()
     except zstandard.ZstdError:
         return b"\n".join(pieces)[-DICTIONARY_BYTES:]
 
