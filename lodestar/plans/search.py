@@ -12,6 +12,7 @@ from lodestar.operators import aggregates, dense, lexical
 from lodestar.operators.filters import chunk_filter, is_visible, route_company, visible, with_documents
 from lodestar.operators.fusion import chunk_key, is_short, one_per_document, promote, rerank, rrf, title_match
 from lodestar.schema import company_of_chunk
+from lodestar.session import checkpointed
 
 #: Hits are broadcast to the chunks they name up to this many rows of ids; their number is known from the queries. Beyond, the join shuffles.
 BROADCAST_HITS = 1_000_000
@@ -56,7 +57,9 @@ def vector_hits(vectors: DataFrame, queries: DataFrame, n: int, company: str | N
 
 
 def with_text(hits: DataFrame, chunks: DataFrame, most: int, radius: int = 0) -> DataFrame:
-    """The hits with the text and metadata of their chunks. With a radius the text is put together from the chunks within so many places of it."""
+    """The hits with the text and metadata of their chunks. With a radius the text is put together from the chunks within so many places of it; the hits, which are
+    few rows of ids, are then kept, as they are named several times."""
+    hits = hits if radius <= 0 else checkpointed(hits)
     same = lambda a, b: F.expr(" AND ".join(f"{a}.{c} <=> {b}.{c}" for c in IDS))
     rows = chunks.select(*IDS, "text", "metadata").alias("c").join(few(hits, most).alias("h"), same("c", "h")).select("h.*", "c.text", "c.metadata")
     if radius <= 0:
