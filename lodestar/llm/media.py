@@ -264,7 +264,7 @@ def decode_block(files: list[bytes]) -> list[tuple[bytes, np.ndarray, float]]:
 def encode_media(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes and media: each text (null: empty), padded with zeros to a positive multiple of 64 bytes, as an AVI file.
 
-    One row per input row, also for null and repeated keys; other columns are dropped. A text is a cell of a row, so its file is
+    One row per input row, also for null and repeated keys; other columns are dropped, whatever their names; an empty table gives an empty result. A text is a cell of a row, so its file is
     too; beyond that, memory is bounded by BLOCK.
     """
 
@@ -281,6 +281,9 @@ def encode_media(df: DataFrame, text: str = "text", key: str = "doc_id") -> Data
 
 
 def _over_files(df: DataFrame, row: Callable, kinds: str, names: tuple[str, ...]) -> DataFrame:
+    """The rows that row() makes of each file, with the other columns repeated; of older columns with the new names the new ones take the place. A null is no file."""
+    df = df.drop(*names).where("media is not null")
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             files = batch.column("media").to_pylist()
@@ -296,7 +299,10 @@ def _over_files(df: DataFrame, row: Callable, kinds: str, names: tuple[str, ...]
 
 
 def clip_rows(df: DataFrame) -> DataFrame:
-    """A row for each shot of each file of the column `media`: clip (from 0), start_s, end_s, n_frames, mean_level; other columns are repeated."""
+    """A row for each shot of each file of the column `media`: clip (from 0), start_s, end_s, n_frames, mean_level; other columns are repeated.
+
+    Null media have no row, repeated rows their own each; an empty table gives an empty result. Older columns with these names are replaced. A file that is not an AVI of
+    this kind, or is cut short, is an error."""
 
     def clips(_, payload: bytes, frames: np.ndarray, seconds: float) -> list[tuple]:
         shots = [*find_shots(frames), len(frames)]
@@ -307,7 +313,8 @@ def clip_rows(df: DataFrame) -> DataFrame:
 
 def media_features(df: DataFrame) -> DataFrame:
     """Per file of the column `media`: payload_bytes, payload_sha256, tail_crc32 (of the payload's last 64 bytes), media_bytes, media_sha256
-    and feature: the number of frames, then each clip as start-end in seconds and its mean level. Equal files have equal values."""
+    and feature: the number of frames, then each clip as start-end in seconds and its mean level. Equal files have equal values. Null
+    media, repeats, empty tables, clashing names and broken files are as in clip_rows()."""
 
     def features(media: bytes, payload: bytes, frames: np.ndarray, seconds: float) -> list[tuple]:
         shots = [*find_shots(frames), len(frames)]

@@ -363,6 +363,9 @@ def test_media_columns(spark):
     clips = media.clip_rows(media.encode_media(odd_docs(spark))).where("doc_id = 6").orderBy("clip").collect()
     assert clips[0].start_s == 0 and all(a.end_s == b.start_s for a, b in zip(clips, clips[1:], strict=False))
     assert media.encode_media(empty_docs(spark)).collect() == []
+    odd = media.encode_media(odd_docs(spark)).where("doc_id = 8 or doc_id = 2").selectExpr("doc_id", "if(doc_id = 2, null, media) as media", "1 as clip", "'x' as feature", "2 as n_frames")
+    assert [r.doc_id for r in media.media_features(odd).collect()] == [8, 8] and {r.feature for r in media.media_features(odd).collect()} == {r.feature for r in rows if r.doc_id == 8}
+    assert [(r.doc_id, r.clip) for r in media.clip_rows(odd).collect()] == [(8, 0), (8, 0)] and media.clip_rows(odd.limit(0)).collect() == []
 
 
 def test_licenses(spark):
