@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,9 +39,18 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
     return df
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or what setCheckpointDir() was given. Where neither is set, a local master gets a temporary folder of
+    its own; on a cluster that is an error, as executors would not see a folder of the driver's machine."""
+    context, at = spark.sparkContext._jsc.sc(), spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir().isEmpty():
+        if not at and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(at or f"file://{tempfile.mkdtemp(prefix='lodestar-')}")
+    return (at or context.getCheckpointDir().get()).rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder of spark.checkpoint.dir, which a cluster shares; in a temporary one where that is unset."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lodestar-')}")
+    """df, computed once and kept in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
