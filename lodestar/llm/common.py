@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -12,19 +12,28 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.session import shared_dir
+
 #: A word is a run of anything but these six ASCII separators.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_folders: set[str] = set()
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) a new temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='lodestar-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(at)
-    return f"{at.rstrip('/')}/lodestar-{spark.sparkContext.applicationId}"
+    """This application's own folder within the one that driver and executors share. It goes when the driver's Python ends, with what a result may still read until then."""
+    at = f"{shared_dir(spark)}/lodestar-{spark.sparkContext.applicationId}"
+    if at not in _folders:
+        _folders.add(at)
+        atexit.register(_delete, spark, at)
+    return at
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # at the end the JVM may be gone already
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
