@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import centroids, decontaminate, html_extract, language_id, license_scan, media, mixing, near_dedup, quality, url_filters, warc
+from lodestar.llm import centroids, decontaminate, html_extract, importance, language_id, license_scan, media, mixing, near_dedup, quality, url_filters, warc
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_media_columns": media.op8_media_columns,
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_license_scans": license_scan.op10_license_scans,
+    "op11_importance_resampling": importance.op11_importance_resampling,
     "op13_centroid_clusters": centroids.op13_centroid_clusters,
 }
 
@@ -22,5 +23,6 @@ ORACLES = {
     "op2_mix_sources": mixing.ORACLE,
     "op6_url_filters": url_filters.ORACLE,
     "op10_license_scans": license_scan.ORACLE,
+    "op11_importance_resampling": importance.ORACLE,
     "op13_centroid_clusters": centroids.ORACLE,
 }
