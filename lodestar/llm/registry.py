@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import centroids, decontaminate, html_extract, importance, language_id, license_scan, media, mixing, near_dedup, quality, url_filters, warc
+from lodestar.llm import centroids, decontaminate, html_extract, importance, language_id, license_scan, media, mixing, near_dedup, quality, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_license_scans": license_scan.op10_license_scans,
     "op11_importance_resampling": importance.op11_importance_resampling,
+    "op12_toxicity": toxicity.op12_toxicity,
     "op13_centroid_clusters": centroids.op13_centroid_clusters,
 }
 
