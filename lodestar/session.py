@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +53,24 @@ def shared_dir(spark: SparkSession) -> str:
     return (at or context.getCheckpointDir().get()).rstrip("/")
 
 
+_made: set[str] = set()
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder within the shared one, for what a result reads as long as the driver's Python runs: it is deleted at its end."""
+    at = f"{shared_dir(spark)}/lodestar-work-{spark.sparkContext.applicationId}"
+    if at not in _made:
+        _made.add(at)
+        atexit.register(_delete, spark, at)
+    return f"{at}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # at the end the JVM may be gone already
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder."""
     shared_dir(df.sparkSession)
