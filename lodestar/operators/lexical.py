@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 K1, B = 1.2, 0.75
@@ -33,14 +34,14 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
 
 
-class _Vocabulary:
+class Vocabulary:
     """The terms of a block of queries, and what each query weighs: 1 for each of its terms."""
 
     def __init__(self, terms: list[tuple[object, str]]):
         self.terms = sorted({t for _, t in terms})
         self.qids = sorted({q for q, _ in terms})
-        place, row = {t: i for i, t in enumerate(self.terms)}, {q: i for i, q in enumerate(self.qids)}
-        self.pairs = np.array([(row[q], place[t]) for q, t in terms], np.int64).reshape(-1, 2)
+        self.place, row = {t: i for i, t in enumerate(self.terms)}, {q: i for i, q in enumerate(self.qids)}
+        self.pairs = np.array([(row[q], self.place[t]) for q, t in terms], np.int64).reshape(-1, 2)
         self.idf = np.ones(len(self.terms))
 
     def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -54,7 +55,7 @@ class _Vocabulary:
         return sizes, cells // max(1, len(self.terms)), cells % max(1, len(self.terms)), tf
 
 
-def _scores(own: _Vocabulary, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+def _scores(own: Vocabulary, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """The score of all n rows for each query that shares a term with one of them: blocks of queries by blocks of terms, so that memory is bounded."""
     here = np.flatnonzero(np.bincount(terms, minlength=len(own.terms)))
     place = np.full(len(own.terms), -1)
@@ -80,16 +81,16 @@ def _scores(own: _Vocabulary, rows: np.ndarray, terms: np.ndarray, weights: np.n
 def top_k(rows: DataFrame, key: str, queries: DataFrame, k: int, text: str = "text", keep: tuple[str, ...] = (), k1: float = K1, b: float = B) -> DataFrame:
     """qid, key, the columns of `keep`, score (rounded to 6) and rank (from 1): the best k rows of each query(qid, text), ties by the smaller key.
 
-    Only rows that share a term with the query are found. Blank and null queries find nothing, null texts are found by nothing but count as rows.
+    Only rows that share a term with the query are found. Blank and null queries and those with a null qid find nothing, null texts are found by nothing but count as rows.
     """
-    spark = rows.sparkSession
+    spark, queries = rows.sparkSession, queries.where("qid is not null")
     n, size = queries.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     blocks = max(1, -(-n // QUERY_BLOCK), -(-(size or 0) // QUERY_BYTES))
     lowered = rows.select(key, *(c for c in keep if c != key), F.lower(F.col(text)).alias("_lowered"))
     qid, found = queries.schema["qid"].dataType.simpleString(), None
     for block in range(blocks):
         part = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block) if blocks > 1 else queries
-        own = _Vocabulary([tuple(r) for r in query_terms(part).collect()])
+        own = Vocabulary([tuple(r) for r in query_terms(part).collect()])
         counted = spark.sparkContext.broadcast(own)
 
         def count(batches: Iterator[pa.RecordBatch], counted=counted) -> Iterator[pa.RecordBatch]:
@@ -131,7 +132,7 @@ def top_k(rows: DataFrame, key: str, queries: DataFrame, k: int, text: str = "te
                     yield pa.RecordBatch.from_arrays([pa.array(qids).cast(kind), *chosen.columns, pa.array(np.concatenate(scores))], ["qid", *chosen.schema.names, "score"])
 
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lowered.schema if f.name != "_lowered")
-        kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[qid]
+        kind = to_arrow_type(queries.schema["qid"].dataType)
         hits = lowered.mapInArrow(score, f"qid {qid}, {kinds}, score double")
         found = hits if found is None else found.union(hits)
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key))).where(F.col("rank") <= k)
