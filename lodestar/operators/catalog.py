@@ -12,23 +12,28 @@ from lodestar.session import checkpointed
 def paths(entries: DataFrame) -> DataFrame:
     """id, parent_id, text and the ids and texts from the root down to each entry. A missing parent, or one already on the path, ends it.
 
-    One join per level, until no path grows: each level is computed once, from the paths that are still open. Cycles end a path where they close, so
-    the levels end however deep the tree is.
+    By doubling: in each step the path of an entry is put below that of the entry above its top, which is as long, so that the steps are the logarithm of the depth. Each step is
+    computed once; entries whose path is whole take no part in later steps but as what others are put below.
     """
     nodes = entries.select("id", "parent_id", "text")
-    step = nodes.select(F.col("id").alias("up"), F.col("parent_id").alias("above"), F.col("text").alias("up_text"))
-    level = nodes.select("id", "parent_id", "text", F.array("id").alias("ids"), F.array("text").alias("texts"), F.col("parent_id").alias("next"))
-    done = level.where("next is null")
-    level = level.where("next is not null")
+    known = nodes.select(F.col("id").alias("up")).distinct()
+    first = nodes.join(known, nodes["parent_id"] == known["up"], "left")
+    level = first.select("id", "parent_id", "text", F.array("id").alias("ids"), F.array("text").alias("texts"), F.when(F.col("up") != F.col("id"), F.col("up")).alias("next"))
+    done = None
     while True:
-        joined = level.join(step, level["next"] == step["up"], "left")
-        grows = F.col("up").isNotNull() & ~F.array_contains("ids", F.col("up"))
-        longer = lambda c, own: F.when(grows, F.concat(F.array(c), own)).otherwise(F.col(own)).alias(own)
-        joined = checkpointed(joined.select("id", "parent_id", "text", longer("up", "ids"), longer("up_text", "texts"), F.when(grows, F.col("above")).alias("next")))
-        done = done.unionByName(joined.where("next is null"))
-        level = joined.where("next is not null")
+        level = checkpointed(level)
+        closed = level.where("next is null")
+        done = closed if done is None else done.unionByName(closed)
+        level = level.where("next is not null")
         if level.isEmpty():
             return done.select("id", "parent_id", "text", "ids", "texts")
+        above = done.unionByName(level).select(F.col("id").alias("up"), F.col("ids").alias("up_ids"), F.col("texts").alias("up_texts"), F.col("next").alias("above")).dropDuplicates(["up"])
+        # where both hold one entry the tree has a cycle: the path ends below it
+        meets = F.arrays_overlap("ids", "up_ids")
+        after = F.when(meets, F.array_max(F.transform("up_ids", lambda x, i: F.when(F.array_contains("ids", x), i + 1).otherwise(0)))).otherwise(0)
+        rest = lambda c: F.slice(c, F.col("_after") + 1, F.size(c) - F.col("_after"))
+        joined = level.join(above, level["next"] == above["up"]).withColumn("_after", after)
+        level = joined.select("id", "parent_id", "text", F.concat(rest("up_ids"), "ids").alias("ids"), F.concat(rest("up_texts"), "texts").alias("texts"), F.when(F.col("_after") == 0, F.col("above")).alias("next"))
 
 
 def attributes_along(paths_: DataFrame, attributes: DataFrame) -> DataFrame:
