@@ -9,6 +9,7 @@ from lodestar.functions.text import clean_markdown
 from lodestar.functions.urls import is_url
 from lodestar.operators.chunking import char_windows, heading_chunks
 from lodestar.operators.dense import encode, hash_encoder
+from lodestar.sources import commits
 from lodestar.sources.tables import row_range, web_metadata
 
 #: How often a job whose document is not there yet is tried again.
@@ -50,3 +51,13 @@ def retried(jobs: DataFrame, documents: DataFrame, attempts: int = ATTEMPTS) ->
     there = documents.select(F.col("document_id"), F.lit(True).alias("_there")).distinct()
     route = F.when(F.col("_there"), "run").when(F.col("attempt") + 1 < attempts, "retry").otherwise("dead")
     return jobs.join(there, "document_id", "left").withColumn("route", route).withColumn("attempt", F.when(F.col("route") == "retry", F.col("attempt") + 1).otherwise(F.col("attempt"))).drop("_there")
+
+
+def commit_ingest(tables: dict[str, DataFrame], root: str, company: Column, companies: list[str], writer: str | None = None, number: int | None = None, attempts: int = 3) -> commits.Snapshot:
+    """Puts what an ingest made of some companies, such as chunks, vectors and documents, in the place of what the tables held of them: all tables in one commit, so that no reader
+    sees the chunks of one ingest with the vectors of another. Rows of other companies are an error. Staged once, also where a Conflict makes the commit try again."""
+    spark = next(iter(tables.values())).sparkSession
+    if writer is not None and (now := commits.snapshot(spark, root)).writers.get(writer, -1) >= number:
+        return now
+    made = {name: (commits.stage(df, root, name, company), companies) for name, df in tables.items()}
+    return commits.transact(spark, root, lambda base: {"replaced": made, "writer": writer, "number": number}, attempts)

@@ -225,7 +225,6 @@ UNION ALL SELECT 'type', kind, count(*) FROM r GROUP BY kind UNION ALL SELECT 's
     "survey_top15": f"WITH {C} SELECT company, count(*) AS chunks, count(DISTINCT doc_id) AS documents FROM c GROUP BY company ORDER BY chunks DESC, company LIMIT 15",
     "eval_breakdown": f"""WITH {HITS}, r AS (SELECT (query % 3)::VARCHAR AS config, (query % 2)::VARCHAR AS query_type, recall, rr, ndcg FROM m)
 SELECT config, query_type, grouping(query_type)::INT AS is_summary, count(*) AS queries, 0::BIGINT AS errors, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM r GROUP BY GROUPING SETS ((config), (config, query_type))""",
-    "web_row_range": "SELECT doc_id, lang FROM documents ORDER BY doc_id OFFSET 50 LIMIT 200",
     "crawl_latest": f"SELECT page_id, url, {DOMAIN} AS domain FROM pages ORDER BY page_id DESC, url LIMIT 100",
     "web_metadata": "SELECT doc_id AS id, (2 + (doc_id % 2 = 0)::INT)::INT AS n_keys, lang AS language, CASE WHEN doc_id % 2 = 0 THEN source END AS dump FROM documents",
 }

@@ -459,11 +459,6 @@ def eval_breakdown(spark, d):
 # ---- sources
 
 
-@query
-def web_row_range(spark, d):
-    return tables.row_range(table(spark, d, "documents"), [F.col("doc_id")], 50, 400, 200).select("doc_id", "lang")
-
-
 @query
 def crawl_latest(spark, d):
     pages = table(spark, d, "pages").select("page_id", "url", urls.domain(F.col("url")).alias("domain"), F.timestamp_seconds(F.col("page_id")).alias("fetched_at"))
