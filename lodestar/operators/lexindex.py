@@ -6,7 +6,7 @@ range can pass, whatever the statistics are later. Postings lie in parts by a ha
 it scores ranges from the most promising on, and stops where none of the rest can reach the k-th best score.
 
 An update adds shards of its own for new and changed rows and says which numbers of older shards are dead; counts of terms, rows and words are put right by rows with
-negative counts, so that scores are those of the rows that are left. All tables change in one commit.
+negative counts, so that scores are those of the rows that are left. All tables change in one commit. An index of many updates is built anew from its rows.
 """
 
 from __future__ import annotations
@@ -19,113 +19,124 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from lodestar.operators.lexical import K1, QUERY_BLOCK, QUERY_BYTES, B, Vocabulary, query_terms, tokens
+from lodestar.operators.lexical import K1, QUERY_BLOCK, QUERY_BYTES, SEPARATOR, B, Vocabulary, query_terms
 from lodestar.sources import commits
 
-#: Parts of the postings; rows and bytes of a shard, about; row numbers in a range; tasks that write a part.
-PARTS, SHARD_ROWS, SHARD_BYTES, RANGE, TASKS = 64, 1 << 15, 64 << 20, 256, 4
+#: Parts of the postings; rows and bytes of a shard, about; row numbers in a range.
+PARTS, SHARD_ROWS, SHARD_BYTES, RANGE = 64, 1 << 14, 16 << 20, 256
 #: Terms that are written into the filter, which reaches the scan; more are joined.
 LISTED = 1000
 #: An update's shards come after this many of the one before.
 SHARDS = 1 << 32
 
-POSTING = "shard long, term string, n long, numbers array<int>, counts array<int>, lengths array<int>, ranges array<int>, starts array<int>, most array<int>, least array<int>"
-DOC = "shard long, number int, length int, terms array<string>"
+#: gaps: the numbers of the rows, each less the one before.
+POSTING = "shard long, term string, n long, gaps array<int>, counts array<int>, lengths array<int>, ranges array<int>, starts array<int>, most array<int>, least array<int>"
+#: Rows of the same table without a term are the indexed rows, in a part of their own.
+DOCS = "docs"
 
 
 def _term_part(term: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
 
 
-def _indexed(key: str, kind: str):
+def _indexed(key: str, kind: pa.DataType):
+    ints = pa.list_(pa.int32())
+    types = {"shard": pa.int64(), "term": pa.string(), "n": pa.int64(), **{c: ints for c in ("gaps", "counts", "lengths", "ranges", "starts", "most", "least")}, "number": pa.int32(), "length": pa.int32(), key: kind}
+
     def build(table: pa.Table) -> pa.Table:
         """The postings and the rows of one shard."""
-        order = table.column(key).combine_chunks()
-        place = pc.array_sort_indices(order)
-        rows = table.take(place)
-        words = rows.column("words").combine_chunks()
-        n, owner = len(rows), words.value_parent_indices().to_numpy(zero_copy_only=False)
-        flat = words.flatten().dictionary_encode()
-        terms, codes = flat.dictionary, flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        table = table.take(pc.array_sort_indices(table.column(key).combine_chunks()))
+        texts, n = table.column("_lowered").combine_chunks().fill_null(""), len(table)
+        words = pc.split_pattern_regex(texts.cast(pa.large_string()), SEPARATOR)
+        flat, owner = pc.list_flatten(words), pc.list_parent_indices(words).to_numpy(zero_copy_only=False)
+        filled = pc.greater(pc.binary_length(flat), 0)
+        owner, coded = owner[filled.to_numpy(zero_copy_only=False)], flat.filter(filled).dictionary_encode()
+        del words, flat
+        terms, codes = coded.dictionary.cast(pa.string()), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         lengths = np.bincount(owner, minlength=n).astype(np.int32)
         cells, counts = np.unique(codes * n + owner, return_counts=True)
         of, number = cells // max(1, n), (cells % max(1, n)).astype(np.int32)
         bounds = np.searchsorted(of, np.arange(len(terms) + 1))
+        gaps = np.diff(number, prepend=np.int32(0))
+        gaps[bounds[:-1]] = number[bounds[:-1]]
         block = of * (n // RANGE + 1) + number // RANGE  # ranges of terms, in order
         first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.empty(0, np.int64)
         most = np.maximum.reduceat(counts, first) if len(first) else first
         least = np.minimum.reduceat(lengths[number], first) if len(first) else first
         rbounds = np.searchsorted(first, bounds)
-        starts = first - bounds[of[first]] if len(first) else first
         lists = lambda at, values: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.asarray(values).astype(np.int32)))
-        shard = rows.column("shard")[0].as_py()
-        postings = [
-            pa.array(np.full(len(terms), shard)), terms.cast(pa.string()), pa.array(np.diff(bounds)), lists(bounds, number), lists(bounds, counts), lists(bounds, lengths[number]),
-            lists(rbounds, number[first] // RANGE), lists(rbounds, starts), lists(rbounds, most), lists(rbounds, least),
-        ]
-        back = np.argsort(number, kind="stable")
-        held = pa.ListArray.from_arrays(pa.array(np.searchsorted(number[back], np.arange(n + 1)).astype(np.int32)), terms.cast(pa.string()).take(pa.array(of[back])))
-        docs = [pa.array(np.full(n, shard)), pa.array(np.arange(n, dtype=np.int32)), pa.array(lengths), held, order.take(place)]
-        names, own = [f.split()[0] for f in POSTING.split(", ")], ["shard", "number", "length", "terms", key]
-        whole = {c: [] for c in [*names, *own[1:]]}
-        for part, given, m in ((names, postings, len(terms)), (own, docs, n)):
-            for c in whole:
-                whole[c].append(given[part.index(c)] if c in part else pa.nulls(m, schema.field(c).type))
-        return pa.table([pa.chunked_array(whole[c], schema.field(c).type) for c in schema.names], schema=schema)
+        shard = table.column("shard")[0].as_py()
+        postings = {
+            "shard": pa.array(np.full(len(terms), shard)), "term": terms, "n": pa.array(np.diff(bounds)), "gaps": lists(bounds, gaps), "counts": lists(bounds, counts), "lengths": lists(bounds, lengths[number]),
+            "ranges": lists(rbounds, number[first] // RANGE), "starts": lists(rbounds, first - bounds[of[first]] if len(first) else first), "most": lists(rbounds, most), "least": lists(rbounds, least),
+        }
+        docs = {"shard": pa.array(np.full(n, shard)), "number": pa.array(np.arange(n, dtype=np.int32)), "length": pa.array(lengths), key: table.column(key).combine_chunks()}
+        both = lambda c: pa.chunked_array([part[c] if c in part else pa.nulls(m, types[c]) for part, m in ((postings, len(terms)), (docs, n))], types[c])
+        return pa.table({c: both(c) for c in types})
 
-    ints = pa.list_(pa.int32())
-    types = {"shard": pa.int64(), "term": pa.string(), "n": pa.int64(), **{c: ints for c in ("numbers", "counts", "lengths", "ranges", "starts", "most", "least")}, "number": pa.int32(), "length": pa.int32(), "terms": pa.list_(pa.string()), key: kind}
-    schema = pa.schema(list(types.items()))
     return build
 
 
 def _segment(rows: DataFrame, key: str, text: str, first_shard: int, shard_rows: int, shard_bytes: int) -> DataFrame:
-    """Postings and rows of new shards, in one table: rows of it with a term are postings, the others are the indexed rows."""
+    """Postings and rows of new shards."""
     n, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length(text))).first()
     shards = max(1, -(-n // shard_rows), -(-(size or 0) // shard_bytes))
-    dealt = rows.select((F.pmod(F.xxhash64(key), F.lit(shards)) + first_shard).alias("shard"), key, F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("words"))
+    dealt = rows.select((F.pmod(F.xxhash64(key), F.lit(shards)) + first_shard).alias("shard"), key, F.lower(F.col(text)).alias("_lowered"))
     kind = rows.schema[key].dataType
-    return dealt.groupBy("shard").applyInArrow(_indexed(key, to_arrow_type(kind)), f"{POSTING}, {DOC.partition(', ')[2]}, `{key}` {kind.simpleString()}")
+    return dealt.groupBy("shard").applyInArrow(_indexed(key, to_arrow_type(kind)), f"{POSTING}, number int, length int, `{key}` {kind.simpleString()}")
+
+
+def _part(parts: int) -> Column:
+    return F.when(F.col("term").isNull(), DOCS).otherwise(_term_part(F.col("term"), parts).cast("string"))
 
 
 def _checked(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(F.when(F.col(key).isNull(), F.raise_error(F.lit("a row without a key")).cast(rows.schema[key].dataType)).otherwise(F.col(key)).alias(key), F.col(text).alias("_text"))
 
 
-def _kept(df: DataFrame, root: str) -> DataFrame:
-    """df, computed once into a folder of the index that no commit names and vacuum() removes."""
-    made = commits.stage(df, root, "raw")
-    return df.sparkSession.read.schema(made.schema).parquet(f"{root}/data/{made.parts['']}")
-
-
-def _added(spark: SparkSession, base: commits.Snapshot, rows: DataFrame, gone: DataFrame | None, key: str, parts: int, shard_rows: int, shard_bytes: int) -> dict[str, commits.Staged]:
-    """What a commit adds: new shards, and where rows go, dead numbers and corrections of the counts."""
-    first, names = (base.version + 1) * SHARDS, [f.split()[0] for f in POSTING.split(", ")]
-    made = _kept(_segment(rows, key, "_text", first, shard_rows, shard_bytes), base.root)
-    docs = made.where("term is null").select("shard", "number", "length", "terms", key)
-    postings = made.where("term is not null").select(*names)
-    count = lambda df, sign: df.agg((sign * F.count(F.lit(1))).alias("rows"), (sign * F.coalesce(F.sum("length"), F.lit(0))).alias("words"), F.lit(parts).alias("parts"))
-    stats, added = count(docs, 1), {"docs": commits.stage(docs, base.root, "docs")}
-    if gone is not None and "docs" in base.schemas:
-        dead = _kept(alive(spark, base).join(gone.select(key).distinct(), key, "left_semi").select("shard", "number", "length", "terms"), base.root)
-        fewer = dead.select(F.explode("terms").alias("term")).groupBy("term").agg((-F.count(F.lit(1))).alias("n"))
-        postings = postings.unionByName(fewer.withColumn("shard", F.lit(-1).cast("long")), allowMissingColumns=True)
-        added["dead"] = commits.stage(dead.groupBy("shard").agg(F.collect_list("number").alias("numbers")), base.root, "dead")
-        stats = stats.unionByName(count(dead, -1))
-    part = _term_part(F.col("term"), parts)
-    laid = postings.repartition(part, F.pmod("shard", F.lit(TASKS))).sortWithinPartitions(part, "term", "shard")
-    return added | {"postings": commits.stage(laid, base.root, "postings", part), "stats": commits.stage(stats, base.root, "stats")}
+def _docs(spark: SparkSession, now: commits.Snapshot) -> DataFrame:
+    return now.read(spark, "postings", [DOCS]).drop(*(f.split()[0] for f in POSTING.split(", ")[1:]))
 
 
 def alive(spark: SparkSession, now: commits.Snapshot) -> DataFrame:
-    """The rows of the index that no update has put out."""
-    docs = now.read(spark, "docs")
+    """The rows of the index that no update has put out: shard, number, length and the key."""
+    docs = _docs(spark, now)
     if "dead" not in now.schemas:
         return docs
     out = now.read(spark, "dead").select("shard", F.explode("numbers").alias("number"))
     return docs.join(out, ["shard", "number"], "left_anti")
 
 
+def _added(spark: SparkSession, base: commits.Snapshot, rows: DataFrame, gone: DataFrame | None, key: str, parts: int, shard_rows: int, shard_bytes: int) -> dict[str, commits.Staged]:
+    """What a commit adds: new shards, and where rows go, dead numbers and corrections of the counts. A task writes a file into each part, sorted by term."""
+    segment = _segment(rows, key, "_text", (base.version + 1) * SHARDS, shard_rows, shard_bytes)
+    part = _part(parts)
+    postings = commits.stage(segment.sortWithinPartitions(part, "term", "shard"), base.root, "postings", part)
+    at = postings.parts.get(DOCS)
+    docs = spark.read.schema(postings.schema).parquet(f"{base.root}/data/{at}") if at else spark.createDataFrame([], postings.schema)
+    count = lambda df, sign: df.agg((sign * F.count(F.lit(1))).alias("rows"), (sign * F.coalesce(F.sum("length"), F.lit(0))).alias("words"), F.lit(parts).alias("parts"))
+    stats, added = count(docs, 1), {"postings": postings}
+    if gone is not None and "postings" in base.schemas:
+        dead = alive(spark, base).join(gone.select(key).distinct(), key, "left_semi").groupBy("shard").agg(F.collect_list("number").alias("numbers"), F.sum("length").alias("length"), F.count(F.lit(1)).alias("rows"))
+        added["dead"] = commits.stage(dead, base.root, "dead")
+        dead = spark.read.schema(added["dead"].schema).parquet(f"{base.root}/data/{added['dead'].parts['']}")
+        stats = stats.unionByName(dead.agg((-F.coalesce(F.sum("rows"), F.lit(0))).alias("rows"), (-F.coalesce(F.sum("length"), F.lit(0))).alias("words"), F.lit(parts).alias("parts")))
+        # the terms of dead rows are in the postings of their shards
+        held = base.read(spark, "postings", [p for p in base.parts("postings") if p != DOCS]).select("shard", "term", "gaps")
+        near = held.join(dead.select("shard"), "shard", "left_semi").groupBy("shard").cogroup(dead.select("shard", "numbers").groupBy("shard"))
+        fewer = near.applyInArrow(_lost, "term string, n long").groupBy("term").agg((-F.sum("n")).alias("n"))
+        added["fewer"] = commits.stage(fewer, base.root, "fewer", _term_part(F.col("term"), parts))
+    return added | {"stats": commits.stage(stats, base.root, "stats")}
+
+
+def _lost(held: pa.Table, dead: pa.Table) -> pa.Table:
+    """How many of the dead rows of a shard each term of it has."""
+    out = np.concatenate([c.values.to_numpy() for c in dead.column("numbers")]) if len(dead) else np.empty(0, np.int32)
+    n = [int(np.isin(np.cumsum(g.values.to_numpy()), out).sum()) for g in held.column("gaps")]
+    both = pa.table({"term": held.column("term"), "n": pa.array(n, pa.int64())})
+    return both.filter(pc.greater(both.column("n"), 0))
+
+
 def build(rows: DataFrame, key: str, root: str, text: str = "text", parts: int = PARTS, shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES) -> commits.Snapshot:
     """Indexes rows of unique keys under a folder where there is no index yet. A null key is an error; null texts are rows without a word."""
     spark = rows.sparkSession
@@ -155,7 +166,7 @@ class Ranges:
         for i in range(len(table)):
             one = lambda c: table.column(c)[i].values.to_numpy()  # noqa: B023, E731
             t = place[table.column("term")[i].as_py()]
-            numbers = one("numbers")
+            numbers = np.cumsum(one("gaps"))
             score = idf[t] * weigh(one("counts"), one("lengths"))
             if len(dead):
                 score = np.where(np.isin(numbers, dead), 0.0, score)
@@ -232,15 +243,19 @@ def top_k(spark: SparkSession, root: str, key: str, queries: DataFrame, k: int,
         asked = spark.createDataFrame([(t,) for t in own.terms], "term string")
         wanted = {str(r[0]) for r in asked.select(_term_part(F.col("term"), parts)).distinct().collect()}
         postings = now.read(spark, "postings", sorted(wanted & set(now.parts("postings"))))
-        postings = postings.where(F.col("term").isin(own.terms)) if len(own.terms) <= LISTED else postings.join(F.broadcast(asked), "term", "left_semi")
-        for r in postings.groupBy("term").agg(F.sum("n").alias("n")).collect():
+        asked_for = lambda df: df.where(F.col("term").isin(own.terms)) if len(own.terms) <= LISTED else df.join(F.broadcast(asked), "term", "left_semi")  # noqa: B023, E731
+        postings = asked_for(postings)
+        counts = postings.select("term", "n")
+        if "fewer" in now.schemas:
+            counts = counts.unionByName(asked_for(now.read(spark, "fewer", sorted(wanted & set(now.parts("fewer"))))))
+        for r in counts.groupBy("term").agg(F.sum("n").alias("n")).collect():
             own.idf[own.place[r.term]] = np.log(1 + (rows - r.n + 0.5) / (r.n + 0.5))
         shared = spark.sparkContext.broadcast(own)
 
-        out = now.read(spark, "dead") if "dead" in now.schemas else spark.createDataFrame([], "shard long, numbers array<int>")
-        held = postings.where("shard >= 0").groupBy("shard").cogroup(out.groupBy("shard"))
+        out = now.read(spark, "dead").select("shard", "numbers") if "dead" in now.schemas else spark.createDataFrame([], "shard long, numbers array<int>")
+        held = postings.groupBy("shard").cogroup(out.groupBy("shard"))
         hits = held.applyInArrow(_scorer(shared, mean, k, arrow, k1, b), f"qid {kind.simpleString()}, shard long, number int, score double")
         found = hits if found is None else found.union(hits)
     near = found.withColumn("_r", F.rank().over(Window.partitionBy("qid").orderBy(F.desc("score")))).where(F.col("_r") <= k).drop("_r")
-    keyed = now.read(spark, "docs").select("shard", "number", key).join(F.broadcast(near) if n * k <= 1_000_000 else near, ["shard", "number"])
+    keyed = _docs(spark, now).select("shard", "number", key).join(F.broadcast(near) if n * k <= 1_000_000 else near, ["shard", "number"])
     return keyed.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key))).where(F.col("rank") <= k).select("qid", key, "score", "rank")

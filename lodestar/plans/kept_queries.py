@@ -32,7 +32,7 @@ def _built(spark, d, rows):
 def index_build(spark, d):
     """The index of all chunks, by its postings: the rows of each term, and the bounds of its scores."""
     root = _built(spark, d, schema.chunks(spark, d))
-    postings = commits.snapshot(spark, root).read(spark, "postings")
+    postings = commits.snapshot(spark, root).read(spark, "postings").where("term is not null")
     return postings.groupBy("term").agg(F.sum("n").alias("rows"), F.max(F.array_max("most")).alias("most"), F.min(F.array_min("least")).alias("least"))
 
 
