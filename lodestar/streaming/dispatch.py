@@ -16,30 +16,34 @@ from pyspark.sql.streaming import StreamingQuery
 from lodestar.operators.chunking import char_windows
 from lodestar.sources import commits
 
-#: Messages of all kinds. The three spellings of the list of documents, as senders write them.
+#: Messages of all kinds, but for the list of documents, which senders write in three ways that differ by case alone.
+LISTS = ("documentIds", "document_ids", "documentids")
 MESSAGE = (
-    "payload_type string, job_id string, jobId string, company_id string, companyId string, doc_id string, documentIds array<string>, document_ids array<string>, documentids array<string>, "
+    "payload_type string, job_id string, jobId string, company_id string, companyId string, doc_id string, "
     "text string, chunks array<struct<text: string, chunk_index: int, char_start: int, char_end: int>>, embeddings array<array<float>>, metadata map<string,string>"
 )
 CHUNK = ("company_id", "doc_id", "ingest_version", "chunk_index", "text", "char_start", "char_end", "embedding", "kind")
 
 
-def kind(message: Column) -> Column:
-    """embedded, content (a list of documents is named) or legacy."""
-    named = message["documentIds"].isNotNull() | message["document_ids"].isNotNull() | message["documentids"].isNotNull()
-    return F.when(message["payload_type"] == "embedded_chunks", "embedded").when(named, "content").otherwise("legacy")
+def named(value: str) -> Column:
+    """The documents that a message names, in a list or as one; null where it names none."""
+    text = F.coalesce(*(F.get_json_object(value, f"$.{name}") for name in LISTS))
+    return F.array_distinct(F.coalesce(F.from_json(text, "array<string>"), F.when(text.isNotNull(), F.array(text))))
+
+
+def kind(message: Column, ids: Column) -> Column:
+    """embedded, content (documents are named) or legacy."""
+    return F.when(message["payload_type"] == "embedded_chunks", "embedded").when(ids.isNotNull(), "content").otherwise("legacy")
 
 
 def parsed(lines: DataFrame) -> DataFrame:
     """value, kind, job_id, company_id, doc_id, metadata and error of message lines; a message that names documents is a row for each of them, each once."""
-    m = F.from_json("value", MESSAGE)
-    read = lines.select("value", m.alias("m")).where("value is not null")
+    read = lines.where("value is not null").select("value", F.from_json("value", MESSAGE).alias("m"), named("value").alias("ids"), F.try_parse_json("value").isNull().alias("broken"))
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
-    ids = F.array_distinct(F.coalesce(F.col("m.documentIds"), F.col("m.document_ids"), F.col("m.documentids")))
-    broken = F.col("m").isNull() | F.try_parse_json("value").isNull()
-    k = F.when(broken, "broken").otherwise(kind(F.col("m")))
+    k = F.when(F.col("broken") | F.col("m").isNull(), "broken").otherwise(kind(F.col("m"), F.col("ids")))
     company = F.coalesce(blank("m.companyId"), blank("m.company_id"), blank(F.col("m.metadata")["companyId"]), blank(F.col("m.metadata")["company_id"]))
-    each = read.withColumn("kind", k).withColumn("doc_id", F.explode_outer(F.when((F.col("kind") == "content") & (F.size(ids) > 0), ids).otherwise(F.array("m.doc_id"))))
+    ids = F.when((F.col("kind") == "content") & (F.size("ids") > 0), F.col("ids")).otherwise(F.array("m.doc_id"))
+    each = read.withColumn("kind", k).withColumn("doc_id", F.explode_outer(ids))
     return each.select("value", "kind", F.coalesce(blank("m.jobId"), blank("m.job_id"), F.sha1("value")).alias("job_id"), company.alias("company_id"), blank("doc_id").alias("doc_id"), "m.text", "m.chunks", "m.embeddings")
 
 
