@@ -110,12 +110,14 @@ def use_timers(spark: SparkSession) -> None:
 def start(spark: SparkSession, changes: DataFrame, root: str, checkpoint: str, name: str = "states", once: bool = False, lateness_seconds: float = 3600, lease_seconds: float = LEASE_SECONDS, every: str = "5 seconds") -> StreamingQuery:
     """Runs the fold; each batch's transitions are added to the table `transitions` under root in one commit of the batch's number."""
     use_timers(spark)
+    # with timers Spark would run one batch after the other without input, and so never end; where it is to end, timers fire in the batches that have some
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(not once).lower())
 
     def write(batch: DataFrame, number: int) -> None:
+        # a batch that is repeated is worked out again too, as its state must be: only its commit changes nothing
         session = batch.sparkSession
-        base = commits.snapshot(session, root)
-        if base.writers.get(name, -1) < number:
-            commits.commit(session, base, added={"transitions": commits.stage(batch, root, "transitions")}, writer=name, number=number)
+        base, made = commits.snapshot(session, root), commits.stage(batch, root, "transitions")
+        commits.commit(session, base, added={"transitions": made}, writer=name, number=number)
 
     writer = transitions(changes, lateness_seconds, lease_seconds).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
