@@ -67,8 +67,9 @@ class Node:
         self.block = tag if tag in BLOCK_TAGS else parent.block if parent else ""
         starts = tag in SECTIONS
         self.section = tag if starts else parent.section if parent else ""
-        self.section_named = bool(words) or (not starts and parent is not None and parent.section_named)
-        self.named = (bool(words) and tag not in ("html", "body")) or (parent is not None and parent.named)
+        names = words[:-1] if words[-1:] == ("hidden",) else words
+        self.section_named = bool(names) or (not starts and parent is not None and parent.section_named)
+        self.named = (bool(names) and tag not in ("html", "body")) or (parent is not None and parent.named)
         self.in_links = (tag == "a") + (parent.in_links if parent else 0)
         self.articles = min(2, (tag == "article") + (parent.articles if parent else 0))
         self.inside_main = tag in ("article", "main") or (parent is not None and parent.inside_main)
@@ -362,7 +363,7 @@ def train_field(pages: list[tuple[str, set[str]]], rounds: int = 200, ridge: flo
 
 
 def make_pages(n: int, seed: int = 17) -> list[tuple[str, set[str]]]:
-    """Labelled pages: templates with an article and with menus, notices, adverts, forms, comments and more around and in it."""
+    """Labelled pages: templates with an article and with menus, notices, adverts, forms, comments and more around and in it; a fifth of them with hardly a sign of where it is."""
     rng = random.Random(seed)
     syllables = "ka ro mi ten sol ver da lin pas tu gre on fa".split()
     unique = iter(range(1 << 40))
@@ -412,12 +413,39 @@ def make_pages(n: int, seed: int = 17) -> list[tuple[str, set[str]]]:
 
     def comments() -> str:
         one = lambda: rng.choice([f'<div class="comment"><p>{paragraph()}</p></div>', f"<li><p>{sentence()}</p></li>", f'<article class="comment"><p>{paragraph()}</p></article>', f"<p>{paragraph()}</p>", f"<div><b>{label()}</b><p>{paragraph()}</p></div>"])
-        return wrap(['section class="comments"', 'div id="comments"', 'div class="comment-list"', 'ol class="commentlist"', 'section id="discussion"', 'div class="replies"', 'ul class="reader-comments"', 'div class="responses"', 'div class="user-comments"'], (f"<h3>{label()}</h3>" if rng.random() < 0.6 else "") + "".join(one() for _ in range(rng.randint(1, 6))))
+        return wrap(['section class="comments"', 'div id="comments"', 'div class="comment-list"', 'ol class="commentlist"', 'section id="discussion"', 'div class="replies"', 'ul class="reader-comments"', 'div class="responses"', 'div class="user-comments"', 'div class="user-reviews"', 'section class="reviews"', 'div class="feedback opinions"'], (f"<h3>{label()}</h3>" if rng.random() < 0.6 else "") + "".join(one() for _ in range(rng.randint(1, 6))))
 
     def script() -> str:
         return rng.choice(["<script>var t=\"</p>\";track(1);</script>", "<style>p{margin:0}</style>", "<!-- ad 3 -->", "<script>if(a<b){go()}</script>", ""])
 
-    others = [menu, header, footer, sidebar, notice, advert, form, comments]
+    def hidden() -> str:
+        return wrap(["p hidden", "div hidden", 'p style="display:none"', 'div style="display: none"', 'section hidden class="text"'], rng.choice((paragraph, sentence))())
+
+    def bare(keep) -> str:
+        """Pages of few signs: without tags, without names, in tables, of one sentence."""
+        prose = lambda: keep(rng.choice((paragraph, paragraph, sentence))())
+        around = lambda inner, most=2: "".join(rng.choice((menu, header, script, lambda: links(rng.randint(2, 6))))() for _ in range(rng.randint(0, most))) + inner + "".join(rng.choice((footer, footer, menu, sidebar))() for _ in range(rng.randint(0, most)))
+        style = rng.randrange(7)
+        if style == 0:  # no tag at all
+            return keep(rng.choice((" ", "\n", "\n\n")).join(rng.choice((paragraph, sentence, label))() for _ in range(rng.randint(1, 4))))
+        if style == 1:  # divs without names
+            inner = "".join(f"<div>{prose()}</div>" for _ in range(rng.randint(1, 5)))
+            return f"<html><body>{around(rng.choice((inner, f'<div>{inner}</div>')))}</body></html>"
+        if style == 2:  # a sentence or two, with what is not of the article beside or within
+            shell = rng.choice(("article", "main", 'div class="content"', "div", "section"))
+            said = "".join(f"<p>{keep(sentence(2, 8))}</p>" for _ in range(rng.randint(1, 2)))
+            beside = "".join(rng.choice((comments, hidden, hidden, advert, notice, form))() for _ in range(rng.randint(0, 2)))
+            return rng.choice(("", "<html><body>")) + rng.choice((f"<{shell}>{said}{beside}</{shell}>", f"<{shell}>{said}</{shell}>{beside}", f"<{shell}>{beside}{said}</{shell}>"))
+        if style == 3:  # lines
+            text = keep(f"{paragraph()} {paragraph()}")
+            return f"<html><body>{text.replace('. ', '.<br>', 1) if rng.random() < 0.5 else text}</body></html>"
+        if style == 4:  # a table as layout
+            return f"<html><body><table><tr><td>{rng.choice((menu(), links(rng.randint(2, 6))))}</td><td>{''.join(f'<p>{prose()}</p>' for _ in range(rng.randint(1, 4)))}</td></tr></table>{footer()}</body></html>"
+        if style == 5:  # heading and paragraphs in the body
+            return f"<html><head><title>{label()}</title></head><body><h1>{keep(label())}</h1>{''.join(f'<p>{prose()}' for _ in range(rng.randint(1, 5)))}{rng.choice(('', footer()))}</body></html>"
+        return around("".join(f"<p>{prose()}</p>" for _ in range(rng.randint(1, 4))) + rng.choice(("", hidden())), 1)
+
+    others = [menu, header, footer, sidebar, notice, advert, form, comments, hidden]
     pages = []
     for _ in range(n):
         main: set[str] = set()
@@ -426,6 +454,10 @@ def make_pages(n: int, seed: int = 17) -> list[tuple[str, set[str]]]:
             main.add(" ".join(text.split()))
             return text
 
+        if rng.random() < 0.2:
+            page = bare(keep)
+            pages.append((page, main))
+            continue
         body = []
         if rng.random() < 0.8:
             body.append(wrap(["h1", "h1", 'h1 class="title"', "h2"], keep(label(2, 10))))
@@ -449,7 +481,7 @@ def make_pages(n: int, seed: int = 17) -> list[tuple[str, set[str]]]:
                 keep(f"{a} {b} {c}")
                 body.append(f'<p>{a} <a href="/x">{b}</a> {c}</p>')
             else:
-                body.append(rng.choice((advert, notice, form, sidebar))())
+                body.append(rng.choice((advert, notice, form, sidebar, hidden))())
         if rng.random() < 0.15:
             body.append(comments())
         if rng.random() < 0.1:
@@ -470,7 +502,7 @@ def make_pages(n: int, seed: int = 17) -> list[tuple[str, set[str]]]:
 
 @functools.lru_cache(1)
 def default_field() -> BlockField:
-    return train_field(make_pages(700))
+    return train_field(make_pages(900))
 
 
 def extract_text(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url"), field: BlockField | None = None) -> DataFrame:

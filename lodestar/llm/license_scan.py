@@ -136,19 +136,34 @@ def _passages(texts: DataFrame, listed: Column, longest: int, low: float, thresh
     paired = worded.select("_key", "_text", F.explode(F.array(pairs)).alias("all"))
     cut = F.transform(F.sequence(F.lit(0), F.size("all") - 1, F.lit(BLOCK)), lambda at: F.struct(at.alias("at"), F.slice("all", at + 1, F.lit(BLOCK + longest)).alias("pairs")))
     blocks = paired.select("_key", "_text", F.inline(cut)).select("_key", "_text", "at", "pairs", F.explode(F.array(inside(F.col("pairs")))).alias("grams"))
-    near = blocks.select("_key", "_text", "at", "pairs", F.explode(F.filter(listed, lambda t: F.size(F.array_intersect(t["t_grams"], F.col("grams"))) >= t["m"] * low)).alias("t"))
-    starts = F.filter(F.sequence(F.lit(1), F.least(F.lit(BLOCK), F.size("pairs"))), lambda i: F.array_contains(F.col("t.t_grams"), F.get("pairs", i - 1)["gram"]))
-    runs = near.select("_key", "_text", "t", F.inline(F.transform(starts, lambda i: F.struct((F.col("at") + i).alias("start"), F.slice("pairs", i, F.col("t.longest")).alias("run")))))
-    runs = runs.select("_key", "_text", "t", "start", "run", F.explode(F.array(inside(F.col("run")))).alias("grams")).where(F.size(F.array_intersect("grams", "t.t_grams")) >= F.col("t.m") * low)
-    ends = F.filter(F.sequence(F.ceil(F.col("t.m") * low).cast("int"), F.size("run")), lambda e: F.array_contains(F.col("t.t_grams"), F.get("grams", e - 1)))
-
-    def scored(e: Column) -> Column:
-        own = F.slice("grams", F.lit(1), e)
-        dice = 2.0 * F.size(F.array_intersect(own, F.col("t.t_grams"))) / (F.size(F.array_distinct(own)) + F.col("t.m"))
-        return F.struct(dice.alias("dice"), (-e).alias("minus"), F.get("run", e - 1)["last"].alias("last"))
-
-    best = runs.select("_key", "_text", "t.license", "start", F.get("run", F.lit(0))["first"].alias("first"), F.explode(F.array(F.array_max(F.transform(ends, scored)))).alias("best"))
-    return best.where(F.col("best.dice") >= threshold).select("_key", "_text", "license", F.struct("start", (F.col("start") - F.col("best.minus") - 1).alias("end"), "best.dice", "first", "best.last").alias("passage"))
+    near = blocks.select("_key", "_text", "at", "pairs", "grams", F.explode(F.filter(listed, lambda t: F.size(F.array_intersect(t["t_grams"], F.col("grams"))) >= t["m"] * low)).alias("t"))
+    # where each bigram of a block was last before: of a run from s on, those whose last place is before s are the distinct ones
+    ordered = near.select("_key", "_text", "at", "pairs", "t", F.explode(F.array(F.array_sort(F.transform("grams", lambda g, i: F.struct(g.alias("gram"), i.alias("i")))))).alias("o"))
+    shifted = F.concat(F.array(F.lit(None).cast("struct<gram:string,i:int>")), F.slice("o", F.lit(1), F.size("o") - 1))
+    before = F.zip_with("o", shifted, lambda a, b: F.struct(a["i"].alias("i"), F.when(a["gram"] == b["gram"], b["i"]).otherwise(-1).alias("prev")))
+    placed = ordered.select("_key", "_text", "at", "pairs", "t", F.explode(F.array(F.array_sort(before))).alias("before"))
+    mark = F.zip_with("pairs", "before", lambda p, v: F.struct(p["first"].alias("first"), p["last"].alias("last"), v["prev"].alias("prev"), F.array_contains("t.t_grams", p["gram"]).alias("hit")))
+    marked = placed.select("_key", "_text", "at", "t.license", "t.m", "t.longest", F.explode(F.array(mark)).alias("marks"))
+    # a run that matches has ceil(low * m) hits at least: only hits that are followed by as many within the longest run can begin one
+    hits = marked.select("*", F.explode(F.array(F.filter(F.sequence(F.lit(1), F.size("marks")), lambda i: F.get("marks", i - 1)["hit"]))).alias("hits"))
+    ahead = F.transform("hits", lambda p, j: F.struct(p.alias("p"), F.get("hits", j + F.ceil(F.col("m") * low).cast("int") - 1).alias("enough")))
+    starts = F.transform(F.filter(ahead, lambda h: (h["p"] <= BLOCK) & (h["enough"] - h["p"] < F.col("longest"))), lambda h: h["p"])
+
+    def best_run(start: Column) -> Column:
+        """The best end of the runs from a start on, in one pass: how many distinct bigrams and how many of the template's there are up to each."""
+        first = F.struct(F.lit(0).alias("n"), F.lit(0).alias("hits"), F.lit(0).alias("size"), F.struct(F.lit(-1.0).alias("dice"), F.lit(0).alias("minus"), F.lit(-1).alias("last")).alias("best"))
+
+        def step(a: Column, x: Column) -> Column:
+            new = x["prev"] < start - 1
+            n, hits, size = a["n"] + new.cast("int"), a["hits"] + (new & x["hit"]).cast("int"), a["size"] + 1
+            dice = F.when(x["hit"] & (size >= F.ceil(F.col("m") * low)), 2.0 * hits / (n + F.col("m"))).otherwise(-1.0)
+            return F.struct(n.alias("n"), hits.alias("hits"), size.alias("size"), F.greatest(a["best"], F.struct(dice.alias("dice"), (-size).alias("minus"), x["last"].alias("last"))).alias("best"))
+
+        return F.aggregate(F.slice("marks", start, F.col("longest")), first, step, lambda a: a["best"])
+
+    found = F.transform(starts, lambda i: F.struct((F.col("at") + i).alias("start"), F.get("marks", i - 1)["first"].alias("first"), best_run(i).alias("best")))
+    runs = hits.select("_key", "_text", "license", F.explode(F.array(found)).alias("found")).select("_key", "_text", "license", F.inline("found"))
+    return runs.where(F.col("best.dice") >= threshold).select("_key", "_text", "license", F.struct("start", (F.col("start") - F.col("best.minus") - 1).alias("end"), "best.dice", "first", "best.last").alias("passage"))
 
 
 def _apart(runs: str) -> Column:

@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import centroids, importance, registry, toxicity
+from lodestar.llm import centroids, html_extract, importance, registry, toxicity
 from test_llm_operators import empty_docs, odd_docs
 
 SMALL, LARGER = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
@@ -212,3 +212,30 @@ def test_without_a_shared_folder(tmp_path):
     *counts, folder = done.stdout.split("\n")[:-1]
     assert len(counts) == 6 and all(int(c.split()[1]) > 0 for c in counts)
     assert folder.startswith("file:") and not os.path.exists(folder[5:])
+
+
+# ---- pages of few signs
+
+PROSE = "This is a long paragraph of an article that says quite a lot about its matter. It goes on for some sentences, and then it ends. "
+MENU = "<ul><li><a href=/>Home</a></li><li><a href=/a>About us</a></li><li><a href=/n>News</a></li></ul>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (PROSE * 2, (PROSE * 2).strip()),
+        ("Just some words here", "Just some words here"),
+        ("<body>Just body text here.</body>", "Just body text here."),
+        (f"<html><body>{MENU}<div>{PROSE}</div><div>Second. {PROSE}</div><footer>Copyright 2020</footer></body></html>", f"{PROSE.strip()}\nSecond. {PROSE.strip()}"),
+        (f"<html><body><nav>{MENU}</nav><div>{PROSE}</div><div>Second. {PROSE}</div><div class=footer>Copyright 2020</div></body></html>", f"{PROSE.strip()}\nSecond. {PROSE.strip()}"),
+        ('<main><p>Text one is here.</p><div class="user-reviews"><p>I liked it a lot.</p><p>Me too, thanks.</p></div></main>', "Text one is here."),
+        ('<article><p>Seen text here.</p><p style="display:none">Hidden one.</p><p hidden>Hidden two.</p></article>', "Seen text here."),
+        ("<article><h1>A title</h1><p>Seen text here.</p><p hidden>Hidden one.</p><p>Seen again.</p></article>", "A title\nSeen text here.\nSeen again."),
+        (f"<html><body><table><tr><td>{MENU}</td><td><p>{PROSE}</p><p>Second. {PROSE}</p></td></tr></table></body></html>", f"{PROSE.strip()}\nSecond. {PROSE.strip()}"),
+        (f"<html><head><title>T</title></head><body><h1>The head line</h1><p>{PROSE}<p>Second. {PROSE}<hr><p>&copy; 2021 All rights reserved</body></html>", f"The head line\n{PROSE.strip()}\nSecond. {PROSE.strip()}"),
+    ],
+)
+def test_pages_of_few_signs(page, want):
+    """By hand, of another make than those that the field is trained on."""
+    field, blocks = html_extract.default_field(), html_extract.leaf_blocks(page)
+    assert "\n".join(t for (_, t, _), ok in zip(blocks, field.decode([field.score(blocks)])[0], strict=True) if ok) == want
