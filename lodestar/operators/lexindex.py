@@ -23,7 +23,7 @@ from lodestar.operators.lexical import K1, QUERY_BLOCK, QUERY_BYTES, SEPARATOR,
 from lodestar.sources import commits
 
 #: Parts of the postings; rows and bytes of a shard, about; row numbers in a range.
-PARTS, SHARD_ROWS, SHARD_BYTES, RANGE = 64, 1 << 14, 16 << 20, 256
+PARTS, SHARD_ROWS, SHARD_BYTES, RANGE = 64, 1 << 13, 8 << 20, 256
 #: Terms that are written into the filter, which reaches the scan; more are joined.
 LISTED = 1000
 #: An update's shards come after this many of the one before.
@@ -53,6 +53,7 @@ def _indexed(key: str, kind: pa.DataType):
         owner, coded = owner[filled.to_numpy(zero_copy_only=False)], flat.filter(filled).dictionary_encode()
         del words, flat
         terms, codes = coded.dictionary.cast(pa.string()), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        del coded, filled
         lengths = np.bincount(owner, minlength=n).astype(np.int32)
         cells, counts = np.unique(codes * n + owner, return_counts=True)
         of, number = cells // max(1, n), (cells % max(1, n)).astype(np.int32)
@@ -77,10 +78,14 @@ def _indexed(key: str, kind: pa.DataType):
     return build
 
 
-def _segment(rows: DataFrame, key: str, text: str, first_shard: int, shard_rows: int, shard_bytes: int) -> DataFrame:
-    """Postings and rows of new shards."""
+def shards_of(rows: DataFrame, text: str = "text", shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES) -> int:
+    """How many shards rows of texts fill."""
     n, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length(text))).first()
-    shards = max(1, -(-n // shard_rows), -(-(size or 0) // shard_bytes))
+    return max(1, -(-n // shard_rows), -(-(size or 0) // shard_bytes))
+
+
+def _segment(rows: DataFrame, key: str, text: str, first_shard: int, shards: int) -> DataFrame:
+    """Postings and rows of new shards."""
     dealt = rows.select((F.pmod(F.xxhash64(key), F.lit(shards)) + first_shard).alias("shard"), key, F.lower(F.col(text)).alias("_lowered"))
     kind = rows.schema[key].dataType
     return dealt.groupBy("shard").applyInArrow(_indexed(key, to_arrow_type(kind)), f"{POSTING}, number int, length int, `{key}` {kind.simpleString()}")
@@ -107,9 +112,9 @@ def alive(spark: SparkSession, now: commits.Snapshot) -> DataFrame:
     return docs.join(out, ["shard", "number"], "left_anti")
 
 
-def _added(spark: SparkSession, base: commits.Snapshot, rows: DataFrame, gone: DataFrame | None, key: str, parts: int, shard_rows: int, shard_bytes: int) -> dict[str, commits.Staged]:
+def _added(spark: SparkSession, base: commits.Snapshot, rows: DataFrame, gone: DataFrame | None, key: str, parts: int, shards: int | None) -> dict[str, commits.Staged]:
     """What a commit adds: new shards, and where rows go, dead numbers and corrections of the counts. A task writes a file into each part, sorted by term."""
-    segment = _segment(rows, key, "_text", (base.version + 1) * SHARDS, shard_rows, shard_bytes)
+    segment = _segment(rows, key, "_text", (base.version + 1) * SHARDS, shards or shards_of(rows, "_text"))
     part = _part(parts)
     postings = commits.stage(segment.sortWithinPartitions(part, "term", "shard"), base.root, "postings", part)
     at = postings.parts.get(DOCS)
@@ -137,23 +142,24 @@ def _lost(held: pa.Table, dead: pa.Table) -> pa.Table:
     return both.filter(pc.greater(both.column("n"), 0))
 
 
-def build(rows: DataFrame, key: str, root: str, text: str = "text", parts: int = PARTS, shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES) -> commits.Snapshot:
-    """Indexes rows of unique keys under a folder where there is no index yet. A null key is an error; null texts are rows without a word."""
+def build(rows: DataFrame, key: str, root: str, text: str = "text", parts: int = PARTS, shards: int | None = None) -> commits.Snapshot:
+    """Indexes rows of unique keys under a folder where there is no index yet. A null key is an error; null texts are rows without a word. Without a number of shards the rows are
+    counted first."""
     spark = rows.sparkSession
     if commits.latest(spark, root):
         raise FileExistsError(f"there is an index under {root}")
     base = commits.Snapshot(root)
-    return commits.commit(spark, base, added=_added(spark, base, _checked(rows, key, text), None, key, parts, shard_rows, shard_bytes))
+    return commits.commit(spark, base, added=_added(spark, base, _checked(rows, key, text), None, key, parts, shards))
 
 
-def update(rows: DataFrame, root: str, key: str, removed: DataFrame | None = None, text: str = "text", shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES) -> commits.Snapshot:
+def update(rows: DataFrame, root: str, key: str, removed: DataFrame | None = None, text: str = "text", shards: int | None = None) -> commits.Snapshot:
     """Puts rows into the index, in the place of those with their keys, and takes out the keys of `removed`. Two updates at a time: the second is a Conflict, as it may have
     put out the same rows."""
     spark = rows.sparkSession
     base = commits.snapshot(spark, root)
     gone = rows.select(key) if removed is None else rows.select(key).union(removed.select(key))
     parts = base.read(spark, "stats").agg(F.max("parts")).first()[0]
-    added = _added(spark, base, _checked(rows, key, text), gone, key, parts, shard_rows, shard_bytes)
+    added = _added(spark, base, _checked(rows, key, text), gone, key, parts, shards)
     return commits.commit(spark, base, replaced={"turn": (commits.stage(spark.range(1), root, "turn"), [""])}, added=added)
 
 

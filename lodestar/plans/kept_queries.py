@@ -8,7 +8,7 @@ from lodestar import schema
 from lodestar.operators import lexindex, vectorstore
 from lodestar.plans import build
 from lodestar.plans.queries import text_queries
-from lodestar.session import scratch_dir
+from lodestar.session import scratch_dir, table
 from lodestar.sources import commits, footers
 
 QUERIES = {}
@@ -23,8 +23,9 @@ def query(f):
 
 
 def _built(spark, d, rows):
+    """Chunks hold their documents' texts, and a little twice."""
     root = scratch_dir(spark, "index")
-    lexindex.build(rows, "chunk_id", root)
+    lexindex.build(rows, "chunk_id", root, shards=lexindex.shards_of(table(spark, d, "documents")))
     return root
 
 
