@@ -136,9 +136,17 @@ def _added(spark: SparkSession, base: commits.Snapshot, rows: DataFrame, gone: D
 
 def _lost(held: pa.Table, dead: pa.Table) -> pa.Table:
     """How many of the dead rows of a shard each term of it has."""
-    out = np.concatenate([c.values.to_numpy() for c in dead.column("numbers")]) if len(dead) else np.empty(0, np.int32)
-    n = [int(np.isin(np.cumsum(g.values.to_numpy()), out).sum()) for g in held.column("gaps")]
-    both = pa.table({"term": held.column("term"), "n": pa.array(n, pa.int64())})
+    if not len(held) or not len(dead):
+        return pa.table({"term": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
+    out = np.concatenate([c.values.to_numpy() for c in dead.column("numbers")])
+    gaps = held.column("gaps").combine_chunks()
+    values, starts = gaps.flatten().to_numpy().astype(np.int64), np.r_[0, np.cumsum(pc.list_value_length(gaps).to_numpy())][:-1]
+    total = np.cumsum(values)
+    numbers = total - np.repeat(total[starts] - values[starts], np.diff(np.r_[starts, len(values)]))
+    gone = np.zeros(max(int(numbers.max()), int(out.max())) + 1, bool)
+    gone[out] = True
+    n = np.add.reduceat(gone[numbers].astype(np.int64), starts)  # no posting row is empty
+    both = pa.table({"term": held.column("term"), "n": pa.array(n)})
     return both.filter(pc.greater(both.column("n"), 0))
 
 
