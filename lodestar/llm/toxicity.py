@@ -19,7 +19,7 @@ from lodestar.llm.sampling import bounded_sample
 from lodestar.llm.wordhash import SPACES
 
 #: Rows of each label that the model is fitted on, at most about; features that it is fitted on, those in most of the rows; rows that must hold one.
-ROWS_PER_LABEL, COLUMNS, LEAST_ROWS = 4000, 1 << 20, 3
+ROWS_PER_LABEL, COLUMNS, LEAST_ROWS = 4000, 1 << 18, 3
 #: Bytes of text that are hashed at a time.
 BLOCK = 1 << 20
 #: The threshold of `predicted`.
@@ -168,7 +168,7 @@ def fit_toxicity_model(docs: DataFrame, labels: DataFrame, text: str = "text", k
     lowered = known.join(F.broadcast(sampled.select("key", "label", "_hash")), "key").select("label", "_hash", F.lower("text").alias("text"))
     rows = written(lowered.mapInArrow(hashed, "label int, _hash long, held array<long>"), "hashed")
     counted = rows.select(F.explode("held").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_rows)
-    kept = np.sort(np.array([r.h for r in counted.orderBy(F.desc("n"), "h").select("h").limit(columns).collect()], np.int64))
+    kept = np.sort(counted.orderBy(F.desc("n"), "h").select("h").limit(columns).toArrow().column("h").to_numpy())
     shared = rows.sparkSession.sparkContext.broadcast(kept)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,12 +181,12 @@ def fit_toxicity_model(docs: DataFrame, labels: DataFrame, text: str = "text", k
                 out.append((place[known[place] == h] if len(known) else place[:0]).astype("<i4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("_hash"), pa.array(out, pa.binary())], ["label", "_hash", "held"])
 
-    found = rows.mapInArrow(numbered, "label int, _hash long, held binary").orderBy("_hash", "label", "held").collect()
+    found = rows.mapInArrow(numbered, "label int, _hash long, held binary").orderBy("_hash", "label", "held").toArrow()
     drop_written(rows)
-    y = np.array([r.label for r in found], float)
+    y = found.column("label").to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
         return None
-    own = fit_ftrl([np.frombuffer(r.held, "<i4") for r in found], y, len(kept), **settings)
+    own = fit_ftrl([np.frombuffer(held.as_buffer(), "<i4") for held in found.column("held")], y, len(kept), **settings)
     weights = own.weights(np.arange(len(kept)))
     used = np.flatnonzero(weights)
     bias = float(own.weights(np.array([len(kept)]))[0])
