@@ -49,65 +49,72 @@ def targets_of(sizes: list[int], weights: list[int], repeats: int) -> list[float
 
 
 def min_cost_flow(supply: list[int], members: list[list[int]], quota: list[int], repeats: int) -> list[int]:
-    """Words that each pattern gives: a flow of most words, and of those one of least repetition cost, by shortest augmenting paths.
+    """Words that each pattern gives: a flow of most words, and of those one of least repetition cost.
 
-    Pattern p has supply[p] words in each of `repeats` copies, copy c at cost c a word, for the sources members[p]. Parts of the network
-    that share no source are solved on their own, each by its own paths, whether it has one pattern or many.
+    Pattern p has supply[p] words in each of `repeats` copies, copy c at cost c a word, for the sources members[p]. All first copies are routed before any second one, and
+    so on: a pattern from which no path leads to a source with room has none later either, so that a flow that is largest copy by copy is the cheapest of the
+    largest ones. Of each copy the flow is made by blocking flows over shortest paths, on which steps back undo flow between patterns.
     """
-    of_source = defaultdict(list)
+    of_source: dict[int, list[int]] = defaultdict(list)
     for p, own in enumerate(members):
         for s in own:
             of_source[s].append(p)
-    given, seen = [0] * len(supply), set()
-    for first in range(len(supply)):
-        if first in seen:
-            continue
-        part, todo = [], [first]
-        seen.add(first)
-        while todo:
-            p = todo.pop()
-            part.append(p)
-            for s in members[p]:
-                for q in of_source[s]:
-                    if q not in seen:
-                        seen.add(q)
-                        todo.append(q)
-        flow: dict[tuple[int, int], int] = defaultdict(int)
-        room = {s: quota[s] for p in part for s in members[p]}
-        while True:
-            # a path starts with the cheapest next copy of a pattern and ends at a source with room; steps back undo flow between patterns
-            start = sorted((given[p] // supply[p], p) for p in part if supply[p] and given[p] < repeats * supply[p])
-            path = None
-            for cost, p in start:
-                came: dict[tuple[str, int], tuple[str, int] | None] = {("p", p): None}
-                queue = [("p", p)]
-                for node in queue:
-                    kind, i = node
-                    if kind == "s" and room[i] > 0:
-                        path = [node]
-                        while came[path[-1]]:
-                            path.append(came[path[-1]])
-                        break
-                    for nxt in [("s", s) for s in members[i]] if kind == "p" else [("p", q) for q in of_source[i] if flow[q, i] > 0]:
-                        if nxt not in came:
-                            came[nxt] = node
-                            queue.append(nxt)
-                if path:
-                    break
-            if not path:
-                break
-            path = path[::-1]
-            most = min(room[path[-1][1]], supply[p] * (cost + 1) - given[p], *(flow[b[1], a[1]] for a, b in zip(path, path[1:], strict=False) if a[0] == "s"))
-            for a, b in zip(path, path[1:], strict=False):
-                if a[0] == "p":
-                    flow[a[1], b[1]] += most
-                else:
-                    flow[b[1], a[1]] -= most
-            given[p] += most
-            room[path[-1][1]] -= most
+    given, room = [0] * len(supply), list(quota)
+    flow: dict[tuple[int, int], int] = defaultdict(int)
+    for _ in range(repeats):
+        left = list(supply)
+        while _blocking_flow(left, given, members, of_source, flow, room):
+            pass
     return given
 
 
+def _blocking_flow(left: list[int], given: list[int], members: list[list[int]], of_source: dict[int, list[int]], flow: dict[tuple[int, int], int], room: list[int]) -> bool:
+    """Routes what is left of patterns along paths as short as the shortest there is, until none of these is open; says whether it routed anything."""
+    level: dict[tuple[bool, int], int] = {(True, p): 0 for p, n in enumerate(left) if n > 0}
+    queue, end = list(level), None
+    for node in queue:
+        pattern, i = node
+        if end is not None and level[node] >= end:
+            break
+        for nxt in [(False, s) for s in members[i]] if pattern else [(True, q) for q in of_source[i] if flow[q, i] > 0]:
+            if nxt not in level:
+                level[nxt] = level[node] + 1
+                queue.append(nxt)
+                if pattern and room[nxt[1]] > 0 and end is None:
+                    end = level[nxt]
+    if end is None:
+        return False
+    tried: dict[tuple[bool, int], int] = defaultdict(int)  # arcs of a node that lead nowhere any more
+    for first in [i for pattern, i in level if pattern and level[pattern, i] == 0]:
+        path = [(True, first)]
+        while left[first] > 0 and path:
+            pattern, i = path[-1]
+            if not pattern and room[i] > 0:
+                back = [(q, s) for (_, s), (_, q) in zip(path[1::2], path[2::2], strict=False)]
+                most = min(left[first], room[i], *(flow[x] for x in back))
+                for (_, p), (_, s) in zip(path[::2], path[1::2], strict=True):
+                    flow[p, s] += most
+                for x in back:
+                    flow[x] -= most
+                left[first] -= most
+                given[first] += most
+                room[i] -= most
+                path = path[:1]
+                continue
+            arcs = members[i] if pattern else of_source[i]
+            while tried[path[-1]] < len(arcs):
+                j = arcs[tried[path[-1]]]
+                if level.get((not pattern, j)) == level[path[-1]] + 1 and level[path[-1]] < end and (pattern or flow[j, i] > 0):
+                    path.append((not pattern, j))
+                    break
+                tried[path[-1]] += 1
+            else:
+                path.pop()
+                if path:
+                    tried[path[-1]] += 1
+    return True
+
+
 def mix(df: DataFrame, sources: Column, text: str = "text", key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: int = 42) -> DataFrame:
     """One row per input row: doc_id, size (words; 0 for null), sources, source_size, target and taken (words the mix takes, repeats counted).
 
