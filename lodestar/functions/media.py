@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+LINES_CHARS = 2000
+
 
 def first_text(*columns: Column) -> Column:
     """The first that is not blank."""
@@ -25,7 +27,7 @@ def with_media(text: Column, media: Column) -> Column:
     return F.when(F.coalesce(media, F.lit("")) == "", text).otherwise(F.concat(F.coalesce(text, F.lit("")), F.lit("\n\n[media]\n"), media))
 
 
-def lines_within(lines: Column, most: int = 2000) -> Column:
+def lines_within(lines: Column, most: int | Column = LINES_CHARS) -> Column:
     """The first lines, joined, that together have at most `most` characters with their line breaks; the first that exceeds it ends the text."""
     start = F.struct(F.lit("").alias("text"), F.lit(False).alias("full"))
     step = lambda acc, line: F.when(acc["full"] | (F.length(acc["text"]) + F.length(line) + F.when(acc["text"] == "", 0).otherwise(1) > most), F.struct(acc["text"].alias("text"), F.lit(True).alias("full"))).otherwise(
