@@ -12,7 +12,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.session import shared_dir
+from lodestar.session import shared_dir, small_batches  # noqa: F401
 
 #: A word is a run of anything but these six ASCII separators.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -113,19 +113,6 @@ def in_blocks(values: Iterable, most: int, size=len) -> Iterator[tuple[int, int]
         yield start, i
 
 
-#: Arrow batches for Python are cut at so many rows and bytes where the session says nothing else: the JVM and a worker both hold a batch.
-ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, in a session whose batches are bounded."""
-    conf = df.sparkSession.conf
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
-        if key not in conf.getAll:
-            conf.set(key, str(value))
-    return df
-
-
 #: Ids are broadcast up to this many, 16 MB of longs; beyond, the join shuffles.
 BROADCAST_IDS = 2_000_000
 
