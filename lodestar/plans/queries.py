@@ -482,14 +482,12 @@ def html_to_markdown(spark, d):
 
 @query
 def structure_chunks(spark, d):
-    pages = markup.html_to_markdown(table(spark, d, "pages", spread=True).select("page_id", "url", F.col("html").alias("text")), "text")
-    return chunking.structure_chunks(pages, "text", "page_id", url="url")
+    return chunking.structure_chunks(table(spark, d, "pages", spread=True), "html", "page_id", url="url", convert=markup.html_markdown)
 
 
 @query
 def heading_chunks(spark, d):
-    pages = markup.html_to_markdown(table(spark, d, "pages", spread=True).select("page_id", F.col("html").alias("text")), "text")
-    return chunking.heading_chunks(pages, "text", "page_id")
+    return chunking.heading_chunks(table(spark, d, "pages", spread=True), "html", "page_id", convert=markup.html_markdown)
 
 
 @query

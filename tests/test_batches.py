@@ -1,7 +1,9 @@
 """Python sees tables in batches of bounded rows and bytes, in any session."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from lodestar.operators import chunking
 from lodestar.sources import markup
 
 
@@ -11,3 +13,18 @@ def test_markdown_in_bounded_batches(spark, made):
     made(own.createDataFrame([(1, "u", "<p>x", "<p>y")], "page_id long, url string, html string, text string"))
     assert int(own.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 1000
     assert int(own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == 8 << 20
+
+
+def test_chunks_of_html_in_one_python(spark, monkeypatch):
+    """Pages become markdown and chunks in the same worker, in bounded batches; texts of many chunks are cut over several."""
+    monkeypatch.setattr(chunking, "CHUNK_ROWS", 3)
+    own = spark.newSession()
+    df = own.createDataFrame([(1, "<h1>A</h1><p>" + "word " * 200), (2, None), (3, "<p>" + "other " * 20)], "page_id long, html string").coalesce(1)
+    for cut, size in ((chunking.structure_chunks, 100), (chunking.heading_chunks, 100)):
+        options = {"size": size, "overlap": 20} if cut is chunking.structure_chunks else {"target": size, "overlap": 20}
+        got = cut(df, "html", "page_id", convert=markup.html_markdown, **options)
+        assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        markdown = markup.html_to_markdown(df.select("page_id", F.col("html").alias("text")), "text")
+        want = [tuple(r) for r in cut(markdown, "text", "page_id", **options).collect()]
+        assert [tuple(r) for r in got.collect()] == want and len(want) > 1
+    assert int(own.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 1000
