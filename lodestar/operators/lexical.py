@@ -2,8 +2,8 @@
 
 The queries are few against the rows, so they travel: their vocabulary is broadcast, in blocks of a checked size. One pass over the rows counts them,
 their words, and for each term of the vocabulary the rows that hold it; a second one scores each Arrow batch as a product of two matrices, terms of
-rows by terms of queries, and keeps the best k rows of each query. No posting is shuffled, however common a word is: only counts are, and k rows
-for each query and batch, of which Spark's own limit keeps k for each query and partition before the shuffle.
+rows by terms of queries, and keeps rows of each query that are among its best k so far. No posting is shuffled, however common a word is: only counts are, and k rows
+for each query and batch at most, of which Spark's own limit keeps k for each query and partition before the shuffle.
 """
 
 from __future__ import annotations
@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from lodestar.session import small_batches
+
 K1, B = 1.2, 0.75
 #: Queries are broadcast in blocks of at most so many, and of so many bytes of text (or one query that is longer).
 QUERY_BLOCK, QUERY_BYTES = 2048, 4 << 20
 #: Scores are made for so many cells of rows by queries at a time.
-CELLS = 4 << 20
+CELLS = 1 << 20
 SEPARATOR = r"[^\p{L}\p{N}]+"
 
 
@@ -86,7 +88,7 @@ def top_k(rows: DataFrame, key: str, queries: DataFrame, k: int, text: str = "te
     spark, queries = rows.sparkSession, queries.where("qid is not null")
     n, size = queries.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     blocks = max(1, -(-n // QUERY_BLOCK), -(-(size or 0) // QUERY_BYTES))
-    lowered = rows.select(key, *(c for c in keep if c != key), F.lower(F.col(text)).alias("_lowered"))
+    lowered = small_batches(rows).select(key, *(c for c in keep if c != key), F.lower(F.col(text)).alias("_lowered"))
     qid, found = queries.schema["qid"].dataType.simpleString(), None
     for block in range(blocks):
         part = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block) if blocks > 1 else queries
@@ -111,7 +113,7 @@ def top_k(rows: DataFrame, key: str, queries: DataFrame, k: int, text: str = "te
         weighed = spark.sparkContext.broadcast(own)
 
         def score(batches: Iterator[pa.RecordBatch], weighed=weighed, mean=mean) -> Iterator[pa.RecordBatch]:
-            own = weighed.value
+            own, bars = weighed.value, {}
             for batch in batches:
                 sizes, held, terms, tf = own.counts(batch.column("_lowered"))
                 weights = own.idf[terms] * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[held] / mean)))
@@ -120,8 +122,11 @@ def top_k(rows: DataFrame, key: str, queries: DataFrame, k: int, text: str = "te
                 for q, of_rows in _scores(own, held, terms, weights, batch.num_rows):
                     hit = np.flatnonzero(of_rows > 0)
                     rounded = np.round(of_rows[hit], 6)
-                    if len(hit) > k:
-                        kept = rounded >= np.partition(rounded, len(rounded) - k)[len(rounded) - k]
+                    # the best k scores of this and earlier batches: what is below all of them is not among the best k
+                    seen = np.r_[bars.get(q, rounded[:0]), rounded]
+                    bars[q] = np.partition(seen, len(seen) - k)[len(seen) - k :] if len(seen) > k else seen
+                    if len(seen) >= k:
+                        kept = rounded >= bars[q].min()
                         hit, rounded = hit[kept], rounded[kept]
                     best = np.lexsort((order[hit], -rounded))[:k]
                     qids += [own.qids[q]] * len(best)

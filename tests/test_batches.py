@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import chunking
+from lodestar.operators import chunking, lexical
 from lodestar.sources import markup
 
 
@@ -28,3 +28,16 @@ def test_chunks_of_html_in_one_python(spark, monkeypatch):
         want = [tuple(r) for r in cut(markdown, "text", "page_id", **options).collect()]
         assert [tuple(r) for r in got.collect()] == want and len(want) > 1
     assert int(own.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 1000
+
+
+def test_lexical_search_in_bounded_batches(spark):
+    """The same rows however the table is cut, also where equal scores come in later batches with smaller keys."""
+    own = spark.newSession()
+    words = ["a b", "a", "b b c", "a c", "c", "a a b", None]
+    rows = [(10_000 - i, words[i % 7]) for i in range(700)]
+    queries = own.createDataFrame([(1, "a"), (2, "b c"), (3, "c zzz")], "qid int, text string")
+    found = lambda: sorted(map(tuple, lexical.top_k(own.createDataFrame(rows, "id long, text string").coalesce(1), "id", queries, 5).collect()))
+    whole = found()
+    assert int(own.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 1000 and len(whole) == 15
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    assert found() == whole
