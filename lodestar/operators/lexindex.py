@@ -22,15 +22,17 @@ from pyspark.sql.window import Window
 from lodestar.operators.lexical import K1, QUERY_BLOCK, QUERY_BYTES, SEPARATOR, B, Vocabulary, query_terms
 from lodestar.sources import commits
 
-#: Parts of the postings; rows and bytes of a shard, about; row numbers in a range.
-PARTS, SHARD_ROWS, SHARD_BYTES, RANGE = 64, 1 << 13, 8 << 20, 256
+#: Parts of the postings (every task that writes some opens a file in each, which costs more than the postings where parts are many); rows and bytes of a shard, about; row numbers in a range.
+PARTS, SHARD_ROWS, SHARD_BYTES, RANGE = 16, 1 << 13, 4 << 20, 256
+#: Texts of about so many bytes are cut into words at a time.
+SLICE_BYTES = 512 << 10
 #: Terms that are written into the filter, which reaches the scan; more are joined.
 LISTED = 1000
 #: An update's shards come after this many of the one before.
 SHARDS = 1 << 32
 
-#: gaps: the numbers of the rows, each less the one before.
-POSTING = "shard long, term string, n long, gaps array<int>, counts array<int>, lengths array<int>, ranges array<int>, starts array<int>, most array<int>, least array<int>"
+#: gaps: the numbers of the rows, each less the one before. Gaps, counts and lengths are packed: unsigned numbers of 1, 2, 4 or 8 bytes, of one width in a column of a shard.
+POSTING = "shard long, term string, n long, gaps binary, counts binary, lengths binary, ranges array<int>, starts array<int>, most array<int>, least array<int>"
 #: Rows of the same table without a term are the indexed rows, in a part of their own.
 DOCS = "docs"
 
@@ -39,39 +41,82 @@ def _term_part(term: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
 
 
+def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Runs of numbers that are not negative as binaries, in the least width that holds all of them."""
+    width = np.min_scalar_type(int(values.max()) if len(values) else 0).itemsize
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * width).astype(np.int32)), pa.py_buffer(values.astype(f"<u{width}"))])
+
+
+def _unpacked(column: pa.ChunkedArray, total: int) -> np.ndarray:
+    """All numbers of a column of one shard, `total` of them."""
+    data = np.frombuffer(b"".join(memoryview(c.buffers()[2])[_at(c, 0) : _at(c, len(c))] for c in column.chunks if len(c)), np.uint8)
+    return data.view(f"<u{max(1, len(data) // max(1, total))}").astype(np.int64)
+
+
+def _at(chunk: pa.Array, i: int) -> int:
+    """Where value i of a binary array begins in its data."""
+    return int(np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset + i])
+
+
+def _numbers(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the rows of all postings of one shard, and where each posting's begin and the last ends. No posting is empty."""
+    bounds = np.r_[0, np.cumsum(table.column("n").to_numpy())]
+    gaps = _unpacked(table.column("gaps"), int(bounds[-1]))
+    total, starts = np.cumsum(gaps), bounds[:-1]
+    return total - np.repeat(total[starts] - gaps[starts], np.diff(bounds)), bounds
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of texts, and for each word in turn its place among them and its text. Words are coded slice by slice, so that those of all texts are never held."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // SLICE_BYTES)) + 1).tolist(), len(texts)]
+    coded, owners = [], []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        words = pc.split_pattern_regex(texts.slice(a, b - a), SEPARATOR)
+        flat, owner = pc.list_flatten(words), pc.list_parent_indices(words).to_numpy(zero_copy_only=False)
+        filled = pc.greater(pc.binary_length(flat), 0)
+        coded.append(flat.filter(filled).dictionary_encode())
+        owners.append((owner[filled.to_numpy(zero_copy_only=False)] + a).astype(np.int32))
+    coded = pa.chunked_array(coded).unify_dictionaries()
+    return coded.chunk(0).dictionary, np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks]), np.concatenate(owners)
+
+
 def _indexed(key: str, kind: pa.DataType):
     ints = pa.list_(pa.int32())
-    types = {"shard": pa.int64(), "term": pa.string(), "n": pa.int64(), **{c: ints for c in ("gaps", "counts", "lengths", "ranges", "starts", "most", "least")}, "number": pa.int32(), "length": pa.int32(), key: kind}
+    types = {"shard": pa.int64(), "term": pa.string(), "n": pa.int64(), **{c: pa.binary() for c in ("gaps", "counts", "lengths")}, **{c: ints for c in ("ranges", "starts", "most", "least")}, "number": pa.int32(), "length": pa.int32(), key: kind}
 
     def build(table: pa.Table) -> pa.Table:
         """The postings and the rows of one shard."""
-        table = table.take(pc.array_sort_indices(table.column(key).combine_chunks()))
-        texts, n = table.column("_lowered").combine_chunks().fill_null(""), len(table)
-        words = pc.split_pattern_regex(texts.cast(pa.large_string()), SEPARATOR)
-        flat, owner = pc.list_flatten(words), pc.list_parent_indices(words).to_numpy(zero_copy_only=False)
-        filled = pc.greater(pc.binary_length(flat), 0)
-        owner, coded = owner[filled.to_numpy(zero_copy_only=False)], flat.filter(filled).dictionary_encode()
-        del words, flat
-        terms, codes = coded.dictionary.cast(pa.string()), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        del coded, filled
+        shard, n = table.column("shard")[0].as_py(), len(table)
+        order = pc.array_sort_indices(table.column(key).combine_chunks())
+        keys, texts = table.column(key).combine_chunks().take(order), table.column("_lowered").combine_chunks().take(order).fill_null("")
+        del table
+        terms, codes, owner = _words(texts)
+        del texts
         lengths = np.bincount(owner, minlength=n).astype(np.int32)
-        cells, counts = np.unique(codes * n + owner, return_counts=True)
-        of, number = cells // max(1, n), (cells % max(1, n)).astype(np.int32)
+        cells = codes.astype(np.int64) * n + owner
+        del codes, owner
+        cells.sort()
+        at = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]) if len(cells) else np.empty(0, np.int64)
+        counts = np.diff(np.r_[at, len(cells)]).astype(np.int32)
+        cells = cells[at]
+        of, number = (cells // max(1, n)).astype(np.int32), (cells % max(1, n)).astype(np.int32)
+        del cells, at
         bounds = np.searchsorted(of, np.arange(len(terms) + 1))
         gaps = np.diff(number, prepend=np.int32(0))
         gaps[bounds[:-1]] = number[bounds[:-1]]
-        block = of * (n // RANGE + 1) + number // RANGE  # ranges of terms, in order
-        first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.empty(0, np.int64)
+        block = number // RANGE
+        first = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (of[1:] != of[:-1])]) if len(block) else np.empty(0, np.int64)  # ranges of terms, in order
+        length = lengths[number]
         most = np.maximum.reduceat(counts, first) if len(first) else first
-        least = np.minimum.reduceat(lengths[number], first) if len(first) else first
+        least = np.minimum.reduceat(length, first) if len(first) else first
         rbounds = np.searchsorted(first, bounds)
-        lists = lambda at, values: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.asarray(values).astype(np.int32)))
-        shard = table.column("shard")[0].as_py()
+        lists = lambda values: pa.ListArray.from_arrays(pa.array(rbounds.astype(np.int32)), pa.array(np.asarray(values).astype(np.int32)))
         postings = {
-            "shard": pa.array(np.full(len(terms), shard)), "term": terms, "n": pa.array(np.diff(bounds)), "gaps": lists(bounds, gaps), "counts": lists(bounds, counts), "lengths": lists(bounds, lengths[number]),
-            "ranges": lists(rbounds, number[first] // RANGE), "starts": lists(rbounds, first - bounds[of[first]] if len(first) else first), "most": lists(rbounds, most), "least": lists(rbounds, least),
+            "shard": pa.array(np.full(len(terms), shard)), "term": terms, "n": pa.array(np.diff(bounds)), "gaps": _packed(gaps, bounds), "counts": _packed(counts, bounds), "lengths": _packed(length, bounds),
+            "ranges": lists(block[first]), "starts": lists(first - bounds[of[first]] if len(first) else first), "most": lists(most), "least": lists(least),
         }
-        docs = {"shard": pa.array(np.full(n, shard)), "number": pa.array(np.arange(n, dtype=np.int32)), "length": pa.array(lengths), key: table.column(key).combine_chunks()}
+        docs = {"shard": pa.array(np.full(n, shard)), "number": pa.array(np.arange(n, dtype=np.int32)), "length": pa.array(lengths), key: keys}
         both = lambda c: pa.chunked_array([part[c] if c in part else pa.nulls(m, types[c]) for part, m in ((postings, len(terms)), (docs, n))], types[c])
         return pa.table({c: both(c) for c in types})
 
@@ -112,7 +157,7 @@ def alive(spark: SparkSession, now: commits.Snapshot) -> DataFrame:
     return docs.join(out, ["shard", "number"], "left_anti")
 
 
-def _added(spark: SparkSession, base: commits.Snapshot, rows: DataFrame, gone: DataFrame | None, key: str, parts: int, shards: int | None) -> dict[str, commits.Staged]:
+def _added(spark: SparkSession, base: commits.Snapshot, rows: DataFrame, removed: DataFrame | None, key: str, parts: int, shards: int | None) -> dict[str, commits.Staged]:
     """What a commit adds: new shards, and where rows go, dead numbers and corrections of the counts. A task writes a file into each part, sorted by term."""
     segment = _segment(rows, key, "_text", (base.version + 1) * SHARDS, shards or shards_of(rows, "_text"))
     part = _part(parts)
@@ -121,16 +166,19 @@ def _added(spark: SparkSession, base: commits.Snapshot, rows: DataFrame, gone: D
     docs = spark.read.schema(postings.schema).parquet(f"{base.root}/data/{at}") if at else spark.createDataFrame([], postings.schema)
     count = lambda df, sign: df.agg((sign * F.count(F.lit(1))).alias("rows"), (sign * F.coalesce(F.sum("length"), F.lit(0))).alias("words"), F.lit(parts).alias("parts"))
     stats, added = count(docs, 1), {"postings": postings}
-    if gone is not None and "postings" in base.schemas:
+    if "postings" in base.schemas:
+        # the keys that come in are read from what was written: rows may be long to work out
+        gone = docs.select(key) if removed is None else docs.select(key).union(removed.select(key))
         dead = alive(spark, base).join(gone.select(key).distinct(), key, "left_semi").groupBy("shard").agg(F.collect_list("number").alias("numbers"), F.sum("length").alias("length"), F.count(F.lit(1)).alias("rows"))
         added["dead"] = commits.stage(dead, base.root, "dead")
         dead = spark.read.schema(added["dead"].schema).parquet(f"{base.root}/data/{added['dead'].parts['']}")
         stats = stats.unionByName(dead.agg((-F.coalesce(F.sum("rows"), F.lit(0))).alias("rows"), (-F.coalesce(F.sum("length"), F.lit(0))).alias("words"), F.lit(parts).alias("parts")))
         # the terms of dead rows are in the postings of their shards
-        held = base.read(spark, "postings", [p for p in base.parts("postings") if p != DOCS]).select("shard", "term", "gaps")
+        held = base.read(spark, "postings", [p for p in base.parts("postings") if p != DOCS]).select("shard", "term", "n", "gaps")
         near = held.join(dead.select("shard"), "shard", "left_semi").groupBy("shard").cogroup(dead.select("shard", "numbers").groupBy("shard"))
         fewer = near.applyInArrow(_lost, "term string, n long").groupBy("term").agg((-F.sum("n")).alias("n"))
-        added["fewer"] = commits.stage(fewer, base.root, "fewer", _term_part(F.col("term"), parts))
+        own = _term_part(F.col("term"), parts)
+        added["fewer"] = commits.stage(fewer.repartition(own), base.root, "fewer", own)
     return added | {"stats": commits.stage(stats, base.root, "stats")}
 
 
@@ -139,13 +187,10 @@ def _lost(held: pa.Table, dead: pa.Table) -> pa.Table:
     if not len(held) or not len(dead):
         return pa.table({"term": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
     out = np.concatenate([c.values.to_numpy() for c in dead.column("numbers")])
-    gaps = held.column("gaps").combine_chunks()
-    values, starts = gaps.flatten().to_numpy().astype(np.int64), np.r_[0, np.cumsum(pc.list_value_length(gaps).to_numpy())][:-1]
-    total = np.cumsum(values)
-    numbers = total - np.repeat(total[starts] - values[starts], np.diff(np.r_[starts, len(values)]))
+    numbers, bounds = _numbers(held)
     gone = np.zeros(max(int(numbers.max()), int(out.max())) + 1, bool)
     gone[out] = True
-    n = np.add.reduceat(gone[numbers].astype(np.int64), starts)  # no posting row is empty
+    n = np.add.reduceat(gone[numbers].astype(np.int64), bounds[:-1])
     both = pa.table({"term": held.column("term"), "n": pa.array(n)})
     return both.filter(pc.greater(both.column("n"), 0))
 
@@ -165,9 +210,8 @@ def update(rows: DataFrame, root: str, key: str, removed: DataFrame | None = Non
     put out the same rows."""
     spark = rows.sparkSession
     base = commits.snapshot(spark, root)
-    gone = rows.select(key) if removed is None else rows.select(key).union(removed.select(key))
     parts = base.read(spark, "stats").agg(F.max("parts")).first()[0]
-    added = _added(spark, base, _checked(rows, key, text), gone, key, parts, shards)
+    added = _added(spark, base, _checked(rows, key, text), removed, key, parts, shards)
     return commits.commit(spark, base, replaced={"turn": (commits.stage(spark.range(1), root, "turn"), [""])}, added=added)
 
 
@@ -177,24 +221,31 @@ class Ranges:
     def __init__(self, table: pa.Table, place: dict[str, int], idf: np.ndarray, mean: float, dead: np.ndarray, k1: float, b: float):
         weigh = lambda tf, n: tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / mean))
         self.terms = {}
-        for i in range(len(table)):
-            one = lambda c: table.column(c)[i].values.to_numpy()  # noqa: B023, E731
-            t = place[table.column("term")[i].as_py()]
-            numbers = np.cumsum(one("gaps"))
-            score = idf[t] * weigh(one("counts"), one("lengths"))
-            if len(dead):
-                score = np.where(np.isin(numbers, dead), 0.0, score)
-            self.terms[t] = (numbers, score, one("ranges"), np.r_[one("starts"), len(numbers)], idf[t] * weigh(one("most"), one("least")))
+        if not len(table):
+            return
+        numbers, bounds = _numbers(table)
+        places = np.array([place[t] for t in table.column("term").to_pylist()])
+        unpacked = lambda c: _unpacked(table.column(c), int(bounds[-1]))
+        score = np.repeat(idf[places], np.diff(bounds)) * weigh(unpacked("counts"), unpacked("lengths"))
+        if len(dead):
+            gone = np.zeros(max(int(numbers.max()), int(dead.max())) + 1, bool)
+            gone[dead] = True
+            score[gone[numbers]] = 0.0
+        held = [table.column(c).combine_chunks() for c in ("ranges", "starts", "most", "least")]
+        sizes = pc.list_value_length(held[0]).to_numpy()
+        ranges, starts, most, least = (c.flatten().to_numpy() for c in held)
+        reach, ends = np.repeat(idf[places], sizes) * weigh(most, least), np.r_[0, np.cumsum(sizes)]
+        for i, t in enumerate(places.tolist()):
+            a, b, c, d = bounds[i], bounds[i + 1], ends[i], ends[i + 1]
+            self.terms[t] = (numbers[a:b], score[a:b], ranges[c:d], np.r_[starts[c:d], b - a], reach[c:d])
 
     def best(self, terms: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and scores (rounded to 6) of the best k rows, ties by the smaller number. Ranges are scored until what is left cannot reach the k-th."""
         held = [self.terms[t] for t in terms if t in self.terms]
         if not held:
             return np.empty(0, np.int64), np.empty(0)
-        most = max(int(h[2][-1]) for h in held) + 1
-        bound = np.zeros(most)
-        for _, _, ranges, _, reach in held:
-            bound[ranges] += reach
+        numbers, score, ranges, reach = (np.concatenate([h[i] for h in held]) for i in (0, 1, 2, 4))
+        own, bound = numbers // RANGE, np.bincount(ranges, weights=reach)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         found, scores, at, step = np.empty(0, np.int64), np.empty(0), 0, 4
@@ -202,20 +253,17 @@ class Ranges:
             if len(scores) >= k and np.round(bound[order[at]] + 1e-9, 6) < scores[k - 1]:
                 break
             now = np.sort(order[at : at + step])
-            total, slot = np.zeros((len(now), RANGE)), np.full(most, -1)
+            slot = np.full(len(bound), -1)
             slot[now] = np.arange(len(now))
-            for numbers, score, ranges, starts, _ in held:
-                mine = np.flatnonzero(slot[ranges] >= 0)
-                if len(mine):
-                    sizes = starts[mine + 1] - starts[mine]
-                    own = np.repeat(starts[mine] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
-                    total[slot[numbers[own] // RANGE], numbers[own] % RANGE] += score[own]
-            row, cell = np.nonzero(total)
-            found = np.r_[found, now[row] * RANGE + cell]
-            scores = np.r_[scores, np.round(total[row, cell], 6)]
+            places = slot[own]
+            mine = places >= 0
+            total = np.bincount(places[mine] * RANGE + numbers[mine] % RANGE, weights=score[mine])
+            cell = np.flatnonzero(total)
+            found = np.r_[found, now[cell // RANGE] * RANGE + cell % RANGE]
+            scores = np.r_[scores, np.round(total[cell], 6)]
             top = np.lexsort((found, -scores))[:k]
             found, scores = found[top], scores[top]
-            at, step = at + step, step * 2
+            at, step = at + step, step * 4
         return found, scores
 
 

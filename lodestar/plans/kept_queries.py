@@ -22,10 +22,14 @@ def query(f):
 # ---- the lexical index
 
 
-def _built(spark, d, rows):
+def _shards(spark, d, which="true"):
     """Chunks hold their documents' texts, and a little twice."""
+    return lexindex.shards_of(table(spark, d, "documents").where(which))
+
+
+def _built(spark, d, rows, which="true"):
     root = scratch_dir(spark, "index")
-    lexindex.build(rows, "chunk_id", root, shards=lexindex.shards_of(table(spark, d, "documents")))
+    lexindex.build(rows, "chunk_id", root, shards=_shards(spark, d, which))
     return root
 
 
@@ -48,9 +52,9 @@ def index_updated(spark, d):
     """An index of the chunks of version v1, then an update: those of v2 come in, every fifth of v1 gets another text, every seventh goes."""
     chunks, n = schema.chunks(spark, d).select("chunk_id", "text", "ingest_version", F.col("doc_id").cast("long").alias("n")), F.col("n")
     old = chunks.where("ingest_version = 'v1'")
-    root = _built(spark, d, old)
+    root = _built(spark, d, old, "doc_id % 2 = 0")
     changed = old.where((n % 5 == 0) & (n % 7 != 0)).withColumn("text", F.concat_ws(" ", F.substring("text", 301, 400), F.lit("the und les para")))
-    lexindex.update(chunks.where("ingest_version = 'v2'").unionByName(changed), root, "chunk_id", old.where(n % 7 == 0))
+    lexindex.update(chunks.where("ingest_version = 'v2'").unionByName(changed), root, "chunk_id", old.where(n % 7 == 0), shards=_shards(spark, d, "doc_id % 2 <> 0"))
     return lexindex.top_k(spark, root, "chunk_id", text_queries(spark, d), 10)
 
 
