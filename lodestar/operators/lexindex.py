@@ -49,7 +49,7 @@ def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 def _unpacked(column: pa.ChunkedArray, total: int) -> np.ndarray:
     """All numbers of a column of one shard, `total` of them."""
-    data = np.frombuffer(b"".join(memoryview(c.buffers()[2])[_at(c, 0) : _at(c, len(c))] for c in column.chunks if len(c)), np.uint8)
+    data = np.frombuffer(b"".join(memoryview(c.buffers()[2])[_at(c, 0) : _at(c, len(c))] for c in column.cast(pa.binary()).chunks if len(c)), np.uint8)
     return data.view(f"<u{max(1, len(data) // max(1, total))}").astype(np.int64)
 
 
@@ -78,7 +78,7 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         coded.append(flat.filter(filled).dictionary_encode())
         owners.append((owner[filled.to_numpy(zero_copy_only=False)] + a).astype(np.int32))
     coded = pa.chunked_array(coded).unify_dictionaries()
-    return coded.chunk(0).dictionary, np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks]), np.concatenate(owners)
+    return coded.chunk(0).dictionary.cast(pa.string()), np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks]), np.concatenate(owners)
 
 
 def _indexed(key: str, kind: pa.DataType):
