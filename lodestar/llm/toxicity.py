@@ -7,7 +7,7 @@ feature a learning rate of its own and keeps those that say little at exactly 0,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,43 +53,66 @@ class Features:
             series = lambda base: np.cumprod(np.r_[np.uint64(1), np.full(size - 1, base, np.uint64)])
             self.powers, self.inverse = series(_M1), series(np.uint64(pow(int(_M1), -1, 2**64)))
 
-    def _part(self, b: np.ndarray, owner_begin: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Text numbers and hashes of the features of bytes that no word overlaps at either end."""
+    def _words(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and sums of the runs of bytes between separators."""
         edge = np.diff(np.r_[False, ~self.separator[b], False].view(np.int8))
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        if not len(starts):
-            return
-        self._grow(len(b))
+        self._grow(max(len(b), STEMS[-1]))
         total = np.r_[np.uint64(0), np.cumsum(self.code[b] * self.powers[: len(b)])]
-        of = np.searchsorted(owner_begin, starts, side="right") - 1
-        hashes = lambda s, e: _mixed((total[e] - total[s]) * self.inverse[s])
-        words = hashes(starts, ends)
-        short = lambda h: (h >> np.uint64(32)).astype(np.uint32)
-        yield of, short(words)
+        return starts, ends, (total[ends] - total[starts]) * self.inverse[starts]
+
+    def _stems(self, joined: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each size of STEMS the places of the longer words, and the sums of their beginnings."""
+        longer, stem, done = np.arange(len(starts)), np.zeros(len(starts), np.uint64), 0
         for n in STEMS:
-            longer = np.flatnonzero(ends - starts > n)
-            s = starts[longer]
-            yield of[longer], short(_mixed(hashes(s, s + n) + np.uint64(n)))
-        for gap in (1, 2, 3):
-            same = np.flatnonzero(of[:-gap] == of[gap:])
-            yield of[same], short(_mixed(words[same] * _M1 + words[same + gap] * _M2 + np.uint64(gap)))
+            more = np.flatnonzero(sizes[longer] > n)
+            longer, stem = longer[more], stem[more]
+            for i in range(done, n):
+                stem += self.code[joined[starts[longer] + i]] * self.powers[i]
+            done = n
+            yield longer, stem
 
     def of_texts(self, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The features of all texts, in parts: text numbers and hashes. A part begins with the last three words of the one before, so that no pair is missed; what
-        both hold counts once, as features do."""
+        """The features of all texts, in parts of BLOCK bytes: text numbers and hashes. A word that goes on in the next part, however long, is finished there, so that
+        memory beside the texts does not grow with them; the last three words before a part meet its first, so that no pair is missed."""
         joined = np.frombuffer(b"\n".join(t or b"" for t in texts), np.uint8)
-        begin, at = np.r_[0, np.cumsum([len(t or b"") + 1 for t in texts])][:-1], 0
-        while at < len(joined):
-            end = min(at + BLOCK, len(joined))
-            while end < len(joined):
-                cut = np.flatnonzero(self.separator[joined[max(at, end - BLOCK) : end]])
-                if len(cut):
-                    end = max(at, end - BLOCK) + int(cut[-1]) + 1
-                    break
-                end = min(end + BLOCK, len(joined))
-            yield from self._part(joined[at:end], begin - at)
-            starts = np.flatnonzero(np.diff(np.r_[False, ~self.separator[joined[at:end]]].view(np.int8)) == 1) if end < len(joined) else ()
-            at = at + int(starts[-3]) if len(starts) > 3 else end
+        begin = np.r_[0, np.cumsum([len(t or b"") + 1 for t in texts])][:-1]
+        short = lambda h: (h >> np.uint64(32)).astype(np.uint32)
+        open_at, open_sum = np.empty(0, np.int64), np.empty(0, np.uint64)  # the word that goes on, if any
+        of_before, before = np.empty(0, np.int64), np.empty(0, np.uint64)
+        for at in range(0, len(joined), BLOCK):
+            b = joined[at : at + BLOCK]
+            starts, ends, sums = self._words(b)
+            starts, ends = starts + at, ends + at
+            if len(open_at) and not self.separator[b[0]]:
+                starts[:1], sums[:1] = open_at, open_sum + sums[:1] * np.uint64(pow(int(_M1), at - int(open_at[0]), 2**64))
+            elif len(open_at):
+                starts, ends, sums = np.r_[open_at, starts], np.r_[at, ends], np.r_[open_sum, sums]
+            whole = len(starts) - int(at + BLOCK < len(joined) and not self.separator[b[-1]])
+            open_at, open_sum = starts[whole:], sums[whole:]
+            starts, ends, sums = starts[:whole], ends[:whole], sums[:whole]
+            if not whole:
+                continue
+            of, words = np.searchsorted(begin, starts, side="right") - 1, _mixed(sums)
+            yield of, short(words)
+            for n, (longer, stem) in zip(STEMS, self._stems(joined, starts, ends - starts), strict=True):
+                yield of[longer], short(_mixed(_mixed(stem) + np.uint64(n)))
+            of, words = np.r_[of_before, of], np.r_[before, words]
+            for gap in (1, 2, 3):
+                same = np.flatnonzero(of[:-gap] == of[gap:])
+                yield of[same], short(_mixed(words[same] * _M1 + words[same + gap] * _M2 + np.uint64(gap)))
+            of_before, before = of[-3:], words[-3:]
+
+
+def distinct(parts: Iterable[np.ndarray], kind: type) -> np.ndarray:
+    """The different values of all parts, sorted; what comes twice is dropped on the way."""
+    held, new, n = np.empty(0, kind), [], 0
+    for part in parts:
+        new.append(part)
+        n += len(part)
+        if n > max(BLOCK, len(held)):
+            held, new, n = np.unique(np.concatenate([held, *new])), [], 0
+    return np.unique(np.concatenate([held, *new]))
 
 
 class ToxicityModel:
@@ -100,14 +123,17 @@ class ToxicityModel:
 
     def margins(self, features: Features, texts: list[bytes | None], likely: np.ndarray) -> np.ndarray:
         """likely: for each value of the low 22 bits whether a hash of the model has it."""
-        out, cells = np.full(len(texts), self.bias), []
-        if len(self.hashes):
+        out = np.full(len(texts), self.bias)
+
+        def cells() -> Iterator[np.ndarray]:
             for of, h in features.of_texts(texts):
                 maybe = np.flatnonzero(likely[h & np.uint32((1 << 22) - 1)])
                 place = np.searchsorted(self.hashes, h[maybe])
                 there = self.hashes[np.minimum(place, len(self.hashes) - 1)] == h[maybe]
-                cells.append(of[maybe[there]] * len(self.hashes) + place[there])
-            held = np.unique(np.concatenate(cells)) if cells else np.empty(0, np.int64)
+                yield of[maybe[there]] * len(self.hashes) + place[there]
+
+        if len(self.hashes):
+            held = distinct(cells(), np.int64)
             np.add.at(out, held // len(self.hashes), self.weights[held % len(self.hashes)])
         return out
 
@@ -161,8 +187,7 @@ def fit_toxicity_model(docs: DataFrame, labels: DataFrame, text: str = "text", k
         for batch in batches:
             texts = byte_values(batch, "text")
             for i, t in enumerate(texts):
-                found = [h for _, h in features.of_texts([t])]
-                held = np.unique(np.concatenate(found)) if found else np.empty(0, np.uint32)
+                held = distinct((h for _, h in features.of_texts([t])), np.uint32)
                 yield pa.RecordBatch.from_arrays([batch.column("label").slice(i, 1), batch.column("_hash").slice(i, 1), pa.array([held.astype(np.int64)], pa.list_(pa.int64()))], ["label", "_hash", "held"])
 
     lowered = known.join(F.broadcast(sampled.select("key", "label", "_hash")), "key").select("label", "_hash", F.lower("text").alias("text"))

@@ -7,6 +7,7 @@ import random
 import re
 import subprocess
 import sys
+import tracemalloc
 import zlib
 from fractions import Fraction
 
@@ -125,6 +126,32 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.score_toxicity(empty_docs(spark), None).count() == 0
 
 
+def test_features_in_parts_of_any_size(monkeypatch):
+    """Words that go on in further parts have the same features, and pairs reach across parts."""
+    texts = [b"one longerword, " + b"x" * 100 + b" and then " + b"yz" * 40 + b"!", None, b"", b"w" * 64, b" \n a b c " + b"q" * 31, b"last words of all"]
+
+    def found():
+        return {(int(i), int(h)) for of, hashes in toxicity.Features().of_texts(texts) for i, h in zip(of, hashes, strict=True)}
+
+    want = found()
+    assert {i for i, _ in want} == {0, 3, 4, 5}
+    for size in (1, 7, 16, 32, 50, 64, 1000):
+        monkeypatch.setattr(toxicity, "BLOCK", size)
+        assert found() == want, size
+        parts = [h for _, h in toxicity.Features().of_texts(texts)]
+        assert toxicity.distinct(parts, np.uint32).tolist() == sorted({h for _, h in want})
+
+
+def test_memory_of_features_does_not_grow_with_a_word():
+    text, features = b"x" * (24 << 20) + b" end", toxicity.Features()
+    tracemalloc.start()
+    try:
+        assert len(toxicity.distinct((h for _, h in features.of_texts([text])), np.uint32)) == 2 + 5 + 1
+        assert tracemalloc.get_traced_memory()[1] < 150e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_ftrl_by_hand():
     """The first steps of the published update rule, for one coordinate and the bias."""
     own = toxicity.Ftrl(1, alpha=0.5, beta=1.0, l1=0.1, l2=0.0)
@@ -191,6 +218,7 @@ def test_bounds_spare_distances():
 
 PROBE = """
 import sys
+import tracemalloc
 from lodestar.session import make_session
 from lodestar.llm import registry
 spark = make_session("local[2]", 2)
